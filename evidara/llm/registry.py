@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.llm import packing, simhash, token_files
+from evidara.llm import gam, packing, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bin_completion_packing": packing.query,
         "op5_wavelet_token_files": token_files.query,
         "op7_simhash_tiles": simhash.query,
+        "op8_additive_model_quality": gam.query,
     }
 
 
