@@ -182,8 +182,7 @@ def one_of_each(docs: DataFrame, width: int = STAGE_WIDTH, radius: int = STAGE_R
     spark = docs.sparkSession
     gone: DataFrame | None = None
     while True:
-        leaders = left.groupBy("component_id").agg(F.min("rank").alias("lead"))
-        lead = left.join(leaders, (left.rank == leaders.lead)).select(left.component_id, F.col("set").alias("led"), "lead")
+        lead = left.groupBy("component_id").agg(F.min("rank").alias("lead"), F.min_by("set", "rank").alias("led"))
         pairs = left.join(lead, "component_id").where("rank <> lead")
         both = F.size(F.array_intersect("set", "led"))
         judged, new = written(pairs.select("_row", "component_id", "rank", "set", (both >= similarity * (F.size("set") + F.size("led") - both)).alias("alike")), "judged")
