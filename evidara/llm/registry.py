@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.llm import ftrl, gam, packing, simhash, token_files
+from evidara.llm import embeddings, ftrl, gam, packing, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_p_stable_embeddings": embeddings.query,
         "op2_ftrl_toxicity": ftrl.query,
         "op4_bin_completion_packing": packing.query,
         "op5_wavelet_token_files": token_files.query,
