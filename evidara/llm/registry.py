@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.llm import bpe, embeddings, ftrl, gam, licenses, packing, simhash, token_files
+from evidara.llm import bpe, embeddings, ftrl, gam, licenses, outliers, packing, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ftrl_toxicity": ftrl.query,
         "op4_bin_completion_packing": packing.query,
         "op5_wavelet_token_files": token_files.query,
+        "op6_robust_outliers": outliers.query,
         "op7_simhash_tiles": simhash.query,
         "op8_additive_model_quality": gam.query,
         "op9_distinct_word_bpe": bpe.query,
