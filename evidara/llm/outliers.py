@@ -21,7 +21,7 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 #: A group with fewer documents that pass the base rules is judged by the estimate of all documents.
 LEAST_GROUP = 100
 #: The share of a group that the estimate is of, its steps, and the chance of rejecting a regular document.
-SHARE, STEPS, REJECT = 0.75, 4, 1e-9
+SHARE, STEPS, REJECT = 0.75, 4, 1e-7
 #: Spreads that statistics are granted at least: most texts have no symbol and no repeat at all.
 FLOOR = {"x_words": 0.5, "x_length": 0.08, "x_symbols": 0.25, "x_shouts": 0.25, "x_lines": 0.8, "x_repeats": 0.8}
 STATS = list(FLOOR)

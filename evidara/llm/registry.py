@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.llm import bpe, embeddings, ftrl, gam, licenses, outliers, packing, simhash, token_files
+from evidara.llm import bpe, embeddings, ftrl, gam, licenses, outliers, packing, quotes, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_p_stable_embeddings": embeddings.query,
         "op2_ftrl_toxicity": ftrl.query,
+        "op3_quotation_links": quotes.query,
         "op4_bin_completion_packing": packing.query,
         "op5_wavelet_token_files": token_files.query,
         "op6_robust_outliers": outliers.query,
