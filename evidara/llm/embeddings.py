@@ -134,10 +134,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                         draw = np.random.default_rng([SEED, int(dim)])
                         steps = np.floor((unit(raw, kind) @ draw.standard_normal((dim, tables * each)) + draw.uniform(0, WIDTH, tables * each)) / WIDTH)
                         steps = steps.astype(np.int64).view(np.uint64).reshape(len(rows), tables, each)
-                        key = np.full((len(rows), tables), int(dim), dtype=np.uint64)
+                        key = np.zeros((len(rows), tables), dtype=np.uint64)
                         for k in range(each):
                             key = mix(key + steps[:, :, k])
-                        out = {"tab": pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), "key": pa.array(key.view(np.int64).ravel()), "node": pa.array(np.repeat(node[rows], tables))}
+                        out = {"tab": pa.array(np.tile(dim * tables + np.arange(tables), len(rows))), "key": pa.array(key.view(np.int64).ravel()), "node": pa.array(np.repeat(node[rows], tables))}
                         if full:
                             out["vec"] = pa.array(raw, pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), tables)))
                         yield pa.RecordBatch.from_pydict(out)
@@ -146,8 +146,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = classes.select("node", "embedding")
-    sizes = source.mapInArrow(hashed(False), "tab int, key long, node long")
-    rows = source.mapInArrow(hashed(True), "tab int, key long, node long, vec binary")
+    sizes = source.mapInArrow(hashed(False), "tab long, key long, node long")
+    rows = source.mapInArrow(hashed(True), "tab long, key long, node long, vec binary")
     keys = ["tab", "key", "a", "b"]
     met = dealt(rows, sizes, ["tab", "key"], 256).repartition(n, *keys).sortWithinPartitions(*keys)
 
