@@ -91,9 +91,16 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), label.slice(at, n)], names=["x", "label"])
                 at += n
 
-    got = drawn.mapInArrow(hashed, "x binary, label int").collect()
-    got.sort(key=lambda r: (bytes(r.x), r.label))  # the model doesn't depend on the order of arrival
-    return fit([np.frombuffer(r.x, "<i4") for r in got], np.array([r.label for r in got], dtype=float))
+    def trained(batches):
+        got = sorted((bytes(x), y) for b in batches for x, y in zip(b.column("x").to_pylist(), b.column("label").to_pylist(), strict=True))
+        model = fit([np.frombuffer(x, "<i4") for x, _ in got], np.array([y for _, y in got], dtype=float))
+        yield pa.RecordBatch.from_pydict({"base": [model.base], "feature": [model.feature.astype("<i8").tobytes()], "weight": [model.weight.astype("<f4").tobytes()]})
+
+    # The sample is bounded: one task learns from it, in an order that doesn't depend on arrival.
+    one = drawn.mapInArrow(hashed, "x binary, label int").repartition(1).mapInArrow(trained, "base double, feature binary, weight binary").head()
+    if one is None:
+        return fit([], np.zeros(0))
+    return Model(one.base, np.frombuffer(one.feature, "<i8"), np.frombuffer(one.weight, "<f4"))
 
 
 def score(model: Model) -> Column:
