@@ -31,18 +31,21 @@ def resolutions(conditions: DataFrame, knowledge: DataFrame) -> DataFrame:
     is RESOLVED if exactly one identity matches by name, alias or code, AMBIGUOUS with more,
     UNRESOLVED with none; the match is named by the identity's newest row.
     """
-    asked = conditions.select("condition", text.term("display").alias("entered"), text.concept_code("code").alias("code_cui"), text.local_code("code").alias("code_identity"))
+    texts = {"entered": text.term("display"), "code_cui": text.concept_code("code"), "code_identity": text.local_code("code")}
+    asked = conditions.select("condition", F.to_json(F.struct(*[v.alias(k) for k, v in texts.items()])).alias("ask"), *[v.alias(k) for k, v in texts.items()])
+    # Each different text is resolved once, however many records have it.
+    distinct = asked.drop("condition").distinct()
     known = knowledge.select("id", "identity", "disease", "concept", "snomed", "cui", "imported_at")
-    met = union_equi_join(asked, known, [("entered", "disease"), ("entered", "concept"), ("entered", "snomed"), ("code_cui", "cui"), ("code_identity", "identity")], "condition", "id")
-    gate = met.groupBy("condition").agg(F.count_distinct(F.nullif("identity", F.lit(""))).alias("n_identities"))
-    newest = latest(met, ["condition"], "imported_at", "id")
+    met = union_equi_join(distinct, known, [("entered", "disease"), ("entered", "concept"), ("entered", "snomed"), ("code_cui", "cui"), ("code_identity", "identity")], "ask", "id")
+    gate = met.groupBy("ask").agg(F.count_distinct(F.nullif("identity", F.lit(""))).alias("n_identities"))
+    newest = latest(met, ["ask"], "imported_at", "id")
     match = (
         F.when(F.col("code_cui") == F.col("cui"), "UMLS_IDENTIFIER").when(F.col("code_identity") == F.col("identity"), "LOCAL_IDENTIFIER")
         .when(F.col("disease") == F.col("entered"), "CANONICAL_TERM").when(F.col("snomed") == F.col("entered"), "SNOMED_SOURCE_ALIAS").otherwise("CONCEPT_SOURCE_ALIAS")
     )
-    one = newest.join(gate, "condition").select("condition", "n_identities", "identity", match.alias("match_type"))
+    one = newest.join(gate, "ask").select("ask", "n_identities", "identity", match.alias("match_type"))
     n = F.coalesce("n_identities", F.lit(0))
-    out = asked.join(one, "condition", "left")
+    out = asked.select("condition", "ask").join(one, "ask", "left")
     status = F.when(n == 1, "RESOLVED").when(n == 0, "UNRESOLVED").otherwise("AMBIGUOUS")
     return out.select("condition", status.alias("resolution"), F.when(n == 1, F.col("identity")).alias("identity"), F.when(n == 1, F.col("match_type")).alias("match_type"))
 
