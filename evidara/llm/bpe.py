@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.llm import kernels as K
-from evidara.llm.runtime import ship, table, written
+from evidara.llm.runtime import bucketed, ship, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A block ends at so many distinct words or pre-tokens, which bounds a task's memory.
@@ -57,10 +57,14 @@ def blocks(docs: DataFrame) -> DataFrame:
         store, words, ids, counts, places, held = P.HashStore(), [], [], [], [], 0
 
         def row() -> pa.RecordBatch:
+            at = np.concatenate(places)
+            order = np.argsort(-np.bincount(at, minlength=store.n), kind="stable")  # frequent words get small places
+            place = np.empty(store.n, dtype=np.int64)
+            place[order] = np.arange(store.n)
             cols = {
                 "block": pa.array([(part << 24) + made], pa.int64()), "doc_ids": pa.array([[d for x in ids for d in x]], pa.list_(pa.int64())),
-                "counts": pa.array([packed(np.concatenate(counts))], pa.binary()), "places": pa.array([packed(np.concatenate(places))], pa.binary()),
-                "words": pa.array([words], pa.list_(pa.string())),
+                "counts": pa.array([packed(np.concatenate(counts))], pa.binary()), "places": pa.array([packed(place[at])], pa.binary()),
+                "words": pa.array([[words[i] for i in order]], pa.list_(pa.string())),
             }
             return pa.RecordBatch.from_pydict(cols)
 
@@ -77,7 +81,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                     new = np.arange(len(keys))
                     fresh, first = np.unique(keys, return_index=True)
                 ends = np.append(starts[1:], len(points))
-                order = np.argsort(first)  # numbers in order of arrival: frequent words have small ones
+                order = np.argsort(first)
                 words += [text[starts[i] : ends[i]] for i in new[first[order]]]
                 store.add(fresh[order])
                 ids.append(piece.column("doc_id").to_pylist())
@@ -150,7 +154,7 @@ def roundtrip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     repeated rows keep a row each; an empty table gives none.
     """
     ship(docs.sparkSession)
-    split, _ = written(blocks(docs), "blocks")
+    split = bucketed(blocks(docs), "blocks", "block")
     words = encoded_words(split, path)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
 
