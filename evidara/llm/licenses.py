@@ -129,7 +129,7 @@ def grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def examples(lines: list[str], seed: int = 5) -> tuple[list[str], np.ndarray]:
-    """Texts and classes to learn from: notices shortened and set in other text, made-up licences, and lines of the corpus.
+    """Texts and classes to learn from: notices set in other text, made-up licences, other text with words of notices, and lines of the corpus.
 
     Lines of the corpus that hold a template are examples of its family, the others of no licence.
     """
@@ -150,6 +150,15 @@ def examples(lines: list[str], seed: int = 5) -> tuple[list[str], np.ndarray]:
         name = " ".join("".join(draw.choice(list("abcdefghilmnoprstuvz"), draw.integers(3, 9))).capitalize() for _ in range(draw.integers(1, 3)))
         texts.append(set_in(UNKNOWN[k % len(UNKNOWN)].format(name, draw.integers(1, 5)).split()))
         classes.append(CLASSES.index(OTHER))
+    # Other text that shares a few words with notices, so that words alone don't make one.
+    spoken = [w for n in (*TEMPLATES.values(), UNKNOWN) for t in n for w in t.split() if w not in ("{}", "{}.")]
+    for _ in range(6 * EXAMPLES):
+        some = list(draw.choice(spoken, draw.integers(0, 5)))
+        words = list(plain[draw.integers(len(plain))][:12])
+        for w in some:
+            words.insert(int(draw.integers(0, len(words) + 1)), str(w))
+        texts.append(" ".join(words))
+        classes.append(CLASSES.index(NONE))
     for line in lines:
         found = max(((contained(line, f), f) for f in TEMPLATES), default=(0, NONE))
         texts.append(line)
@@ -181,7 +190,7 @@ def fit(lines: list[str]) -> Model:
     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
     hit = known[at] == found
     line, at = line[hit], at[hit]
-    aside = np.arange(len(texts)) % 4 == 3
+    aside = np.random.default_rng(9).random(len(texts)) < 0.25
     c = len(CLASSES)
     weight, base, seen, seen_base = np.zeros((len(known), c)), np.zeros(c), np.full((len(known), c), 1e-6), np.full(c, 1e-6)
     right = np.eye(c)[y]
@@ -216,7 +225,7 @@ def learn(docs: DataFrame, documents: int = DOCUMENTS, lines: int = LINES) -> Mo
     n = docs.count()
     drawn = docs.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * min(1, documents / max(n, 1))))
     some = drawn.select(F.explode(F.slice(F.array_distinct(F.split("text", "\n")), 1, 200)).alias("line")).where("trim(line) <> ''")
-    got = some.select(F.substring("line", 1, 2000).alias("line")).limit(lines).collect()
+    got = some.select(F.substring("line", 1, 2000).alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(lines).collect()
     return fit(sorted(r.line for r in got))
 
 
