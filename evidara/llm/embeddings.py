@@ -25,7 +25,7 @@ THRESHOLD = 0.9
 #: The width of a projection's steps. Near the best for vectors of length one.
 WIDTH = 2.5
 #: The number of unrelated vectors that share a bucket on average, and the chance that two at the threshold meet.
-CROWD, MET = 50, 0.98
+CROWD, MET = 50, 0.999
 SEED = 20_240_601
 #: More buckets in tiles than this are joined by a shuffle, not sent to every task.
 MOST_SENT = 100_000
