@@ -154,12 +154,15 @@ def estimates(rows: DataFrame) -> DataFrame:
         whole = Window.partitionBy("group")
         so_far = F.sum("count").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
         nearest = histogram.select("group", "bin", (so_far >= SHARE * F.sum("count").over(whole)).alias("enough")).where("enough").groupBy("group").agg(F.min("bin").alias("last"))
+        # Written, its size is known: a row for each group is broadcast while it is small, and rows of a large group don't move.
+        nearest, limits = written(nearest, "nearest")
         near = far.withColumn("bin", bin_).join(nearest, "group").where("bin <= last")
         moments = near.groupBy("group").agg(*[F.avg(s).alias(f"m_{s}") for s in STATS], *[F.covar_pop(a, STATS[j]).alias(f"c_{i}_{j}") for i, a in enumerate(STATS) for j in range(i + 1)])
         floors = {f"c_{i}_{i}": F.col(f"c_{i}_{i}") * consistent + FLOOR[s] ** 2 for i, s in enumerate(STATS)}
         scaled = {f"c_{i}_{j}": F.col(f"c_{i}_{j}") * consistent for i in range(d) for j in range(i)}
         after, new = written(factored(moments.withColumns(floors | scaled)), "centres")
         remove(rows.sparkSession, path)
+        remove(rows.sparkSession, limits)
         params, path = after, new
     return params
 
@@ -175,6 +178,7 @@ def judged(docs: DataFrame) -> DataFrame:
     stats, _ = written(statistics(docs), "statistics")
     passed = stats.where("not base_failed")
     small = passed.groupBy("group").count().where(F.col("count") < LEAST_GROUP).select("group", F.lit(True).alias("small"))
+    small, _ = written(small, "small")
     placed = passed.join(small, "group", "left").withColumn("group", F.when(F.col("small"), F.lit("all")).otherwise(F.col("group")))
     rows, _ = written(placed.select("doc_id", "group", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *STATS), "passed")
     own = rows.select("doc_id", "group", *STATS)
