@@ -8,7 +8,7 @@ meeting returns a spanning forest of its links, never its pairs, and connected c
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,14 @@ WIDTH = 4
 RADIUS = 4
 SEED = 42
 #: The pipeline's stage: shingles of five words, fingerprints of 256 bits. Texts of Jaccard similarity 0.8 differ in some
-#: 39 bits with a deviation of 6, texts of 0.9 in 27, of 0.6 in 59, and texts with nothing in common in 128.
+#: 39 bits with a deviation of 6, texts of 0.9 in 27, of 0.6 in 59, and texts with nothing in common in 128. Fingerprints
+#: only say which texts are compared: links are texts whose sets of shingles have STAGE_SIMILARITY.
 STAGE_WIDTH = 5
 STAGE_WORDS = 4
-STAGE_RADIUS = 41
+STAGE_RADIUS = 62
+STAGE_SIMILARITY = 0.8
+#: Texts and shingles that a tile of texts to compare holds, about.
+TILE_ROWS, TILE_SHINGLES = 1 << 10, 1 << 19
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -103,12 +107,12 @@ def meeting(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.n
     for at in range(0, a.shape[1], step):
         first = at if same else 0
         apart = np.bitwise_count(a[0, at : at + step, None] ^ b[0, None, first:])
-        if len(a) > 1:
-            apart = apart + np.bitwise_count(a[1, at : at + step, None] ^ b[1, None, first:])
+        for w in range(1, min(3, len(a))):
+            apart += np.bitwise_count(a[w, at : at + step, None] ^ b[w, None, first:])
         i, j = np.nonzero(apart <= radius)
-        if len(a) > 2:  # the few pairs that two words leave
+        if len(a) > 3:  # the few pairs that three words leave
             far = apart[i, j].astype(np.int64)
-            for w in range(2, len(a)):
+            for w in range(3, len(a)):
                 far += np.bitwise_count(a[w, at + i] ^ b[w, first + j])
             i, j = i[far <= radius], j[far <= radius]
         parent = joined(parent, i + at, j + first + shift)
@@ -182,11 +186,89 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = STAGE_WIDTH, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS) -> DataFrame:
+def alike(sets: list[np.ndarray], allowed: Callable[[int], np.ndarray], similarity: float) -> np.ndarray:
+    """For each set (distinct numbers, none empty) the smallest place of its component of links of at least the Jaccard similarity.
+
+    allowed(i): which of the sets after i are compared with it. Pairs that are joined already aren't.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    starts = ends - size
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(int(flat.max()) + 1, dtype=bool)
+    label = np.arange(n)
+    for i in range(n - 1):
+        rest = size[i + 1 :]
+        near = (np.minimum(rest, size[i]) / np.maximum(rest, size[i]) >= similarity) & (label[i + 1 :] != label[i]) & allowed(i)
+        j = np.flatnonzero(near) + i + 1
+        if not len(j):
+            continue
+        own = flat[starts[i] : ends[i]]
+        marked[own] = True
+        lengths = size[j]
+        first = np.cumsum(lengths) - lengths
+        places = np.arange(int(lengths.sum())) + np.repeat(starts[j] - first, lengths)
+        both = np.add.reduceat(marked[flat[places]].astype(np.int64), first)
+        marked[own] = False
+        hit = j[both / (size[i] + lengths - both) >= similarity]
+        if len(hit):
+            groups = np.unique(label[[i, *hit]])
+            label[np.isin(label, groups)] = groups[0]
+    return label
+
+
+def verified(members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose closure joins all rows of members (_row, component, text) of one component whose shingles are `similarity` alike.
+
+    Sizes of alike sets differ by a factor of 1 / similarity at most, so a component is cut into classes of size, and a class
+    meets itself and the next. A crowded meeting is dealt to tiles, each pair of which meets in a task;
+    a spanning forest of its links is returned, never its pairs.
+    """
+    ship(members.sparkSession)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                found = [np.unique(shingle_hashes(t.as_py() or b"", width)).view(np.int64) for t in some.column("text").cast(pa.binary())]
+                n = pa.array([len(x) for x in found], pa.int32())
+                yield pa.RecordBatch.from_arrays([some.column("_row"), some.column("component"), n, pa.array(found, pa.list_(pa.int64()))], names=["_row", "component", "n", "set"])
+
+    held, _ = written(members.select("_row", "component", "text").mapInArrow(sets, "_row long, component long, n int, set array<long>"), "sets")
+    # A hair over 1 / similarity, so that rounding can't put alike sets two classes apart.
+    step = 1.001 * -math.log(similarity)
+    kind = F.floor(F.log("n") / step).cast("int")
+    spans = held.where("n > 0").withColumn("kind", kind).withColumn("span", F.explode(F.array(F.col("kind") - 1, F.col("kind"))))
+    crowd = spans.groupBy("component", "span").agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("long")).alias("shingles")).where("rows > 1")
+    tiles = F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+    crowd, _ = written(crowd.select("component", "span", tiles.alias("tiles")), "crowds")
+    dealt = spans.join(crowd, ["component", "span"]).withColumn("tile", F.pmod(F.xxhash64("_row"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("component", "span", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "_row", "kind", "tile", "set")
+
+    def compare(met: pa.Table) -> pa.Table:
+        met = met.combine_chunks().sort_by("_row")
+        rows, kinds, tile = (met.column(c).to_numpy() for c in ("_row", "kind", "tile"))
+        least, same = met.column("span")[0].as_py(), met.column("low")[0] == met.column("high")[0]
+        found = met.column("set").combine_chunks()
+        ends, flat = found.offsets.to_numpy(), found.values.to_numpy()
+        label = alike(
+            [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)],
+            lambda i: (np.minimum(kinds[i], kinds[i + 1 :]) == least) & (same | (tile[i + 1 :] != tile[i])), similarity,
+        )
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": rows[moved], "b": rows[label[moved]]})
+
+    return dealt.groupBy("component", "span", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, width: int = STAGE_WIDTH, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """The rows of docs without near copies: of each group the row of the smallest (doc_id, arrival) stays.
 
-    Groups are the components of links among fingerprints of `words` times 64 bits. Rows of equal
-    lower-cased words are one class, whose first row alone gets a fingerprint. Null and empty texts are
+    Groups are the components of links among texts whose sets of lower-cased shingles have at least
+    the Jaccard similarity. Components of fingerprints of `words` times 64 bits say which texts are compared. Rows of
+    equal lower-cased words are one class, whose first row alone gets a fingerprint. Null and empty texts are
     copies of each other; null ids come last. Columns stay as they are; an empty table gives none.
     """
     names = docs.columns
@@ -198,8 +280,12 @@ def one_of_each(docs: DataFrame, width: int = STAGE_WIDTH, words: int = STAGE_WO
     firsts, _ = written(exact.select(F.col("rank.row").alias("_row"), "rank"), "firsts")
     names_of = print_names(words)
     prints, _ = written(fingerprints(held.select("_row", "text").join(firsts.select("_row"), "_row"), "_row", width, words), "fingerprints")
-    ranked, _ = written(prints.join(firsts, "_row").groupBy(*names_of).agg(F.min("rank").alias("rank"), F.min("_row").alias("node")), "classes")
-    component, _ = written(connected_components(links(ranked, "node", names_of, radius)), "components")
-    of_class = ranked.select("node", "rank").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes, _ = written(prints.groupBy(*names_of).agg(F.min("_row").alias("node"), F.count("*").alias("n")), "classes")
+    near = connected_components(links(classes, "node", names_of, radius))
+    crowds = classes.join(near, "node", "left").where("component is not null or n > 1").select(*names_of, F.coalesce("component", "node").alias("component"))
+    crowds, _ = written(prints.join(crowds, names_of).select("_row", "component"), "crowds")
+    members = held.select("_row", "text").join(crowds, "_row")
+    group, _ = written(connected_components(verified(members, width, similarity)).withColumnRenamed("node", "_row"), "components")
+    of_class = firsts.join(group, "_row", "left").withColumn("component", F.coalesce("component", "_row"))
     kept = of_class.groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("_row"))
     return held.join(kept, "_row", "left_semi").select(*names)
