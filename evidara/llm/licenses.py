@@ -7,6 +7,7 @@ examples kept aside calibrates it. A family stands only if the paragraph holds a
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,6 +58,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under the Creative Commons Attribution License.",
     ),
+    "CC-BY-NC": (
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ),
     "CC0": (
         "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal dedication.",
         "This is free and unencumbered software released into the public domain.",
@@ -66,12 +71,24 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     ),
 }
+#: Short identifiers of the families, as they stand in source files.
+SPDX = {
+    "MIT": ("MIT",), "Apache-2.0": ("Apache-2.0",), "GPL": ("GPL-2.0", "GPL-3.0"), "LGPL": ("LGPL-2.1", "LGPL-3.0"), "AGPL": ("AGPL-3.0",), "BSD": ("BSD-2-Clause", "BSD-3-Clause"),
+    "MPL-2.0": ("MPL-2.0",), "CC-BY": ("CC-BY-4.0",), "CC-BY-NC": ("CC-BY-NC-4.0",), "CC0": ("CC0-1.0",), "ISC": ("ISC",),
+}
+TEMPLATES = {f: (*n, *(f"SPDX-License-Identifier: {x}" for x in SPDX[f])) for f, n in TEMPLATES.items()}
 #: Notices of no family, to which a made-up name is given.
 UNKNOWN = (
     "Released under the {} License.", "Licensed under the {} License, version {}.", "This work is licensed under the {} Public License, version {}.",
     "Use of this software is governed by the {} licence agreement.", "All rights reserved under the terms of the {} license.",
+    "SPDX-License-Identifier: {}-{}.0", "Licensed under {} {}.0.", "Copyright (c) {} {}.",
 )
 
+#: Words of notices: a line of the corpus with one may be a notice that no template holds, so it is no example of other text.
+CUES = re.compile(r"licen[sc]e|spdx|copyright|\(c\)|©|\bcc[ -](by|0)|public domain|hereby granted|redistribut|warrant", re.I)
+#: Lines that are notices whatever the classifier says of words it hasn't met.
+NOTICE = re.compile(r"spdx-license-identifier|\blicen[sc]ed under\b|\breleased under the\b.*\blicen[sc]e\b|\bcopyright (\(c\)|©|\d{4})|\bcc[ -]by\b", re.I)
+
 NONE, OTHER = "none", "unknown"
 CLASSES = (NONE, OTHER, *TEMPLATES)
 BITS = 18
@@ -131,7 +148,7 @@ def grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 def examples(lines: list[str], seed: int = 5) -> tuple[list[str], np.ndarray]:
     """Texts and classes to learn from: notices set in other text, made-up licences, other text with words of notices, and lines of the corpus.
 
-    Lines of the corpus that hold a template are examples of its family, the others of no licence.
+    Lines of the corpus that hold a template are examples of its family, others without a word of notices of no licence.
     """
     draw = np.random.default_rng(seed)
     plain = [x.split() for x in lines if x.split()] or [["text"]]
@@ -160,9 +177,10 @@ def examples(lines: list[str], seed: int = 5) -> tuple[list[str], np.ndarray]:
         texts.append(" ".join(words))
         classes.append(CLASSES.index(NONE))
     for line in lines:
-        found = max(((contained(line, f), f) for f in TEMPLATES), default=(0, NONE))
-        texts.append(line)
-        classes.append(CLASSES.index(found[1]) if found[0] >= SIMILARITY else 0)
+        share, family = surest(line)
+        if share >= SIMILARITY or not CUES.search(line):
+            texts.append(line)
+            classes.append(CLASSES.index(family) if share >= SIMILARITY else 0)
     return texts, np.array(classes)
 
 
@@ -180,6 +198,13 @@ def contained(text: str, family: str) -> float:
     return max(len(own & t) / len(t) for t in _shingles[family])
 
 
+def surest(text: str) -> tuple[float, str]:
+    """The family of which the text holds the largest share of a template, of equals the longest template, and that share."""
+    own = shingles(text)
+    share, _, family = max((len(own & t) / len(t), len(t), f) for f, n in _shingles.items() for t in n)
+    return share, family
+
+
 def fit(lines: list[str]) -> Model:
     """The classifier, from the templates and lines of the corpus (which may be none)."""
     texts, y = examples(lines)
@@ -246,14 +271,21 @@ def scan(model: Model) -> Column:
             doc = np.searchsorted(offsets, starts[some], "right") - 1
             best: dict[int, tuple] = {}
             top = odds[:, 1:].max(axis=1, initial=0)
-            for i in np.flatnonzero((odds[:, 0] < SURE) & (top > odds[:, 0]) & (top >= LIKELY)):
+            likely = (odds[:, 0] < SURE) & (top > odds[:, 0]) & (top >= LIKELY)
+            for i in np.flatnonzero(~likely):
+                likely[i] = bool(NOTICE.search(data[starts[some[i]] : starts[some[i] + 1]].tobytes().decode("utf-8", "replace")))
+            for i in np.flatnonzero(likely):
                 d, s = int(doc[i]), int(some[i])
                 own = data[starts[s] : starts[s + 1]].tobytes().decode("utf-8", "replace")
                 k = int(np.argmax(odds[i, 1:])) + 1
                 family, sure = CLASSES[k], False
                 if family != OTHER:
                     sure = odds[i, k] >= SURE and contained(own, family) >= SIMILARITY
-                    family = family if sure else OTHER
+                if not sure:
+                    share, family = surest(own)
+                    sure = share >= SIMILARITY
+                    k = CLASSES.index(family if sure else OTHER)
+                family = CLASSES[k]
                 number = s - int(np.searchsorted(starts, offsets[d]))
                 held = best.get(d)
                 n = held[1] + 1 if held else 1
