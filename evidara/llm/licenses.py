@@ -1,13 +1,15 @@
 """License scans: a trained paragraph classifier, its predictions confirmed against templates.
 
-A paragraph is a line with a word. Softmax regression over hashed word n-grams, sparse by an L1 step,
+The classifier reads lines with a word. Softmax regression over hashed word n-grams, sparse by an L1 step,
 tells licence families, notices of licences unknown to it, and other text apart; a temperature fitted to
-examples kept aside calibrates it. A family stands only if the paragraph holds a template of it.
+examples kept aside calibrates it. A family stands only if the line holds a template of it, or
+has a part in one together with the lines around it up to a blank one.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -163,6 +165,14 @@ def examples(lines: list[str], seed: int = 5) -> tuple[list[str], np.ndarray]:
         for k in range(EXAMPLES):
             texts.append(set_in(notices[k % len(notices)].split()))
             classes.append(CLASSES.index(family))
+    # Long notices as they are wrapped: a line has a part of one.
+    for family, notices in TEMPLATES.items():
+        long = [w for w in (t.split() for t in notices) if len(w) > 12]
+        for k in range(EXAMPLES // 2 if long else 0):
+            words = long[k % len(long)]
+            at = int(draw.integers(0, len(words) - 6))
+            texts.append(" ".join(words[at : at + int(draw.integers(6, 13))]))
+            classes.append(CLASSES.index(family))
     for k in range(3 * EXAMPLES):
         name = " ".join("".join(draw.choice(list("abcdefghilmnoprstuvz"), draw.integers(3, 9))).capitalize() for _ in range(draw.integers(1, 3)))
         texts.append(set_in(UNKNOWN[k % len(UNKNOWN)].format(name, draw.integers(1, 5)).split()))
@@ -189,6 +199,10 @@ def shingles(text: str) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
 
 
+#: The words of the longest template.
+LONGEST = max(len("".join(c if c.isalnum() else " " for c in t).split()) for n in TEMPLATES.values() for t in n)
+FAMILIES = pa.list_(pa.struct([("family", pa.string()), ("line", pa.int32()), ("probability", pa.float64())]))
+
 _shingles = {f: [shingles(t) for t in notices] for f, notices in TEMPLATES.items()}
 
 
@@ -255,9 +269,12 @@ def learn(docs: DataFrame, documents: int = DOCUMENTS, lines: int = LINES) -> Mo
 
 
 def scan(model: Model) -> Column:
-    """For the column text: struct of family, probability, confirmed, line (from 0) and paragraphs that look like notices."""
+    """For the column text: struct of family, probability, confirmed, line (from 0), lines that look like notices, and families.
 
-    @F.arrow_udf("struct<family: string, probability: double, confirmed: boolean, line: int, notices: int>")
+    families: each confirmed family with its first line and its probability there, by line.
+    """
+
+    @F.arrow_udf("struct<family: string, probability: double, confirmed: boolean, line: int, notices: int, families: array<struct<family: string, line: int, probability: double>>>")
     def scanned(text: pa.Array) -> pa.Array:
         seen = np.zeros(1 << BITS, dtype=bool)
         seen[model.feature] = True
@@ -269,38 +286,65 @@ def scan(model: Model) -> Column:
             some, which = np.unique(line[hit], return_inverse=True)
             odds = softmax(model.log_odds(which, found[hit], len(some))) if len(some) else np.zeros((0, len(CLASSES)))
             doc = np.searchsorted(offsets, starts[some], "right") - 1
+            home = np.searchsorted(offsets, starts, "right") - 1
             best: dict[int, tuple] = {}
+            sure_lines: dict[int, dict[str, tuple[int, float]]] = {}
+
+            def text_of(s: int, data: np.ndarray = data, starts: np.ndarray = starts) -> str:
+                return data[starts[s] : starts[s + 1]].tobytes().decode("utf-8", "replace")
+
+            def around(s: int, step: int, text_of: Callable[[int], str] = text_of, home: np.ndarray = home) -> str:
+                """The lines of the paragraph before or after a line that a template may reach over."""
+                got, n = [], 0
+                k = s + step
+                while n < LONGEST and 0 <= k < len(home) - 1 and home[k] == home[s]:
+                    line = text_of(k)
+                    words = sum(any(c.isalnum() for c in w) for w in line.split())
+                    if not words:
+                        break
+                    got.append(line)
+                    n += words
+                    k += step
+                return " ".join(got[::step])
+
             top = odds[:, 1:].max(axis=1, initial=0)
             likely = (odds[:, 0] < SURE) & (top > odds[:, 0]) & (top >= LIKELY)
             for i in np.flatnonzero(~likely):
                 likely[i] = bool(NOTICE.search(data[starts[some[i]] : starts[some[i] + 1]].tobytes().decode("utf-8", "replace")))
             for i in np.flatnonzero(likely):
                 d, s = int(doc[i]), int(some[i])
-                own = data[starts[s] : starts[s + 1]].tobytes().decode("utf-8", "replace")
+                own = text_of(s)
                 k = int(np.argmax(odds[i, 1:])) + 1
                 family, sure = CLASSES[k], False
                 if family != OTHER:
                     sure = odds[i, k] >= SURE and contained(own, family) >= SIMILARITY
                 if not sure:
                     share, family = surest(own)
+                    if share < SIMILARITY:  # perhaps a notice that is wrapped over lines
+                        before, after = around(s, -1), around(s, 1)
+                        share, family = surest(f"{before} {own} {after}")
+                        if share <= max(contained(before, family), contained(after, family)):
+                            share = 0.0  # the notice of other lines
                     sure = share >= SIMILARITY
                     k = CLASSES.index(family if sure else OTHER)
                 family = CLASSES[k]
                 number = s - int(np.searchsorted(starts, offsets[d]))
+                if sure:
+                    sure_lines.setdefault(d, {}).setdefault(family, (number, float(odds[i, k])))
                 held = best.get(d)
                 n = held[1] + 1 if held else 1
                 now = (sure, float(odds[i, k]), -number, family)
                 best[d] = (max(now, held[0]) if held else now, n)
             for d in range(len(offsets) - 1):
                 (sure, p, number, family), n = best.get(d, ((False, 0.0, 1, NONE), 0))
-                rows.append({"family": family, "probability": p, "confirmed": bool(sure), "line": -number, "notices": n})
-        return pa.array(rows, pa.struct([("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_()), ("line", pa.int32()), ("notices", pa.int32())]))
+                rows.append({"family": family, "probability": p, "confirmed": bool(sure), "line": -number, "notices": n, "families": [{"family": f, "line": at, "probability": q} for f, (at, q) in sure_lines.get(d, {}).items()]})
+        return pa.array(rows, pa.struct([("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_()), ("line", pa.int32()), ("notices", pa.int32()), ("families", FAMILIES)]))
 
     return scanned(F.col("text"))
 
 
 def scanned(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Rows (doc_id, family, probability, confirmed, line, notices), one for each of docs (doc_id, text).
+    """Rows (doc_id, family, probability, confirmed, line, notices, families), one for each of docs (doc_id, text).
 
     family: the surest confirmed family among the paragraphs, "unknown" if only unconfirmed notices are found,
     "none" (probability 0, line -1, notices 0) without any, as for null and empty texts. Repeated

@@ -31,3 +31,16 @@ def test_lines_of_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = licenses.scanned(docs).join(docs, "doc_id").where("text like '%Licensed under CC BY-NC 4.0.%'")
     assert {(r.family, r.confirmed) for r in got.collect()} == {("CC-BY-NC", True)}
+
+
+def test_wrapped_and_dual_notices(spark, model):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction."
+    dual = f"{NOISE}\nReleased under the MIT License.\n{NOISE}\n\nLicensed under the Apache License, Version 2.0.\n{NOISE}"
+    beside = "Licensed under the Quxly Gralto terms.\nReleased under the MIT License."
+    cut = mit.replace("copy\n", "copy\n\n")
+    got = scan(spark, model, [gpl, mit, dual, f"{gpl}\n\n{mit}", beside, cut])
+    assert [(got[i].family, got[i].confirmed) for i in (0, 1, 5)] == [("GPL", True), ("MIT", True), ("unknown", False)]
+    assert [(f.family, f.line) for f in got[2].families] == [("MIT", 1), ("Apache-2.0", 4)]
+    assert {f.family for f in got[3].families} == {"GPL", "MIT"}
+    assert [(f.family, f.line) for f in got[4].families] == [("MIT", 1)]
