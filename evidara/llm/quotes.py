@@ -1,8 +1,8 @@
 """Chat formatting: quotation linking. Quotes are parsed, linked to the messages they are from, and left out of the chat.
 
 DataFrame functions only. Lines that begin with > are quotes, one level a mark. Consecutive lines of one
-level are a passage. Passages and their lines, normalised and hashed, are joined to the first
-message of the conversation that has them; the message that most of a passage comes from is its
+level are a passage. Passages, their paragraphs, lines and sentences, normalised and hashed, meet the
+latest earlier message of the conversation that has them; the message that most of a passage comes from is its
 original, and the original of a message's outermost passages is what it replies to.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from evidara.llm.runtime import remove, table, written
 
 QUOTE = r"^[ \t]*((?:>[ \t]?)+)"
+#: White space after the end of a sentence.
+SENTENCE = r"(?<=[.!?…。！？])\s+"
 #: A line that only says whose words follow.
 ATTRIBUTION = r"(?i)^\s*(on|am|le|el)\b.*\b(wrote|schrieb|écrit|escribió)\s*:\s*$"
 
@@ -37,13 +39,18 @@ def own_lines(lines: Column) -> Column:
     return F.filter(lines, stays)
 
 
+def pieces(text: Column) -> Column:
+    """The text, its paragraphs, lines and their sentences, normalised, each once."""
+    paragraphs, lines = F.split(text, r"\n[ \t]*\n"), F.split(text, "\n")
+    some = F.transform(F.concat(F.array(text), paragraphs, lines), normalised)
+    sentences = F.flatten(F.transform(some, lambda x: F.split(x, SENTENCE)))
+    return F.array_distinct(F.concat(some, sentences))
+
+
 def units(rows: DataFrame) -> DataFrame:
-    """Rows (conv_id, hash, norm, turn, row): the first message of a conversation with a line, paragraph or body that normalises so."""
-    pieces = F.concat(F.split("body", "\n"), F.split("body", r"\n[ \t]*\n"), F.array("body"))
-    some = rows.select("conv_id", "turn", "row", F.explode(F.array_distinct(pieces)).alias("piece")).select("conv_id", "turn", "row", normalised(F.col("piece")).alias("norm"))
-    some = some.where("norm <> '' and turn is not null")
-    first = some.groupBy("conv_id", F.xxhash64("norm").alias("hash"), "norm").agg(F.min(F.struct("turn", "row")).alias("first"))
-    return first.select("conv_id", "hash", "norm", F.col("first.turn").alias("turn"), F.col("first.row").alias("row"))
+    """Rows (conv_id, hash, norm, turn, row): the pieces of each message; of messages of one turn the last row has them."""
+    some = rows.where("turn is not null").select("conv_id", "turn", "row", F.explode(pieces(F.col("body"))).alias("norm")).where("norm <> ''")
+    return some.groupBy("conv_id", F.xxhash64("norm").alias("hash"), "norm", "turn").agg(F.max("row").alias("row"))
 
 
 def passages(rows: DataFrame) -> DataFrame:
@@ -61,12 +68,18 @@ def passages(rows: DataFrame) -> DataFrame:
 def originals(quoted: DataFrame, rows: DataFrame) -> DataFrame:
     """quoted with from_turn and from_row: the earlier message that most characters of the passage are first found in, if any.
 
-    A passage is looked for whole and by its lines; of equals the latest message is taken.
+    A passage is looked for whole, by its paragraphs, lines and sentences, each in the latest earlier message that has it.
     """
-    pieces = F.array_distinct(F.concat(F.array("text"), F.split("text", "\n")))
-    looked = quoted.select("conv_id", F.col("turn").alias("at_turn"), F.col("row").alias("at_row"), "passage", F.explode(pieces).alias("piece")).withColumn("norm", normalised(F.col("piece"))).where("norm <> ''")
+    looked = quoted.select("conv_id", F.col("turn").alias("at_turn"), F.col("row").alias("at_row"), "passage", F.explode(pieces(F.col("text"))).alias("norm")).where("norm <> '' and at_turn is not null")
+    looked = looked.withColumn("hash", F.xxhash64("norm"))
     sources = rows.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
-    found = looked.withColumn("hash", F.xxhash64("norm")).join(units(sources), ["conv_id", "hash", "norm"]).where("turn < at_turn")
+    key = ["conv_id", "hash", "norm"]
+    held = units(sources).join(looked.select(*key).distinct(), key, "left_semi").select(*key, F.col("turn").alias("at"), F.struct("turn", "row").alias("source"), F.lit(None).cast("long").alias("at_row"), F.lit(None).cast("int").alias("passage"))
+    asked = looked.select(*key, F.col("at_turn").alias("at"), F.lit(None).cast(held.schema["source"].dataType).alias("source"), "at_row", "passage")
+    # One row a message and one a quote of a piece, never their pairs.
+    earlier = Window.partitionBy(*key).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    found = held.union(asked).withColumn("last", F.max("source").over(earlier)).where("at_row is not null and last is not null")
+    found = found.select("at_row", "passage", "norm", F.col("last.turn").alias("turn"), F.col("last.row").alias("row"))
     share = found.groupBy("at_row", "passage", "turn", "row").agg(F.sum(F.length("norm")).alias("share"))
     best = share.groupBy("at_row", "passage").agg(F.max(F.struct("share", "turn", "row")).alias("b"))
     best = best.select(F.col("at_row").alias("row"), "passage", F.col("b.turn").alias("from_turn"), F.col("b.row").alias("from_row"))
