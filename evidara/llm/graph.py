@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from evidara.llm.runtime import remove, written
 
+#: A node with more edges than this, and than one in MOST_HUBS of all edges, is a hub: there are at most MOST_HUBS.
+HUB, MOST_HUBS = 1_000, 50_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component): component is the smallest node reachable over edges (a, b), for every node with an edge.
@@ -14,7 +17,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternating large-star and small-star contraction: each round sends every node's larger, then
     smaller, neighbours to the smallest one, until only stars are left. A round is joins and grouped
     minima over the edge list; no neighbourhood is gathered, so a hub may hold any part of the
-    edges. Rounds are written to the shared folder. Null and self edges are ignored; an empty edge
+    edges, and what is joined to its edges is sent to every task (two numbers for each of at most MOST_HUBS hubs).
+    Rounds are written to the shared folder. Null and self edges are ignored; an empty edge
     list gives an empty result.
     """
     spark = edges.sparkSession
@@ -27,10 +31,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if tuple(found) == seen or not found[0]:
             break
         seen = tuple(found)
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        # Edges are (larger, smaller). A node's larger neighbours go to its smallest one, or to itself.
+        least = now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        if found[0] > HUB:
+            hubs = now.groupBy("v").count().where(F.col("count") > max(HUB, found[0] // MOST_HUBS)).select("v", F.lit(True).alias("hub"))
+            marked = now.join(F.broadcast(hubs), "v", "left")
+            of_hubs = hubs.join(least, "v")
+            met = marked.where("hub").drop("hub").join(F.broadcast(of_hubs.drop("hub")), "v", "left").select("u", "v", "m")
+            met = met.union(marked.where("hub is null").drop("hub").join(least, "v", "left").select("u", "v", "m"))
+        else:
+            met = now.join(least, "v", "left")
+        large = met.select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s"))
         small = small.select(F.col("s.u").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct()

@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(names: list[str], like: str) -> str:
+    """A column name that isn't among names, whatever the case."""
+    taken = {n.lower() for n in names}
+    while like.lower() in taken:
+        like += "_"
+    return like
+
+
 _shipped: set[str] = set()
 
 
