@@ -1,15 +1,16 @@
 """Embedding near-duplicates by p-stable hashing: quantised random projections, then exact cosines.
 
 Every distinct vector, made one long, is projected on random directions; floors of the shifted
-projections, some of them together, name its bucket in each table. Vectors of a bucket meet in tiles, where
-numpy takes exact cosines and returns a spanning forest of the links. Components of the forest are
-closed under links that were met; within them all cosines are taken for the numbers of links.
+projections, some of them together, name its bucket in each table. Vectors go to their buckets with a byte a
+component, which is enough to rule out all pairs but those at the threshold or within a proven error of it;
+buckets meet in tiles, where numpy returns a spanning forest of what is left. Exact vectors move once, to the
+components of that forest: there all cosines are taken in double precision, for links and their numbers.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +21,19 @@ from evidara.llm.graph import connected_components
 from evidara.llm.kernels import mix
 from evidara.llm.runtime import ship, table, written
 from evidara.llm.simhash import joined
+from evidara.llm.tiles import MOST_SENT, dealt, gathered, meetings
 
 THRESHOLD = 0.9
 #: The width of a projection's steps. Near the best for vectors of length one.
 WIDTH = 2.5
-#: The number of unrelated vectors that share a bucket on average, and the chance that two at the threshold meet.
-CROWD, MET = 50, 0.999
+#: The number of unrelated vectors that share a bucket on average, and the chance that two at the threshold meet. Products of
+#: bytes are cheap beside rows that are sent: larger buckets need fewer tables.
+CROWD, MET = 1_000, 0.999
 SEED = 20_240_601
-#: More buckets in tiles than this are joined by a shuffle, not sent to every task.
-MOST_SENT = 100_000
+#: Rows of a tile of a bucket, and of a component.
+TILE, TILE_EXACT = 1 << 12, 1 << 11
+#: A vector with more copies than this, and than one in MOST_SENT of all rows, is joined by a broadcast: there are at most MOST_SENT.
+HOT = 1_000
 
 
 def share(distance: float) -> float:
@@ -52,48 +57,17 @@ def unit(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def tile_size(least: int) -> Callable:
-    """Tiles of a group of n: the root of n rows each, or least, so that rows sent and meetings grow alike."""
-    return lambda n: F.ceil(n / F.greatest(F.lit(least), F.sqrt(n))).cast("int")
-
-
-def dealt(rows: DataFrame, members: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows of groups over keys, each once for every meeting of two tiles of its group: columns own, a and b are added.
-
-    A group of one tile meets itself. How many tiles a group has is counted first, over members:
-    the same rows without what they carry.
-    """
-    large = members.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > least).select(*keys, tile_size(least)(F.col("n")).alias("tiles"))
-    large, _ = written(large, "large")
-    large = F.broadcast(large) if large.count() <= MOST_SENT else large
-    tiles = F.coalesce("tiles", F.lit(1))
-    rows = rows.join(large, keys, "left").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), tiles).cast("int"))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1))).drop("tiles")
-    return met.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("other")
-
-
-def meetings(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """The groups of batches that are sorted by keys, groups of one row left out."""
-    rest: pa.RecordBatch | None = None
-    for batch in batches:
-        now = batch if rest is None else pa.concat_batches([rest, batch])
-        cols = [now.column(k).to_numpy() for k in keys]
-        new = np.zeros(now.num_rows + 1, dtype=bool)
-        new[0] = new[-1] = True
-        for c in cols:
-            new[1:-1] |= c[1:] != c[:-1]
-        bounds = np.flatnonzero(new)
-        for i in np.flatnonzero(np.diff(bounds[:-1]) > 1):
-            yield now.slice(bounds[i], bounds[i + 1] - bounds[i])
-        rest = now.slice(bounds[-2]) if now.num_rows else None
-    if rest is not None and rest.num_rows > 1:
-        yield rest
+def as_bytes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of length one as signed bytes, the scale of each, and the length of what rounding took from it."""
+    scale = np.abs(x).max(axis=1, keepdims=True) / 127
+    q = np.rint(x / scale)
+    return q.astype(np.int8), scale[:, 0], np.sqrt(((x - q * scale) ** 2).sum(axis=1))
 
 
 def links(x: np.ndarray, own: np.ndarray, a: int, b: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) of linked vectors among two tiles, or within one if a is b; each link once, in pieces."""
     first, second = (np.arange(len(x)),) * 2 if a == b else (np.flatnonzero(own == a), np.flatnonzero(own == b))
-    step = max(1, (1 << 20) // max(1, len(second)))
+    step = max(1, (1 << 22) // max(1, len(second)))
     for at in range(0, len(first), step):
         i, j = np.nonzero(x[first[at : at + step]] @ x[second].T >= threshold)
         i, j = first[at + i], second[j]
@@ -104,11 +78,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """Rows (vec_id, n_links, component_id, kept) for vectors (vec_id, embedding).
 
     Links are pairs of rows of cosine >= threshold, taken in double precision. n_links counts the
-    other rows linked directly (in one component of the links that hashing has met), component_id is
+    other rows linked directly (within what hashing has joined), component_id is
     the smallest vec_id reachable, kept marks its row. Null and zero vectors, and vectors that hold null or
-    non-finite components, link with nothing, as do vectors of unlike dimensions. Equal vectors
-    are compared once. Repeated rows keep a row each; a null vec_id is no component's smallest
-    unless it is alone.
+    non-finite components, link with nothing, as do vectors of unlike dimensions. Equal vectors, told by
+    96 bits of two hashes, are compared once. Repeated rows keep a row each; a null vec_id is no component's
+    smallest unless it is alone. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -117,11 +91,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<double>" if kind == "<f8" else "array<float>"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     valid = F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    classes = vectors.where(valid).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    same = ["h1", "h2", "dim"]
+    hashes = [F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"), F.size("embedding").alias("dim")]
+    classes = vectors.where(valid).select("vec_id", "embedding", *hashes).groupBy(*same).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     classes, _ = written(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     each, tables = plan(classes.count(), threshold)
 
-    def hashed(full: bool) -> Callable:
+    def hashed(full: bool):
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for at in range(0, whole.num_rows, 1024):
@@ -130,32 +106,38 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                     values, ends = col.values.to_numpy().astype(kind), col.offsets.to_numpy()
                     for dim in np.unique(np.diff(ends)):
                         rows = np.flatnonzero(np.diff(ends) == dim)
-                        raw = [values[ends[r] : ends[r] + dim].tobytes() for r in rows]
+                        x = unit([values[ends[r] : ends[r] + dim].tobytes() for r in rows], kind)
                         draw = np.random.default_rng([SEED, int(dim)])
-                        steps = np.floor((unit(raw, kind) @ draw.standard_normal((dim, tables * each)) + draw.uniform(0, WIDTH, tables * each)) / WIDTH)
+                        steps = np.floor((x @ draw.standard_normal((dim, tables * each)) + draw.uniform(0, WIDTH, tables * each)) / WIDTH)
                         steps = steps.astype(np.int64).view(np.uint64).reshape(len(rows), tables, each)
                         key = np.zeros((len(rows), tables), dtype=np.uint64)
                         for k in range(each):
                             key = mix(key + steps[:, :, k])
-                        out = {"tab": pa.array(np.tile(dim * tables + np.arange(tables), len(rows))), "key": pa.array(key.view(np.int64).ravel()), "node": pa.array(np.repeat(node[rows], tables))}
+                        out = {"tab": pa.array(np.tile(dim * tables + np.arange(tables), len(rows))), "key": pa.array(key.view(np.int64).ravel())}
                         if full:
-                            out["vec"] = pa.array(raw, pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), tables)))
+                            q, scale, lost = as_bytes(x)
+                            again = pa.array(np.repeat(np.arange(len(rows)), tables))
+                            out["node"] = pa.array(node[rows]).take(again)
+                            out["vec"] = pa.FixedSizeBinaryArray.from_buffers(pa.binary(int(dim)), len(rows), [None, pa.py_buffer(q.tobytes())]).cast(pa.binary()).take(again)
+                            out |= {n: pa.array(v.astype(np.float32)).take(again) for n, v in (("scale", scale), ("lost", lost))}
                         yield pa.RecordBatch.from_pydict(out)
 
         return keys
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = classes.select("node", "embedding")
-    sizes = source.mapInArrow(hashed(False), "tab long, key long, node long")
-    rows = source.mapInArrow(hashed(True), "tab long, key long, node long, vec binary")
+    sizes = source.mapInArrow(hashed(False), "tab long, key long")
+    rows = source.mapInArrow(hashed(True), "tab long, key long, node long, vec binary, scale float, lost float")
     keys = ["tab", "key", "a", "b"]
-    met = dealt(rows, sizes, ["tab", "key"], 256).repartition(n, *keys).sortWithinPartitions(*keys)
+    met = gathered(dealt(rows, sizes, ["tab", "key"], TILE), keys)
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in meetings(batches, keys):
-            node, own = g.column("node").to_numpy(), g.column("own").to_numpy()
-            x, parent = unit(g.column("vec").to_pylist(), kind), np.arange(g.num_rows)
-            for i, j in links(x, own, g.column("a")[0].as_py(), g.column("b")[0].as_py(), threshold):
+            node, own, lost = (g.column(c).to_numpy() for c in ("node", "own", "lost"))
+            x = np.frombuffer(b"".join(g.column("vec").to_pylist()), np.int8).reshape(g.num_rows, -1) * g.column("scale").to_numpy()[:, None]
+            # |xy - x'y'| <= |x - x'| + |x'| |y - y'|; the last term is for single precision.
+            least = threshold - 2.1 * float(lost.max()) - 1e-4
+            parent = np.arange(g.num_rows)
+            for i, j in links(x, own, g.column("a")[0].as_py(), g.column("b")[0].as_py(), least):
                 parent = joined(parent, i, j)
             moved = np.flatnonzero(parent != np.arange(len(parent)))
             if len(moved):
@@ -164,24 +146,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     component, _ = written(connected_components(met.mapInArrow(forest, "a long, b long")), "components")
     crowd = component.join(classes, "node").select("component", "node", "copies", "embedding")
     keys2 = ["component", "a", "b"]
-    held = dealt(crowd, component, ["component"], 32).repartition(n, *keys2).sortWithinPartitions(*keys2)
+    held = gathered(dealt(crowd, component.select("component"), ["component"], TILE_EXACT), keys2)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in meetings(batches, keys2):
             node, own, copies = (g.column(c).to_numpy() for c in ("node", "own", "copies"))
             x, total = unit([np.array(v, dtype=kind).tobytes() for v in g.column("embedding").to_pylist()], kind), np.zeros(g.num_rows, dtype=np.int64)
+            parent = np.arange(g.num_rows)
             for i, j in links(x, own, g.column("a")[0].as_py(), g.column("b")[0].as_py(), threshold):
                 total += np.bincount(i, copies[j], len(total)).astype(np.int64) + np.bincount(j, copies[i], len(total)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(total)], names=["node", "links"])
-
-    total = held.mapInArrow(counted, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    least = component.join(classes, "node").groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = component.join(least, "component").join(total, "node", "left").select("node", "component_id", "links")
-    known = classes.join(linked, "node", "left").select("embedding", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known, _ = written(known, "known")
+                parent = joined(parent, i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(total), pa.array(node[parent])], names=["node", "links", "parent"])
+
+    found, _ = written(held.mapInArrow(counted, "node long, links long, parent long"), "links")
+    total = found.groupBy("node").agg(F.sum("links").alias("links"))
+    linked = connected_components(found.where("node <> parent"), "node", "parent").withColumnRenamed("component", "exact")
+    known = classes.drop("embedding").join(linked, "node", "left").join(total, "node", "left").withColumn("exact", F.coalesce("exact", "node"))
+    known, _ = written(known.select(*same, "least", "copies", "exact", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
+    least = known.groupBy("exact").agg(F.min("least").alias("component_id"))
+    n = vectors.count()
+    known, _ = written(known.join(least, "exact").select(*same, "copies", "n_links", "component_id"), "named")
+    # Rows of a very common vector aren't moved: what is joined to them is sent, for at most MOST_SENT vectors.
+    common = F.col("copies") > max(HOT, n // MOST_SENT)
+    told = vectors.where(valid).select("vec_id", *hashes).join(F.broadcast(known.where(common).drop("copies")), same, "left")
+    out = told.where("n_links is not null").select("vec_id", "n_links", "component_id")
+    rest = told.where("n_links is null").select("vec_id", *same).join(known.where(~common), same).select("vec_id", "n_links", "component_id")
     alone = vectors.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = vectors.where(valid).join(known, "embedding").select("vec_id", "n_links", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.unionByName(rest).unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
