@@ -32,10 +32,11 @@ def brands(s: SparkSession, d: str) -> DataFrame:
 
 def pair_knowledge(s: SparkSession, d: str) -> DataFrame:
     x, y = brands(s, d), brands(s, d)
-    met = x.select(F.col("brand").alias("x"), F.col("n").alias("nx")).join(y.select(F.col("brand").alias("y"), F.col("n").alias("ny")), F.col("x") < F.col("y"))
+    # A few dozen brands stand for the drugs: all their pairs are made.
+    met = joins.paired(x.select(F.col("brand").alias("x"), F.col("n").alias("nx")), y.select(F.col("brand").alias("y"), F.col("n").alias("ny")), F.col("x") < F.col("y"))
     r = (7 * F.col("nx") + 13 * F.col("ny")) % 5
     level = F.when(r == 0, "MAJOR").when(r == 1, "MODERATE").when(r == 2, "MINOR")
-    rows = met.select(text.term("x").alias("a"), text.term("y").alias("b"), level.alias("severity"), F.lit(None).cast("timestamp").alias("imported_at"), F.concat("x", "y").alias("id"))
+    rows = met.select(text.term("x").alias("a"), text.term("y").alias("b"), level.alias("severity"), F.lit(None).cast("timestamp").alias("imported_at"), F.concat("x", "y").alias("id"), F.col("x").alias("drug_a"), F.col("y").alias("drug_b"), F.initcap(F.lower(level)).alias("raw_severity"), F.lit(safety.PAIRS_SOURCE).alias("source"))
     return rows.where("severity is not null")
 
 
@@ -44,9 +45,9 @@ def disease_knowledge(s: SparkSession, d: str) -> DataFrame:
     ids = term.select("term", F.concat(F.lit("ID:"), "term").alias("identity")).union(s.createDataFrame([("FURNITURE", "ID:FURNITURE:2")], "term string, identity string"))
     r = (11 * F.col("n") + 3 * F.length("identity")) % 7
     level = F.when(r == 0, "HIGH").when(r == 1, "MODERATE").when(r == 2, "LOW")
-    rows = brands(s, d).join(ids, F.col("n") >= 0).withColumn("assessment", level).where("assessment is not null")
+    rows = joins.paired(brands(s, d), ids, None).withColumn("assessment", level).where("assessment is not null")
     none = F.lit(None).cast("string")
-    return rows.select(F.concat_ws("/", "brand", "identity").alias("id"), text.term("brand").alias("drug"), "identity", text.term("term").alias("disease"), F.lit("").alias("concept"), F.lit("").alias("snomed"), none.alias("cui"), F.lit(None).cast("timestamp").alias("imported_at"), "assessment")
+    return rows.select(F.concat_ws("/", "brand", "identity").alias("id"), text.term("brand").alias("drug"), "identity", text.term("term").alias("disease"), F.lit("").alias("concept"), F.lit("").alias("snomed"), none.alias("cui"), F.lit(None).cast("timestamp").alias("imported_at"), "assessment", F.col("term").alias("shown"), F.concat(F.lit("rel "), F.lower("assessment")).alias("relationship"), F.lit(safety.DISEASES_SOURCE).alias("source"), F.lit("v1").alias("version"))
 
 
 def lines(s: SparkSession, d: str) -> DataFrame:
@@ -65,6 +66,14 @@ def case(s: SparkSession, d: str) -> dict[str, DataFrame]:
     return {"consultations": consultations, "medicines": medicines, "conditions": conditions}
 
 
+def indications(s: SparkSession, d: str) -> DataFrame:
+    """Brands for each priority, by a rule on both; relationship and evidence are made up."""
+    priority = t(s, d, "orders").select("o_orderpriority").distinct()
+    fits = (F.col("n") + F.substring("o_orderpriority", 1, 1).cast("int")) % 2 == 0
+    ind = joins.paired(brands(s, d), priority, fits)
+    return ind.select(text.term("o_orderpriority").alias("indication"), F.col("brand").alias("drug"), text.term("brand").alias("normalised"), F.lit("indication").alias("relationship"), F.concat_ws(" | ", F.lit("indication"), "brand").alias("evidence"))
+
+
 @query(f"""WITH {DDI}, {ORDERS}
 SELECT o_orderkey AS consultation, coalesce(max(sev), 0)::INT AS severity_rank FROM orders LEFT JOIN proposed p ON p.l_orderkey = o_orderkey LEFT JOIN meds m ON m.l_orderkey = o_orderkey AND m.p_brand <> p.brand
 LEFT JOIN ddi ON a = least(p.brand, m.p_brand) AND b = greatest(p.brand, m.p_brand) GROUP BY ALL""")
@@ -90,27 +99,27 @@ def safety_assessment(s, d):
 
 @query(f"""WITH {DDI}, {ORDERS}, {DISEASES},
 ind AS (SELECT DISTINCT o_orderpriority AS priority, brand FROM (SELECT DISTINCT o_orderpriority FROM orders) JOIN brands ON (n + substr(o_orderpriority, 1, 1)::INT) % 2 = 0),
-cap AS (SELECT * FROM ind QUALIFY row_number() OVER (PARTITION BY priority ORDER BY brand) <= 8),
+cap AS (SELECT * FROM ind QUALIFY row_number() OVER (PARTITION BY priority ORDER BY brand) <= 25),
 c AS (SELECT o_orderkey, cap.brand, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey JOIN proposed p ON p.l_orderkey = o_orderkey JOIN cap ON priority = o_orderpriority WHERE cap.brand <> p.brand),
 i AS (SELECT c.o_orderkey, c.brand, max(sev) AS sev FROM c JOIN meds m ON m.l_orderkey = c.o_orderkey AND m.p_brand <> c.brand JOIN ddi ON a = least(c.brand, m.p_brand) AND b = greatest(c.brand, m.p_brand) GROUP BY ALL),
 f AS (SELECT c.o_orderkey, c.brand, max(sev) AS sev FROM c JOIN resolved ON term = c_mktsegment JOIN dd ON dd.brand = c.brand AND dd.identity = resolved.identity GROUP BY ALL),
 r AS (SELECT c.o_orderkey, c.brand, greatest(coalesce(i.sev, 0), coalesce(f.sev, 0)) AS o FROM c LEFT JOIN i USING (o_orderkey, brand) LEFT JOIN f USING (o_orderkey, brand))
 SELECT o_orderkey AS consultation, brand AS drug, (['NOT_EVALUATED', 'LOW', 'MODERATE', 'HIGH'])[o + 1] AS assessment, (row_number() OVER (PARTITION BY o_orderkey ORDER BY (CASE o WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE o END), brand))::INT AS rank FROM r QUALIFY rank <= 3""")
 def recommendations(s, d):
-    c = case(s, d)
-    priority = t(s, d, "orders").select("o_orderpriority").distinct()
-    fits = (F.col("n") + F.substring("o_orderpriority", 1, 1).cast("int")) % 2 == 0
-    ind = brands(s, d).join(priority, fits).select(text.term("o_orderpriority").alias("indication"), F.col("brand").alias("drug"), text.term("brand").alias("normalised"))
-    return ranking.ranked(**c, indications=ind, pair_knowledge=pair_knowledge(s, d), disease_knowledge=disease_knowledge(s, d), most=8)
+    return ranking.ranked(**case(s, d), indications=indications(s, d), pair_knowledge=pair_knowledge(s, d), disease_knowledge=disease_knowledge(s, d))
 
 
-@query(f"""WITH {DDI}, {ORDERS} SELECT o_orderkey AS consultation, cap.brand AS drug FROM orders JOIN proposed p ON p.l_orderkey = o_orderkey JOIN (SELECT priority, brand FROM (SELECT DISTINCT o_orderpriority AS priority FROM orders) JOIN brands ON (n + substr(priority, 1, 1)::INT) % 2 = 0
-  QUALIFY row_number() OVER (PARTITION BY priority ORDER BY brand) <= 5) cap ON priority = o_orderpriority WHERE cap.brand <> p.brand""")
+@query("""WITH proposed AS (SELECT l_orderkey, min(p_name) AS name FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+cap AS (SELECT priority, name FROM (SELECT DISTINCT o_orderpriority AS priority FROM orders) CROSS JOIN (SELECT DISTINCT p_name AS name FROM part) QUALIFY row_number() OVER (PARTITION BY priority ORDER BY name) <= 25)
+SELECT o_orderkey AS consultation, cap.name AS drug FROM orders JOIN proposed p ON p.l_orderkey = o_orderkey JOIN cap ON priority = o_orderpriority WHERE cap.name <> p.name""")
 def candidates_cut_then_exclude(s, d):
-    priority = t(s, d, "orders").select("o_orderpriority").distinct()
-    fits = (F.col("n") + F.substring("o_orderpriority", 1, 1).cast("int")) % 2 == 0
-    ind = brands(s, d).join(priority, fits).select(text.term("o_orderpriority").alias("indication"), F.col("brand").alias("drug"), text.term("brand").alias("normalised"))
-    return ranking.candidates(case(s, d)["consultations"], ind, 5)
+    """64 names of parts stand for the drugs of every priority, 25 of them stay; the proposal leaves after the cut."""
+    names = joins.paired(t(s, d, "part").select("p_name").distinct(), t(s, d, "orders").select("o_orderpriority").distinct(), None)
+    ind = names.select(text.term("o_orderpriority").alias("indication"), F.col("p_name").alias("drug"), text.term("p_name").alias("normalised"))
+    lines = t(s, d, "lineitem").join(t(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    proposed = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("p_name").alias("proposed"))
+    asked = t(s, d, "orders").join(proposed, "o_orderkey").select(F.col("o_orderkey").alias("consultation"), "proposed", F.col("o_orderpriority").alias("indication"))
+    return ranking.candidates(asked, ind)
 
 
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'")
@@ -274,7 +283,7 @@ def recommendation_input_hash(s, d):
 FROM customer LEFT JOIN (SELECT term, count(DISTINCT identity) AS n, min(identity) AS i FROM ids GROUP BY ALL) ON term = c_mktsegment""".format(DISEASES.partition(",\nresolved")[0]))
 def condition_resolutions(s, d):
     conditions = t(s, d, "customer").select(F.col("c_custkey").alias("condition"), F.col("c_mktsegment").alias("display"), F.lit(None).cast("string").alias("code"))
-    return safety.resolutions(conditions, disease_knowledge(s, d)).withColumnRenamed("condition", "c_custkey")
+    return safety.resolutions(conditions, disease_knowledge(s, d)).drop("knowledge_id").withColumnRenamed("condition", "c_custkey")
 
 
 @query("""SELECT p_partkey, p_name AS brand, p_type || ', "x"' AS salt FROM part""")

@@ -28,6 +28,19 @@ def term(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", " "))
 
 
+#: What a trim takes: white space of ASCII and Unicode, and the byte order mark.
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(c: Column | str) -> Column:
+    return F.btrim(col(c), F.lit(SPACES))
+
+
+def by_locale(c: Column | str) -> list[Column]:
+    """Sort keys: the order of a dictionary (a before B, e before é before f), then that of code points as a tie."""
+    return [F.collate(col(c), "UNICODE").asc(), col(c).asc()]
+
+
 def collapsed(c: Column | str) -> Column:
     """White space of any kind as single spaces, trimmed."""
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
@@ -54,12 +67,11 @@ def ingredient_terms(c: Column | str, synonyms: dict[str, str] = SYNONYMS) -> Co
 
 def concept_code(c: Column | str) -> Column:
     """C and seven digits, with or without its prefix; null for anything else."""
-    return F.nullif(F.regexp_extract(F.upper(F.trim(col(c))), CONCEPT_CODE, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.upper(trimmed(c)), CONCEPT_CODE, 1), F.lit(""))
 
 
 def local_code(c: Column | str) -> Column:
-    trimmed = F.trim(col(c))
-    return F.when(trimmed.startswith(LOCAL_PREFIX), trimmed)
+    return F.when(trimmed(c).startswith(LOCAL_PREFIX), trimmed(c))
 
 
 def identity(concept: Column | str, version: Column | str, disease: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidara.functions.text import col, first_filled
+from evidara.functions.text import col, first_filled, trimmed
 
 # Patterns and bounds of accepted input.
 NAME = r"^[A-Za-z][A-Za-z .'-]*$"
@@ -18,7 +18,7 @@ MOST_ITEMS = 100
 
 def filled(c: Column | str, most: int) -> Column:
     """A text of 1 to most characters after trimming."""
-    return F.coalesce(F.length(F.trim(col(c))).between(1, most), F.lit(False))
+    return F.coalesce(F.length(trimmed(c)).between(1, most), F.lit(False))
 
 
 def matches(c: Column | str, pattern: str) -> Column:
@@ -29,6 +29,17 @@ def within(c: Column | str, bounds: tuple[int, int]) -> Column:
     return F.coalesce(col(c).try_cast("int").between(*bounds), F.lit(False))
 
 
+def strong(c: Column | str) -> Column:
+    """A password of 8 to 128 characters with every kind of PASSWORD."""
+    kinds = [matches(c, p) for p in PASSWORD]
+    return F.coalesce(F.length(col(c)).between(8, 128), F.lit(False)) & kinds[0] & kinds[1] & kinds[2]
+
+
+def few(c: Column | str, most: int = MOST_ITEMS) -> Column:
+    """A list of at most `most` items; a null list is empty."""
+    return F.coalesce(F.size(col(c)), F.lit(0)) <= most
+
+
 def any_filled(*columns: Column | str) -> Column:
     return first_filled(*columns).isNotNull()
 

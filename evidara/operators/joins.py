@@ -36,18 +36,24 @@ def pairs_evidence(proposed: DataFrame, existing: DataFrame, evidence: DataFrame
 def tiered_lookup(rows: DataFrame, terms: DataFrame, row_id: str, exact: list[tuple[str, str]], part_of: list[tuple[str, str]], order: list[Column]) -> DataFrame:
     """Each row with its best term: by equality on any of exact; only rows without one by containment on part_of; else none.
 
-    order decides among terms. Equality runs as a union of equi-joins. Containment has no key: the rows left
-    over meet the terms, of which Spark sends the smaller side.
+    order decides among terms. Every different text is looked up once, however many rows ask it, and each equality
+    has one best term for a key, so no arm gives more rows than there are texts. Containment has no key: the
+    texts left over meet the terms, of which Spark sends the smaller side.
     """
-    tier1 = reduce(DataFrame.union, [rows.select(row_id, F.col(a).alias("_key")).join(terms.withColumn("_key", F.col(b)), "_key").drop("_key") for a, b in exact])
-    tier1 = first_wins(tier1, [row_id], order).withColumn("tier", F.lit(1))
-    rest = rows.join(tier1.select(row_id), row_id, "left_anti")
+    asks = list(dict.fromkeys(a for a, _ in [*exact, *part_of]))
+    asked = rows.select(*asks).distinct().withColumn("_ask", F.to_json(F.struct(*asks), {"ignoreNullFields": "false"}))
+    arms = [asked.select("_ask", F.col(a).alias("_key")).join(first_wins(terms.withColumn("_key", F.col(b)), ["_key"], order), "_key").drop("_key") for a, b in exact]
+    tier1 = first_wins(reduce(DataFrame.union, arms), ["_ask"], order).withColumn("tier", F.lit(1))
+    rest = asked.join(tier1.select("_ask"), "_ask", "left_anti")
     held = reduce(lambda x, y: x | y, [(F.col(a) != "") & F.col(b).contains(F.col(a)) for a, b in part_of])
-    # Few distinct texts are left over; each is looked up once.
-    asked = rest.select(*{a for a, _ in part_of}).distinct()
-    tier2 = first_wins(asked.join(terms, held), [a for a, _ in part_of], order)
-    tier2 = rest.select(row_id, *{a for a, _ in part_of}).join(tier2, [a for a in {a for a, _ in part_of}]).drop(*{a for a, _ in part_of}).withColumn("tier", F.lit(2))
-    return rows.join(tier1.unionByName(tier2.select(tier1.columns)), row_id, "left")
+    tier2 = first_wins(rest.join(terms, held).drop(*asks), ["_ask"], order).withColumn("tier", F.lit(2))
+    found = tier1.unionByName(tier2)
+    return rows.withColumn("_ask", F.to_json(F.struct(*asks), {"ignoreNullFields": "false"})).join(found, "_ask", "left").drop("_ask")
+
+
+def paired(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    """Every pair of rows that `on` allows, where no equality helps. For short reference lists only: the sides are multiplied."""
+    return left.crossJoin(right).where(on) if on is not None else left.crossJoin(right)
 
 
 def nest_children(parents: DataFrame, children: DataFrame, key: str, fields: list[str], name: str) -> DataFrame:

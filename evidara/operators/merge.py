@@ -38,3 +38,19 @@ def versioned(old: DataFrame, changes: DataFrame, key: str, version: str = "vers
     met = changes.join(old.select(key, version), key)
     ok = F.col(expected).isNull() | (F.col(expected) == F.col(version))
     return met.where(ok), met.where(~ok)
+
+
+def without(df: DataFrame, gone: Column) -> DataFrame:
+    """df without the rows that are gone; a condition that is null keeps its row."""
+    return df.where(~F.coalesce(gone, F.lit(False)))
+
+
+def load_counts(old: DataFrame, new: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One row (relation, processed, inserted): rows that came, and keys among them that old hadn't."""
+    fresh = new.select(*keys).distinct().join(old.select(*keys).distinct(), keys, "left_anti").agg(F.count("*").alias("inserted"))
+    return new.agg(F.count("*").alias("processed")).crossJoin(fresh).select(F.lit(name).alias("relation"), "processed", "inserted")  # two single rows
+
+
+def edited(items: Column, remove: Column, add: Column) -> Column:
+    """An array without the items to remove, and with those to add that it hasn't."""
+    return F.array_union(F.array_except(items, remove), add)

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidara.functions.text import by_locale
+from evidara.operators.dedup import first_wins
+
 CANDIDATES, DEFAULT, MOST = 400, 30, 50
 
 
@@ -21,7 +24,7 @@ def any_of(fields: list[str], test) -> Column:
 def ordering(fields: list[str], query: str, tie: list[str]) -> list[Column]:
     """Rows of which a field begins with the query come first, then by the fields' text."""
     begins = F.when(any_of(fields, lambda c: c.startswith(query)), 0).otherwise(1)
-    return [begins.asc(), F.concat_ws(" ", *fields).asc(), *[F.col(t).asc() for t in tie]]
+    return [begins.asc(), *by_locale(F.concat_ws(" ", *fields)), *[F.col(t).asc() for t in tie]]
 
 
 def prefix_first(df: DataFrame, fields: list[str], query: str, tie: list[str], limit: int) -> DataFrame:
@@ -41,3 +44,36 @@ def contains(df: DataFrame, fields: list[str], query: str, tie: list[str], limit
     order = [F.concat_ws(" ", *fields).asc(), *[F.col(t).asc() for t in tie]]
     some = df.where(any_of(fields, lambda c: c.contains(query))).orderBy(*order).limit(CANDIDATES)
     return some.orderBy(*ordering(fields, query, tie)).limit(limit)
+
+
+def one_each(found: DataFrame, fields: list[str], query: str, tie: list[str], key: Column, limit: int | None) -> DataFrame:
+    """The first row of each key in the order of the search, cut to limit after that if it is named."""
+    order = ordering(fields, query, tie)
+    one = first_wins(found.withColumn("_key", key), ["_key"], order).drop("_key")
+    return one if limit is None else one.orderBy(*order).limit(limit)
+
+
+def medications(terms: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """Names of brands or generics: prefixes, or else parts. terms: id, brand, generic, normalised."""
+    return prefix_first(terms, ["brand", "generic"], query, ["id"], clamped(limit))
+
+
+def brands(terms: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    return contains(terms, ["brand"], query, ["id"], clamped(limit))
+
+
+def generics(terms: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """The cut comes before names that repeat are left out, so fewer may be left."""
+    return one_each(contains(terms, ["generic"], query, ["id"], clamped(limit)), ["generic"], query, ["id"], F.col("generic"), None)
+
+
+def indications(known: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """Names that repeat are left out before the cut. known: id, indication, normalised."""
+    return one_each(prefix_first(known, ["indication"], query, ["id"], CANDIDATES), ["indication"], query, ["id"], F.col("indication"), clamped(limit))
+
+
+def conditions(known: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """By disease, concept or alias; one row an identity, or a disease that has none. known: id, identity, disease, concept, snomed."""
+    fields = ["disease", "concept", "snomed"]
+    key = F.coalesce(F.nullif("identity", F.lit("")), "disease")
+    return one_each(prefix_first(known, fields, query, ["id"], CANDIDATES), fields, query, ["id"], key, clamped(limit))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions import ordinal, text
 from evidara.operators.dedup import first_wins
+from evidara.operators.merge import insert_ignore, load_counts, upsert, without
 from evidara.sources.files import picked
 
 
@@ -20,6 +23,18 @@ def interactions(raw: DataFrame, source: str, version: str) -> DataFrame:
     return rows.select("drug_a", "drug_b", "a", "b", F.col("level").alias("severity"), F.lit(source).alias("source"), F.lit(version).alias("version"), "file", "line")
 
 
+def loaded(old: DataFrame, new: DataFrame, keys: list[str], order: list, name: str, replace: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the relation after a load, its counts): rows of keys that are there already are ignored, or replaced."""
+    after = upsert(old, new, keys, order) if replace else insert_ignore(old, new, keys, order)
+    return after, load_counts(old, new, keys, name)
+
+
+def purged(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows without the dump's mark of null in any of the columns."""
+    marked = reduce(lambda x, y: x | y, [F.col(c) == "\\N" for c in columns])
+    return without(rows, marked)
+
+
 def loaded_interactions(clean: DataFrame) -> DataFrame:
     """One severity a pair, source and version: the first one loaded, not the highest."""
     return first_wins(clean, ["a", "b", "source", "version"], [F.col("file").asc(), F.col("line").asc()])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,30 +14,74 @@ from evidara.plans.safety import interactions, resolutions, rolled_up
 
 CANDIDATES, RANKED = 25, 3
 
+# What is said of every alternative.
+REASONS = (
+    "Candidate identified from a DrugCentral indication relationship.",
+    "DDInter 2.0 and DrugCentral are checked only for source relationships matching the recorded medicines and conditions.",
+    "No ML, FAERS, probability, or synthetic risk score is used.",
+)
+
+
+@dataclass(frozen=True)
+class Config:
+    """What a ranking may vary: candidates before the ranking, alternatives after it, and what is said of each."""
+
+    candidates: int = CANDIDATES
+    ranked: int = RANKED
+    reasons: tuple[str, ...] = REASONS
+
 
 def candidates(consultations: DataFrame, indications: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """Rows (consultation, drug): the first drugs by name for the indication, without the proposed one.
+    """Rows (consultation, drug) and what else indications says of the drug: the first drugs by name for the indication, without the proposed one.
 
     consultations: consultation, proposed, indication. indications: indication (normalised), drug, normalised. The
     cut comes before any ranking, and the proposed drug leaves after the cut.
     """
     asked = consultations.select("consultation", text.term("indication").alias("indication"), text.term("proposed").alias("current"))
-    drugs = first_wins(indications.select("indication", "drug", "normalised"), ["indication", "normalised"], [F.col("drug").asc()])
+    more = [c for c in indications.columns if c not in ("indication", "drug", "normalised")]
+    drugs = first_wins(indications, ["indication", "normalised"], [F.col("drug").asc()])
     # The cut is the same for all consultations of an indication: it is made once for each.
     first = top_k(drugs, ["indication"], [F.col("drug").asc(), F.col("normalised").asc()], most)
-    return asked.join(first, "indication").where("normalised <> current").select("consultation", "drug")
+    return asked.join(first, "indication").where("normalised <> current").select("consultation", "drug", *more)
 
 
-def ranked(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, indications: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame, most: int = CANDIDATES, k: int = RANKED) -> DataFrame:
-    """Rows (consultation, drug, assessment, rank): LOW before NOT_EVALUATED, MODERATE and HIGH, then by name."""
+def evaluated(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, indications: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame, most: int = CANDIDATES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(candidates, their interactions, their disease findings, their roll-up); a case is a consultation and a drug."""
     found = candidates(consultations, indications, most).withColumn("case", F.struct("consultation", "drug"))
     cases = found.select(F.col("case").alias("consultation"), F.col("drug").alias("proposed"))
     meds = medicines.join(found.select("consultation", "case"), "consultation").drop("consultation").withColumnRenamed("case", "consultation")
     # Conditions are resolved once for a consultation, whatever its number of candidates.
     ill = disease_findings_of(cases, found, conditions, disease_knowledge)
-    out = rolled_up(cases, interactions(cases, meds, pair_knowledge), ill)
-    out = out.select("consultation.consultation", "consultation.drug", F.col("overall").alias("assessment"))
-    return top_k(out, ["consultation"], [ordinal.rank("assessment", ordinal.RANKING).asc(), F.col("drug").asc()], k, "rank")
+    met = interactions(cases, meds, pair_knowledge)
+    return found, met, ill, rolled_up(cases, met, ill)
+
+
+def best(rolled: DataFrame, k: int) -> DataFrame:
+    """LOW before NOT_EVALUATED, MODERATE and HIGH, then by name in the order of a dictionary."""
+    out = rolled.select("consultation.consultation", "consultation.drug", F.col("overall").alias("assessment"), *[c for c in rolled.columns if c not in ("consultation", "overall", "assessment")], F.col("assessment").alias("disease_assessment"))
+    return top_k(out, ["consultation"], [ordinal.rank("assessment", ordinal.RANKING).asc(), *text.by_locale("drug")], k, "rank")
+
+
+def ranked(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, indications: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame, most: int = CANDIDATES, k: int = RANKED) -> DataFrame:
+    """Rows (consultation, drug, assessment, rank)."""
+    *_, rolled = evaluated(consultations, medicines, conditions, indications, pair_knowledge, disease_knowledge, most)
+    return best(rolled, k).select("consultation", "drug", "assessment", "rank")
+
+
+def explained(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, indications: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame, config: Config = Config()) -> DataFrame:
+    """ranked with what each alternative rests on: levels, numbers of findings, data status, its indication's relationship and evidence, reasons."""
+    found, _, _, rolled = evaluated(consultations, medicines, conditions, indications, pair_knowledge, disease_knowledge, config.candidates)
+    top = best(rolled, config.ranked)
+    return top.join(found.drop("case"), ["consultation", "drug"]).withColumn("reasons", F.array(*[F.lit(r) for r in config.reasons]))
+
+
+def findings(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, indications: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame, config: Config = Config()) -> DataFrame:
+    """Rows (consultation, drug, rank, kind, subject, level): the findings of the alternatives that are ranked."""
+    _, met, ill, rolled = evaluated(consultations, medicines, conditions, indications, pair_knowledge, disease_knowledge, config.candidates)
+    rows = met.select("consultation", F.lit("interaction").alias("kind"), F.col("medicine").cast("string").alias("subject"), F.col("severity").alias("level"))
+    rows = rows.union(ill.select("consultation", F.lit("disease"), F.col("condition").cast("string"), "assessment"))
+    rows = rows.select("consultation.consultation", "consultation.drug", "kind", "subject", "level")
+    return rows.join(best(rolled, config.ranked).select("consultation", "drug", "rank"), ["consultation", "drug"])
 
 
 def disease_findings_of(cases: DataFrame, found: DataFrame, conditions: DataFrame, knowledge: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +29,17 @@ def predicted(df: DataFrame, drug: str, age: str, n_medicines: str) -> DataFrame
     return out.withColumns({
         "risk": half_up(F.col("_risk")), "category": risk_category("_risk"), "lower": F.greatest(F.lit(0), half_up(F.col("_risk") - width)), "upper": F.least(F.lit(100), half_up(F.col("_risk") + width)),
     }).drop("_risk")
+
+
+@dataclass(frozen=True)
+class Provider:
+    """A source of predictions: a name, and a function that adds a column risk to a table of cases."""
+
+    name: str
+    predict: Callable[[DataFrame], DataFrame]
+
+
+def asked(cases: DataFrame, providers: list[Provider]) -> DataFrame:
+    """The cases once for each provider, with its name and its risk."""
+    found = [p.predict(cases).select(*cases.columns, "risk").withColumn("provider", F.lit(p.name)) for p in providers]
+    return reduce(DataFrame.unionByName, found)

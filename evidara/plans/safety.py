@@ -10,8 +10,8 @@ from evidara.operators.dedup import latest
 from evidara.operators.joins import pairs_evidence, union_equi_join
 
 
-def interactions(consultations: DataFrame, medicines: DataFrame, knowledge: DataFrame) -> DataFrame:
-    """The best evidence for each active medicine: rows (consultation, medicine, a, b, severity).
+def interactions(consultations: DataFrame, medicines: DataFrame, knowledge: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """The best evidence for each active medicine: rows (consultation, medicine, a, b, severity) and more columns of knowledge.
 
     consultations: consultation, proposed. medicines: consultation, medicine, generic, status. knowledge: a, b (normalised,
     a < b), severity, imported_at, id. Combinations are taken ingredient by ingredient; of evidence the
@@ -20,12 +20,12 @@ def interactions(consultations: DataFrame, medicines: DataFrame, knowledge: Data
     active = medicines.where("status = 'ACTIVE'").select("consultation", F.col("medicine").alias("existing_id"), text.ingredient_terms("generic").alias("terms"))
     proposed = consultations.select("consultation", text.ingredient_terms("proposed").alias("proposed_terms"))
     order = [ordinal.rank("severity", ordinal.SEVERITY).desc(), F.col("imported_at").desc_nulls_last(), F.col("id").asc()]
-    found = pairs_evidence(proposed, active, knowledge.select("a", "b", "severity", "imported_at", "id"), "consultation", order)
-    return found.select("consultation", F.col("existing_id").alias("medicine"), "a", "b", "severity")
+    found = pairs_evidence(proposed, active, knowledge.select("a", "b", "severity", "imported_at", "id", *more), "consultation", order)
+    return found.select("consultation", F.col("existing_id").alias("medicine"), "a", "b", "severity", *more)
 
 
 def resolutions(conditions: DataFrame, knowledge: DataFrame) -> DataFrame:
-    """Each active condition with identity, resolution and match_type.
+    """Each active condition with identity, resolution, match_type and the id of the knowledge that says so.
 
     conditions: condition, display, code. knowledge: id, identity, disease, concept, snomed (normalised), cui, imported_at. A condition
     is RESOLVED if exactly one identity matches by name, alias or code, AMBIGUOUS with more,
@@ -43,11 +43,11 @@ def resolutions(conditions: DataFrame, knowledge: DataFrame) -> DataFrame:
         F.when(F.col("code_cui") == F.col("cui"), "UMLS_IDENTIFIER").when(F.col("code_identity") == F.col("identity"), "LOCAL_IDENTIFIER")
         .when(F.col("disease") == F.col("entered"), "CANONICAL_TERM").when(F.col("snomed") == F.col("entered"), "SNOMED_SOURCE_ALIAS").otherwise("CONCEPT_SOURCE_ALIAS")
     )
-    one = newest.join(gate, "ask").select("ask", "n_identities", "identity", match.alias("match_type"))
+    one = newest.join(gate, "ask").select("ask", "n_identities", "identity", match.alias("match_type"), F.col("id").alias("knowledge_id"))
     n = F.coalesce("n_identities", F.lit(0))
     out = asked.select("condition", "ask").join(one, "ask", "left")
     status = F.when(n == 1, "RESOLVED").when(n == 0, "UNRESOLVED").otherwise("AMBIGUOUS")
-    return out.select("condition", status.alias("resolution"), F.when(n == 1, F.col("identity")).alias("identity"), F.when(n == 1, F.col("match_type")).alias("match_type"))
+    return out.select("condition", status.alias("resolution"), F.when(n == 1, F.col("identity")).alias("identity"), *[F.when(n == 1, F.col(c)).alias(c) for c in ("match_type", "knowledge_id")])
 
 
 def disease_findings(consultations: DataFrame, conditions: DataFrame, knowledge: DataFrame) -> DataFrame:
@@ -74,3 +74,55 @@ def rolled_up(consultations: DataFrame, met: DataFrame, found: DataFrame) -> Dat
 def assess(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame) -> DataFrame:
     """The assessment of each consultation. Allergies aren't an input."""
     return rolled_up(consultations, interactions(consultations, medicines, pair_knowledge), disease_findings(consultations, conditions, disease_knowledge))
+
+
+# The sources of knowledge and the sentences of an assessment.
+PAIRS_SOURCE, DISEASES_SOURCE = "DDInter 2.0", "DrugCentral"
+NO_MEDICINES = "No active medicines were available for a DDInter 2.0 check."
+NO_CONDITIONS = "No active patient conditions were available for a DrugCentral drug-disease check."
+NO_RELATIONSHIP = ", but no DrugCentral relationship was found for the proposed drug."
+NOT_RESOLVED = " could not be deterministically resolved to a DrugCentral disease identity; no relationship was claimed."
+
+
+def evaluated_pairs(consultations: DataFrame, medicines: DataFrame) -> DataFrame:
+    """Rows (consultation, medicine, proposed_terms, existing_terms): what is looked up for each active medicine."""
+    active = medicines.where("status = 'ACTIVE'").select("consultation", "medicine", text.ingredient_terms("generic").alias("existing_terms"))
+    return active.join(consultations.select("consultation", text.ingredient_terms("proposed").alias("proposed_terms")), "consultation")
+
+
+def explanations(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame) -> DataFrame:
+    """Rows (consultation, part, subject, explanation): a sentence a finding; without findings one for all that was looked up; else that nothing was.
+
+    pair_knowledge has drug_a, drug_b, raw_severity and source besides; disease_knowledge has shown (the disease as its
+    source names it), relationship, source and version. subject is the medicine or the condition.
+    """
+    met = interactions(consultations, medicines, pair_knowledge, ("drug_a", "drug_b", "raw_severity", "source"))
+    pairs = evaluated_pairs(consultations, medicines)
+    join = lambda c: F.array_join(c, " / ")
+    drugs = met.select("consultation", F.col("medicine").alias("subject"), F.concat("drug_a", F.lit(" + "), "drug_b", F.lit(": "), "raw_severity", F.lit(" ("), "source", F.lit(").")).alias("explanation"))
+    silent = pairs.join(met.select("consultation").distinct(), "consultation", "left_anti")
+    drugs = drugs.union(silent.select("consultation", "medicine", F.concat(F.lit(f"No {PAIRS_SOURCE} record for "), join("proposed_terms"), F.lit(" + "), join("existing_terms"), F.lit("."))))
+    none = consultations.select("consultation").join(pairs.select("consultation").distinct(), "consultation", "left_anti")
+    drugs = drugs.union(none.select("consultation", F.lit(None).cast(pairs.schema["medicine"].dataType), F.lit(NO_MEDICINES)))
+    names = disease_knowledge.select(F.col("id").alias("knowledge_id"), F.col("shown").alias("resolved"))
+    told = resolutions(conditions, disease_knowledge).join(names, "knowledge_id", "left").join(conditions.select("condition", "consultation", "display"), "condition")
+    known = disease_knowledge.select("drug", "identity", "assessment", "relationship", "source", "version")
+    found = consultations.select("consultation", text.term("proposed").alias("drug")).join(told.where("resolution = 'RESOLVED'"), "consultation").join(known, ["drug", "identity"])
+    entered = F.concat(F.lit("Entered condition: "), "display")
+    resolved = F.concat(entered, F.lit(" → resolved DrugCentral term: "), "resolved", F.lit(" ("), "identity", F.lit(")"))
+    ill = found.select("consultation", F.col("condition").alias("subject"), F.concat(resolved, F.lit(" → DrugCentral relationship: "), "relationship", F.lit(" → assessment: "), "assessment", F.lit(". Source: "), "source", F.lit(" "), "version", F.lit(".")).alias("explanation"))
+    silent = told.join(found.select("consultation").distinct(), "consultation", "left_anti")
+    said = F.when(F.col("resolution") == "RESOLVED", F.concat(resolved, F.lit(NO_RELATIONSHIP))).otherwise(F.concat(entered, F.lit(NOT_RESOLVED)))
+    ill = ill.union(silent.select("consultation", "condition", said))
+    none = consultations.select("consultation").join(conditions.select("consultation").distinct(), "consultation", "left_anti")
+    ill = ill.union(none.select("consultation", F.lit(None).cast(conditions.schema["condition"].dataType), F.lit(NO_CONDITIONS)))
+    part = lambda df, name: df.select("consultation", F.lit(name).alias("part"), F.col("subject").cast("string").alias("subject"), "explanation")
+    return part(drugs, "drugs").union(part(ill, "diseases"))
+
+
+def findings(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame) -> DataFrame:
+    """Rows (consultation, kind, subject, detail, level): all findings that an assessment rests on."""
+    met = interactions(consultations, medicines, pair_knowledge)
+    ill = disease_findings(consultations, conditions, disease_knowledge)
+    drugs = met.select("consultation", F.lit("interaction").alias("kind"), F.col("medicine").cast("string").alias("subject"), F.concat_ws(" + ", "a", "b").alias("detail"), F.col("severity").alias("level"))
+    return drugs.union(ill.select("consultation", F.lit("disease"), F.col("condition").cast("string"), "identity", "assessment"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidara.functions.text import dump_value
 
+# The first and the last line of a section of a dump.
+COPY_LINE, COPY_END = r"(?i)^COPY\s+(?:public\.)?([a-z_]+)\s+\(", "\\."
+
 INTERACTIONS = "id_a string, drug_a string, id_b string, drug_b string, level string"
 
 
@@ -28,18 +34,21 @@ def version(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dump_sections(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (table, fields) of the COPY sections of a PostgreSQL dump, gzip or plain.
+    """Rows (file, line, table, fields) of the COPY sections of a PostgreSQL dump, gzip or plain.
 
-    A row belongs to the last COPY line before it. A dump is one stream of lines: a compressed file is one
-    partition whatever is done, so lines are carried with their table by a window over each file.
+    A row belongs to the last COPY line before it, up to a line of \\. alone. Only those marks are put in order: a file's few
+    marks give its sections as ranges of lines, and lines meet the ranges of their file in place. A
+    plain dump is read by as many tasks as it has splits, a compressed one by one.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    begins = F.nullif(F.lower(F.regexp_extract("value", r"(?i)^COPY\s+(?:public\.)?([a-z_]+)\s+\(", 1)), F.lit(""))
-    mark = F.when(begins.isNotNull(), begins).when(F.col("value") == "\\.", F.lit(""))
-    inside = F.last(mark, ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    rows = lines.select("file", "line", "value", mark.alias("mark"), inside.alias("table"))
-    rows = rows.where("mark is null and table is not null and table <> ''")
-    return rows.select("file", "line", "table", F.split("value", "\t").alias("fields"))
+    begins = F.nullif(F.lower(F.regexp_extract("value", COPY_LINE, 1)), F.lit(""))
+    mark = F.when(begins.isNotNull(), begins).when(F.col("value") == COPY_END, F.lit(""))
+    marks = lines.select("file", "line", mark.alias("table")).where("table is not null")
+    stop = F.lead("line").over(Window.partitionBy("file").orderBy("line"))
+    spans = marks.select("file", F.col("line").alias("first"), "table", F.coalesce(stop, F.lit((1 << 63) - 1)).alias("stop")).where("table <> ''")
+    # A row for each table of a dump.
+    held = lines.join(F.broadcast(spans), "file").where("line > first and line < stop")
+    return held.select("file", "line", "table", F.split("value", "\t").alias("fields"))
 
 
 def picked(rows: DataFrame, table: str, fields: dict[str, int]) -> DataFrame:
@@ -47,6 +56,14 @@ def picked(rows: DataFrame, table: str, fields: dict[str, int]) -> DataFrame:
     return rows.where(F.col("table") == table).select("file", "line", *[dump_value(F.get("fields", F.lit(i))).alias(n) for n, i in fields.items()])
 
 
+def required(spark: SparkSession, path: str) -> str:
+    """The path, which has to exist."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        raise FileNotFoundError(f"{path}: prepare the sources before they are loaded")
+    return path
+
+
 def ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -61,3 +78,22 @@ def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return ndjson(spark, path, schema)
     return spark.createDataFrame([], schema)
+
+
+_own_folder: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one, on a local master only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all hosts share")
+    if not _own_folder:
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="evidara-"))
+    return _own_folder[0]
+
+
+def new_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

@@ -17,3 +17,8 @@ def rates(events: DataFrame, user: str, at: str, width: str, most: int, late: st
 def append_log(events: DataFrame, path: str, checkpoint: str):
     """An append-only log of a stream: what has come so far is written, exactly once."""
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def alive(issued: str, now, minutes: int = 15):
+    """Whether something issued before now is still valid."""
+    return (F.col(issued) < now) & (F.col(issued) + F.expr(f"INTERVAL {minutes} MINUTES") > now)

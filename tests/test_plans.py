@@ -89,3 +89,47 @@ def test_rates_as_a_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.table("rates").select("u", "n").collect()] == [tuple(r) for r in rates(rows, "u", "ts", "15 minutes", 3).select("u", "n").collect()] == [(1, 5)]
+
+
+def test_explanations_fall_back(spark):
+    more = "a string, b string, severity string, imported_at timestamp, id string, drug_a string, drug_b string, raw_severity string, source string"
+    pair = spark.createDataFrame([("ibuprofen", "warfarin", "MAJOR", None, "1", "Ibuprofen", "Warfarin", "Major", "S")], more)
+    ill = known(spark).withColumns({"shown": F.col("disease"), "relationship": F.lit("contraindication"), "source": F.lit("S"), "version": F.lit("v")})
+    texts = lambda *a: sorted(r.explanation for r in safety.explanations(*a, pair, ill).collect())
+    assert texts(*tables(spark))[1].startswith("Ibuprofen + Warfarin: Major (S).")
+    assert "No DDInter 2.0 record for ibuprofen + nothing." in texts(*tables(spark, "Nothing", "unrelated"))
+    assert any("could not be deterministically resolved" in x for x in texts(*tables(spark, "Nothing", "unrelated")))
+    c, m, k = tables(spark)
+    assert texts(c, m.limit(0), k.limit(0)) == sorted([safety.NO_MEDICINES, safety.NO_CONDITIONS])
+
+
+def test_names_are_ranked_as_in_a_dictionary(spark):
+    c, m, k = tables(spark, "Nothing", "unrelated")
+    ind = spark.createDataFrame([("pain", x, x.lower()) for x in ("Zinc", "amoxicillin", "Éclair", "dapsone")], "indication string, drug string, normalised string")
+    got = ranking.ranked(c, m, k, ind, pairs(spark), known(spark)).orderBy("rank").collect()
+    assert [r.drug for r in got] == ["amoxicillin", "dapsone", "Éclair"]
+
+
+def test_lookup_sends_a_row_for_each_text(spark):
+    from evidara.operators import joins
+
+    rows = spark.range(1000).select("id", F.lit("x").alias("name"))
+    terms = spark.range(500).select(F.col("id").alias("term"), F.lit("x").alias("brand"))
+    found = joins.tiered_lookup(rows, terms, "id", [("name", "brand")], [("name", "brand")], [F.col("term").asc()])
+    assert found.count() == 1000 and found.select("term", "tier").distinct().collect() == [(0, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") > 0  # distinct texts are looked up
+
+
+def test_trims_take_any_white_space(spark):
+    from evidara.functions import text, validation
+
+    row = spark.range(1).select(text.concept_code(F.lit("\t umls:C1234567 \n")).alias("c"), text.local_code(F.lit("\n DRUGCENTRAL:x\t")).alias("l"), validation.filled(F.lit("\t\n"), 5).alias("f")).head()
+    assert (row.c, row.l, row.f) == ("C1234567", "DRUGCENTRAL:x", False)
+
+
+def test_required_sources(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(FileNotFoundError):
+        files.required(spark, f"file://{tmp_path}/none")
