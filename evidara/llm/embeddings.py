@@ -31,7 +31,7 @@ WIDTH = 2.5
 CROWD, MET = 1_000, 0.999
 SEED = 20_240_601
 #: Rows of a tile of a bucket, and of a component.
-TILE, TILE_EXACT = 1 << 12, 1 << 11
+TILE, TILE_EXACT = 1 << 11, 1 << 11
 #: A vector with more copies than this, and than one in MOST_SENT of all rows, is joined by a broadcast: there are at most MOST_SENT.
 HOT = 1_000
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 
+from evidara.sources.files import new_path
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,23 +46,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-_own_folder: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="evidara-"))
-    return _own_folder[0]
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """df written to the shared folder and read again: lineage ends there, lost executors lose nothing."""
     spark = df.sparkSession
