@@ -199,20 +199,52 @@ def test_base_rules(spark, texts):
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r.base_failed and r.kept)
 
 
-def test_distances_are_of_the_concentrated_estimate(spark):
-    """The estimate resists a tenth of gross outliers, and distances are Mahalanobis' under its centre and factor."""
+def plain_mcd(x):
+    """Concentration steps from many random starts; of them the least determinant."""
+    d, h = x.shape[1], int(np.ceil(outliers.SHARE * len(x)))
+    floor = np.diag([v**2 for v in outliers.FLOOR.values()])
+    consistent = outliers.SHARE / outliers.chi_square(outliers.chi_square_point(outliers.SHARE, d), d + 2)
+    rng, best = np.random.default_rng(0), None
+    for _ in range(30):
+        own = x[rng.choice(len(x), 2 * d, replace=False)]
+        for _ in range(30):
+            m, c = own.mean(0), consistent * np.cov(own.T, bias=True) + floor
+            far = ((x - m) @ np.linalg.inv(c) * (x - m)).sum(1)
+            own = x[np.argsort(far)[:h]]
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], m, c
+    return best
+
+
+def test_estimates_are_those_of_a_plain_search(spark):
+    """Centre and covariance against numpy's, with a tenth of gross outliers; distances under them; and what small groups lean on."""
     rng = np.random.default_rng(5)
     d = len(outliers.STATS)
-    x = rng.standard_normal((2000, d)) * 2
-    x[:200] += 40
-    df = spark.createDataFrame([(i, "g", *map(float, v)) for i, v in enumerate(x)], "doc_id long, group string, " + ", ".join(f"{s} double" for s in outliers.STATS))
-    p = outliers.estimates(df).head()
-    centre = np.array([p[f"m_{s}"] for s in outliers.STATS])
-    factor = np.array([[p[f"l_{i}_{j}"] if j <= i else 0 for j in range(d)] for i in range(d)])
-    assert np.abs(centre).max() < 0.5 and np.abs(factor @ factor.T - 4 * np.eye(d)).max() < 1.5
-    far = {r.doc_id: r.d2 for r in outliers.with_distance(df, outliers.estimates(df)).collect()}
-    y = np.linalg.solve(factor, (x - centre).T)
-    assert np.allclose([far[i] for i in range(2000)], (y * y).sum(0), rtol=1e-6)
+    mix = np.eye(d) + 0.3 * rng.standard_normal((d, d))
+    x = rng.standard_normal((2000, d)) @ mix * 2
+    x[:200] = 40 + rng.standard_normal((200, d))
+    few = rng.standard_normal((3, d)) + 1
+    rows = [(["all", "l", "g"], *map(float, v)) for v in x] + [(["all", "l", "h"], *map(float, v)) for v in few]
+    df = spark.createDataFrame(rows, "keys array<string>, " + ", ".join(f"{s} double" for s in outliers.STATS))
+    got = {r.key: r for r in outliers.estimates(df).collect()}
+
+    def of(r):
+        factor = np.array([[r[f"l_{i}_{j}"] if j <= i else 0 for j in range(d)] for i in range(d)])
+        return np.array([r[f"m_{i}"] for i in range(d)]), factor @ factor.T
+
+    logdet, m, c = plain_mcd(x)
+    own_m, own_c = of(got["g"])
+    assert np.abs(own_m - m).max() < 0.1 and np.abs(own_c - c).max() < 0.08 * np.abs(c).max()
+    assert abs(np.linalg.slogdet(own_c)[1] - logdet) < 0.1
+    parent, small = of(got["l"]), of(got["h"])
+    weight = 3 / (3 + outliers.PRIOR)
+    assert np.abs(small[0] - parent[0]).max() < 2 * weight * np.abs(few - parent[0]).max() + 0.05
+    keyed = df.select(*outliers.STATS, F.col("keys")[2].alias("key"))
+    far = [r.d2 for r in outliers.with_distance(keyed.where("key = 'g'"), outliers.estimates(df)).collect()]
+    y = np.linalg.solve(np.linalg.cholesky(own_c), (x - own_m).T)
+    assert np.allclose(sorted(far), sorted((y * y).sum(0)), rtol=1e-6)
+    limit = outliers.chi_square_point(1 - outliers.REJECT, d)
+    assert sum(f > limit for f in far) == 200
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op8_additive_model_quality", "quality", 0.97), ("op2_ftrl_toxicity", "toxic", 0.9)])
