@@ -3,7 +3,8 @@
 DataFrame functions only. Lines that begin with > are quotes, one level a mark. Consecutive lines of one
 level are a passage. Passages, their paragraphs, lines and sentences, normalised and hashed, meet the
 latest earlier message of the conversation that has them; the message that most of a passage comes from is its
-original, and the original of a message's outermost passages is what it replies to.
+original, and the original of a message's outermost passages is what it replies to. Messages of a thread, in that order,
+make the conversation, in rows of bounded size.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ SENTENCE = r"(?<=[.!?…。！？])\s+"
 #: A line that only says whose words follow.
 ATTRIBUTION = r"(?i)^\s*(on|am|le|el)\b.*\b(wrote|schrieb|écrit|escribió)\s*:\s*$"
 
+#: Turns of a thread in one row, the most messages of a row, and the most spans or turns with more that are sent to every task.
+TURNS, MOST_MESSAGES, MOST_SENT = 64, 256, 100_000
+
 
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
@@ -89,21 +93,22 @@ def originals(quoted: DataFrame, rows: DataFrame) -> DataFrame:
 def roots(replies: DataFrame) -> DataFrame:
     """Rows (row, root, root_turn, depth) of rows (row, up, up_turn), by doubling: every round looks twice as far up."""
     spark = replies.sparkSession
-    now, path = written(replies.select("row", F.col("up").alias("root"), F.col("up_turn").alias("root_turn"), F.lit(1).alias("depth")), "replies")
-    while True:
+    now, path = written(replies.select("row", F.col("up").alias("root"), F.col("up_turn").alias("root_turn"), F.lit(1).alias("depth"), F.lit(True).alias("moved")), "replies")
+    while now.where("moved").limit(1).count():
         above = now.select(F.col("row").alias("root"), F.col("root").alias("more"), F.col("root_turn").alias("more_turn"), F.col("depth").alias("further"))
-        far = now.join(above, "root", "left")
-        if far.where("more is not null").limit(1).count() == 0:
-            return now
-        after, new = written(far.select("row", F.coalesce("more", "root").alias("root"), F.when(F.col("more").isNotNull(), F.col("more_turn")).otherwise(F.col("root_turn")).alias("root_turn"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth")), "replies")
+        far = now.drop("moved").join(above, "root", "left")
+        known = F.col("more").isNotNull()
+        far = far.select("row", F.coalesce("more", "root").alias("root"), F.when(known, F.col("more_turn")).otherwise(F.col("root_turn")).alias("root_turn"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"), known.alias("moved"))
+        after, new = written(far, "replies")
         remove(spark, path)
         now, path = after, new
+    return now.drop("moved")
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """Messages (conv_id, turn, role, text) in reply order, without quotes: one row each, sorted by conversation, thread and turn.
+    """Messages (conv_id, turn, role, text) without quotes, one row each, with what they reply to.
 
-    Columns: conv_id, turn, role, body (text without quotes and attributions), chat (role and body in chat
+    Columns: row (a number of its own), conv_id, turn, role, body (text without quotes and attributions), chat (role and body in chat
     marks), n_passages, max_level, n_linked, reply_to (turn of the message replied to), thread (turn of the
     first message up the replies, its own without any) and depth (replies up to it). A reply is always to
     an earlier turn of its conversation, so every message follows what it replies to. Null
@@ -123,9 +128,39 @@ def linked(messages: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     chat = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>\n"))
     out = out.select("conv_id", "turn", "role", "body", chat.alias("chat"), zero("n_passages"), zero("max_level"), zero("n_linked"), F.col("up_turn").alias("reply_to"), F.coalesce("root_turn", "turn").alias("thread"), zero("depth"), "row")
-    return out.orderBy("conv_id", "thread", "turn", "row").drop("row")
+    return out
+
+
+def conversations(messages: DataFrame, turns: int = TURNS, most: int = MOST_MESSAGES) -> DataFrame:
+    """The conversations of messages (conv_id, turn, role, text) without quotes: rows of a thread's messages in reply order.
+
+    A reply is to an earlier turn of its thread, so the order of turns is one of replies. A row has a thread's messages of
+    `turns` turns, from first_turn to last_turn; where that is more than `most` messages, those of one turn; where that is
+    still more, as repeated rows may be, `most` of them or so in each part. No row holds more,
+    and rows (conv_id, thread, first_turn, part) in order are the whole thread. Columns: n_messages,
+    n_passages, n_linked, max_level, replies (turn, role, reply_to, depth of each message) and chat (their texts in chat
+    marks). Messages without a turn are in rows of their own conversation, whose turns are null.
+    """
+    said, _ = written(linked(messages), "linked")
+    span = F.floor(F.col("turn") / turns).cast("long")
+    thread = ["conv_id", "thread", "span"]
+    said = said.withColumn("span", span)
+    sizes, _ = written(said.groupBy(*thread, "turn").count(), "turns")
+    # Of spans and turns with more than `most` messages there is at most one in `most` messages.
+    full = sizes.groupBy(*thread).agg(F.sum("count").alias("n")).where(F.col("n") > most).select(*[F.col(c).alias(f"s_{c}") for c in thread], F.lit(True).alias("full"))
+    fuller = sizes.where(F.col("count") > most).select(*[F.col(c).alias(f"t_{c}") for c in ("conv_id", "thread", "turn")], F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    full, fuller = (F.broadcast(x) if x.count() <= MOST_SENT else x for x in (written(full, "full")[0], written(fuller, "fuller")[0]))
+    met = said.join(full, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in thread], "left").join(fuller, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in ("conv_id", "thread", "turn")], "left")
+    own_turn = F.when(F.col("full"), F.col("turn"))
+    part = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int")
+    held = F.array_sort(F.collect_list(F.struct("turn", "row", "role", "reply_to", "depth", "chat"))).alias("m")
+    out = met.groupBy("conv_id", "thread", "span", own_turn.alias("own_turn"), part.alias("part")).agg(
+        F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n_messages"), F.sum("n_passages").alias("n_passages"), F.sum("n_linked").alias("n_linked"), F.max("max_level").alias("max_level"), held
+    )
+    replies = F.transform("m", lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["reply_to"].alias("reply_to"), x["depth"].alias("depth")))
+    return out.select("conv_id", "thread", "first_turn", "last_turn", "part", "n_messages", "n_passages", "n_linked", "max_level", replies.alias("replies"), F.array_join("m.chat", "").alias("chat"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: conversations in reply order, without quotes."""
-    return linked(table(spark, sf_dir, "conversations"))
+    return conversations(table(spark, sf_dir, "conversations"))

@@ -95,9 +95,11 @@ def test_quotes(spark):
     assert got[1, 2, "Good."] == (2, 2, 1, 0, 2)
     assert got[1, 2, ""] == (0, 0, None, 2, 0)
     assert got[2, 3, ""] == (1, 0, None, 3, 0) and got[None, 1, ""][:2] == (1, 0)
-    order = [(r.conv_id, r.turn) for r in quotes.linked(df).where("conv_id = 1").collect()]
-    assert order == [(1, 0), (1, 1), (1, 2), (1, 2)]
-    assert quotes.linked(empty(df)).count() == 0
+    rows = quotes.conversations(df).collect()
+    threads = {(r.conv_id, r.thread): ([x.turn for x in r.replies], r.n_messages) for r in rows}
+    assert threads[1, 0] == ([0, 1, 2], 3) and threads[1, 2] == ([2], 1)
+    assert sum(r.n_messages for r in rows) == df.count()
+    assert quotes.linked(empty(df)).count() == 0 and quotes.conversations(empty(df)).count() == 0
 
 
 def test_components(spark):
