@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
@@ -25,6 +26,10 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 
+#: The search: nodes, the ways of a node and the walks that look for them, bins whose pieces it goes over; dives before it, and how
+#: values of lengths grow in them (faster than lengths, so that longer pieces go first). None of them drops a piece.
+NODES, WIDTH, TRIES, TAIL, DIVES, GROWTH = 20_000, 6, 48, 200, 4, 1.02
+
 Pattern = tuple[tuple[int, ...], int]
 
 
@@ -86,12 +91,12 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return sum(b) <= sum(a) and len(b) <= 6 and len(a) <= 6 and fits(b, a)
 
 
-def fillings(counts: np.ndarray, largest: int, most_waste: int, width: int = 6, tries: int = 48) -> list[tuple[int, ...]]:
+def fillings(counts: np.ndarray, largest: int, most_waste: int, width: int | None = WIDTH, tries: int | None = TRIES) -> list[tuple[int, ...]]:
     """Undominated ways to fill the room beside one piece of the largest length, least waste first.
 
     Ways that waste more than most_waste are left out. Fillings of one and two pieces are all looked
-    at; longer ones by a depth-first walk from the longest piece down, `tries` of them at most. The
-    `width` best that no other dominates are returned.
+    at; longer ones by a depth-first walk from the longest piece down. tries bounds the walk, width the ways
+    returned; None: all of them.
     """
     c = len(counts) - 1
     room = c - largest
@@ -108,10 +113,10 @@ def fillings(counts: np.ndarray, largest: int, most_waste: int, width: int = 6,
     for i in np.argsort(-total, kind="stable")[:width]:
         if total[i]:
             found.add((int(first[i]), int(second[i])))
-    if total.max(initial=0) < room:
+    if tries is None or total.max(initial=0) < room:
         stack: list[tuple[tuple[int, ...], int, int]] = [((), room, room)]
         seen = 0
-        while stack and seen < tries:
+        while stack and (tries is None or seen < tries):
             items, left, top = stack.pop()
             x = int(floor[min(left, top)])
             while x and items.count(x) >= have[x]:
@@ -119,47 +124,99 @@ def fillings(counts: np.ndarray, largest: int, most_waste: int, width: int = 6,
             if not x:
                 found.add(items)
                 seen += 1
-                if left == 0:
+                if left == 0 and tries is not None:
                     break
                 continue
             if x > 1 and floor[x - 1]:
                 stack.append((items, left, x - 1))
             stack.append(((*items, x), left - x, x))
-    ways = sorted((w for w in found if room - sum(w) <= most_waste), key=lambda w: (-sum(w), len(w)))
+    ways = sorted((w for w in found if room - sum(w) <= most_waste), key=lambda w: (-sum(w), len(w), w))
     kept: list[tuple[int, ...]] = []
     for w in ways:
         if not any(dominates(k, w) for k in kept):
             kept.append(w)
-            if len(kept) == width or sum(w) == room:
+            if width is not None and (len(kept) == width or sum(w) == room):
                 break
     return kept
 
 
-def pack(counts: np.ndarray, nodes: int = 20_000) -> list[Pattern]:
-    """Patterns and how often each is used; together they hold exactly the pieces that counts has.
+def worthiest(have: np.ndarray, room: int, value: np.ndarray) -> tuple[int, ...]:
+    """The filling of the greatest value. Where values grow faster than lengths, no other filling dominates it."""
+    best, taken = np.full(room + 1, -np.inf), []
+    best[0] = 0
+    for size in np.flatnonzero(have[: room + 1])[::-1].tolist():
+        left, k = min(int(have[size]), room // size), 1
+        while left > 0:  # one, two, four, ... pieces at a time
+            n = min(k, left)
+            w = size * n
+            now = best[: room + 1 - w] + value[size] * n
+            better = np.zeros(room + 1, dtype=bool)
+            better[w:] = now > best[w:] + 1e-9
+            best[better] = now[better[w:]]
+            taken.append((size, n, w, better))
+            left, k = left - n, 2 * k
+    at, out = int(np.argmax(best)), []
+    for size, n, w, better in reversed(taken):
+        if better[at]:
+            out += [size] * n
+            at -= w
+    return tuple(sorted(out, reverse=True))
+
+
+def dive(counts: np.ndarray, value: np.ndarray) -> list[Pattern]:
+    """Bins completed around the longest piece left with the worthiest filling, as many at once as the pieces allow."""
+    left, c, out = counts.copy(), len(counts) - 1, []
+    while left.any():
+        top = int(np.flatnonzero(left)[-1])
+        left[top] -= 1
+        pattern = (top, *worthiest(left, c - top, value))
+        left[top] += 1
+        n = min(int(left[x]) // pattern.count(x) for x in set(pattern))
+        for x in pattern:
+            left[x] -= n
+        out.append((pattern, n))
+    return out
+
+
+def number(patterns: list[Pattern]) -> int:
+    return sum(n for _, n in patterns)
+
 
-    Branch and bound: each node completes bins around the longest piece left, with one filling for
-    as many bins as the pieces allow, fillings of least waste first. A branch ends when its waste
-    so far rules out fewer bins than the incumbent has, the first incumbent being best-fit
-    decreasing; the search ends at the lower bound or after `nodes` nodes.
+def completed(counts: np.ndarray, bins: int, least: int, nodes: int | None) -> tuple[list[Pattern] | None, bool]:
+    """(a packing of fewer than `bins` bins, if one is found; whether the search was ended by nothing but its bounds).
+
+    Branch and bound: each node completes bins around the longest piece left, fillings of least waste
+    first, with one filling for as many bins as the pieces allow, then half as many, down to one. A branch ends when
+    its waste so far rules out fewer bins than the incumbent has. Without a limit of nodes a node completes one bin,
+    by every undominated filling.
     """
-    counts = np.asarray(counts, dtype=np.int64)
-    c = len(counts) - 1
-    total, least = int((counts * np.arange(c + 1)).sum()), lower_bound(counts)
-    best = best_fit(counts)
-    bins = sum(n for _, n in best)
+    c, best, whole = len(counts) - 1, None, True
+    total = int((counts * np.arange(c + 1)).sum())
     left = counts.copy()
     used = waste = 0
-    frames: list[list] = []  # per node: the fillings still to try, best last, and the pattern that holds now
+    frames: list[list] = []  # per node: the steps still to try, best last, and the one that holds now
 
     def descend() -> None:
         spare = (bins - 1) * c - total - waste  # more waste than this can't beat the incumbent
+        steps = []
         top = int(np.flatnonzero(left)[-1])
-        frames.append([[(top, *w) for w in fillings(left, top, spare)][::-1] if spare >= 0 else [], None])
-
-    if bins > least:
+        for w in fillings(left, top, spare, *((None, None) if nodes is None else (WIDTH, TRIES))) if spare >= 0 else []:
+            pattern = (top, *w)
+            n = min(int(left[x]) // pattern.count(x) for x in set(pattern))
+            lost = c - sum(pattern)
+            n = max(1, min(n, spare // lost)) if lost else n
+            while n > 1 and nodes is not None:
+                steps.append((pattern, n))
+                n //= 2
+            steps.append((pattern, 1))
+        frames.append([steps[::-1], None])
+
+    if left.any():
         descend()
-    while frames and bins > least and nodes > 0:
+    while frames and bins > least:
+        if nodes is not None and nodes <= 0:
+            whole = False
+            break
         frame = frames[-1]
         if frame[1]:
             pattern, n = frame[1]
@@ -169,20 +226,79 @@ def pack(counts: np.ndarray, nodes: int = 20_000) -> list[Pattern]:
         if not frame[0]:
             frames.pop()
             continue
-        pattern = frame[0].pop()
-        n = min(int(left[x]) // pattern.count(x) for x in pattern)
-        lost = c - sum(pattern)
-        if lost:
-            n = max(1, min(n, ((bins - 1) * c - total - waste) // lost))
+        pattern, n = frame[0].pop()
+        lost = n * (c - sum(pattern))
+        if waste + lost > (bins - 1) * c - total:
+            continue
         for x in pattern:
             left[x] -= n
-        used, waste, frame[1] = used + n, waste + n * lost, (pattern, n)
+        used, waste, frame[1] = used + n, waste + lost, (pattern, n)
         if left.any():
-            nodes -= 1
+            nodes = nodes if nodes is None else nodes - 1
             descend()
         elif used < bins:
             best, bins = [f[1] for f in frames], used
-    return best
+    return best, whole
+
+
+@dataclass(frozen=True)
+class Packing:
+    """Patterns and how often each is used, the bins that no packing can do without, and whether no packing has fewer bins than this one."""
+
+    patterns: list[Pattern]
+    least: int
+    proved: bool
+
+
+def solve(counts: np.ndarray, nodes: int | None = NODES, dives: int = DIVES) -> Packing:
+    """A packing of exactly the pieces that counts has (counts[x]: of length x), in as few bins as are found.
+
+    Incumbents: best-fit decreasing, then dives of bin completion, whose values of lengths are corrected by what
+    the bins of a length waste. Branch and bound then goes over the pieces of the last TAIL bins of the incumbent,
+    the fuller ones before them being left, and ends at the lower bound or after `nodes` nodes. nodes=None:
+    over all pieces, without limits, until nothing better can exist.
+    """
+    counts = np.asarray(counts, dtype=np.int64)
+    sizes = np.arange(len(counts))
+    least, best = lower_bound(counts), best_fit(counts)
+    value = sizes**GROWTH
+    for _ in range(dives):
+        if number(best) <= least:
+            break
+        found = dive(counts, value)
+        if number(found) < number(best):
+            best = found
+        worth, seen = np.zeros(len(counts)), np.zeros(len(counts))
+        for pattern, n in found:
+            for x in pattern:
+                worth[x] += n * ((len(counts) - 1) / sum(pattern)) ** 1.3 * x**GROWTH
+                seen[x] += n
+        value = np.where(seen > 0, (value + worth / np.maximum(seen, 1)) / 2, value)
+    body: list[Pattern] = []
+    tail = [(p, n) for p, n in best]
+    if nodes is not None:
+        tail.sort(key=lambda t: (len(counts) - 1 - sum(t[0]), t[0]))  # the fullest first
+        while tail and number(tail) - tail[0][1] >= TAIL:
+            body.append(tail.pop(0))
+        if tail and number(tail) > TAIL:
+            pattern, n = tail.pop(0)
+            rest = TAIL - number(tail)
+            body.append((pattern, n - rest))
+            tail.insert(0, (pattern, rest))
+    proved = number(best) <= least
+    if not proved and tail:
+        own = np.zeros_like(counts)
+        for pattern, n in tail:
+            for x in pattern:
+                own[x] += n
+        found, whole = completed(own, number(tail), max(lower_bound(own), least - number(body)), nodes)
+        best = body + (found or tail)
+        proved = number(best) <= least or (nodes is None and whole)
+    return Packing([(p, n) for p, n in best if n], least, proved)
+
+
+def pack(counts: np.ndarray, nodes: int | None = NODES) -> list[Pattern]:
+    return solve(counts, nodes).patterns
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -223,11 +339,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, fields)
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, nodes: int | None = NODES) -> DataFrame:
     """Pack docs (doc_id, text) into sequences of at most capacity ids, each document's ids closed by end_id.
 
-    Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), and the piece's ids if asked
-    for. A document longer than a sequence is cut into full pieces behind a first, shorter one.
+    Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset, n_sequences, least_sequences), and the piece's ids if asked
+    for; least_sequences: what no packing can do without. nodes: see solve(). A document longer than a sequence is cut into full pieces behind a first, shorter one.
     Null and empty texts are end_id alone; repeated rows are packed each; an empty table gives none.
     """
     cut, _ = written(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
@@ -238,7 +354,8 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     met = np.zeros(capacity + 1, dtype=np.int64)
     spans: list[tuple[int, int, int, int]] = []  # length, its first rank, first sequence, offset
     sequence = 0
-    for pattern, n in pack(counts):
+    found = solve(counts, nodes)
+    for pattern, n in found.patterns:
         at = 0
         for x in pattern:
             spans.append((x, int(met[x]), sequence, at))
@@ -251,19 +368,23 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = groups.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ranked = cut.join(base, ["length", "part"]).withColumn("place", F.col("place") + F.col("base"))
+    # One row a part, with what comes before it of each length.
+    bases = base.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(F.col("length").cast("int"), "base"))).alias("known"))
+    bases, _ = written(bases.select("part", F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda x: F.coalesce(F.try_element_at("known", x), F.lit(0).cast("long"))).alias("bases")), "bases")
+    ranked = cut.join(bases, "part").withColumn("place", F.col("place") + F.get("bases", F.col("length").cast("int")))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             want = (b.column("length").to_numpy() << 44) + b.column("place").to_numpy()
             at = np.searchsorted(key, want, "right") - 1
-            cols = {n: b.column(n) for n in b.schema.names if n not in ("part", "place", "base")}
+            cols = {n: b.column(n) for n in b.schema.names if n != "place"}
             cols |= {"sequence_id": pa.array(first[at] + want - key[at]), "offset": pa.array(offset[at])}
             yield pa.RecordBatch.from_pydict(cols)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
-    return ranked.select(*names, "place").mapInArrow(placed, fields)
+    out = ranked.select(*names, "place").mapInArrow(placed, fields)
+    return out.withColumns({"n_sequences": F.lit(sequence).cast("long"), "least_sequences": F.lit(found.least).cast("long")})
 
 
 def sequences(rows: DataFrame) -> DataFrame:
