@@ -26,7 +26,7 @@ from evidara.llm.runtime import bucketed, ship, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A block ends at so many distinct words or pre-tokens, which bounds a task's memory.
-BLOCK_WORDS, BLOCK_TOKENS = 1 << 19, 6 << 20
+BLOCK_WORDS, BLOCK_TOKENS = 1 << 18, 3 << 20
 #: Encoded words that are sent back together.
 SENT = 1 << 18
 

@@ -26,6 +26,9 @@ LEAST = 5
 THRESHOLD = 0.7
 
 
+_dense: list = [None, None]
+
+
 @dataclass
 class Model:
     """The weights that aren't zero, by ascending feature, and the intercept."""
@@ -36,9 +39,13 @@ class Model:
     bits: int = BITS
 
     def dense(self) -> np.ndarray:
-        out = np.zeros(1 << self.bits, dtype=np.float32)
-        out[self.feature] = self.weight
-        return out
+        """The weight of every feature; filled once in a worker."""
+        key = (self.bits, self.feature.tobytes(), self.weight.tobytes())
+        if _dense[0] != key:
+            out = np.zeros(1 << self.bits, dtype=np.float32)
+            out[self.feature] = self.weight
+            _dense[:] = [key, out]
+        return _dense[1]
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Model:
@@ -104,7 +111,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
 
 
 def score(model: Model) -> Column:
-    """The toxicity of the column text, from 0 to 1; null texts as empty ones."""
+    """The toxicity of the column text, from 0 to 1.
+
+    Null texts count as empty ones, which have a score too; very long ones are read whole, in one piece. Equal
+    texts have equal scores, so repeated rows do. An empty table gives no rows; other columns aren't read.
+    """
 
     @F.arrow_udf("double")
     def toxicity(text: pa.Array) -> pa.Array:
@@ -131,6 +142,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier, learned from those of them that have labels, doesn't call toxic."""
+    """The rows of docs that the classifier, learned from those of them that have labels, doesn't call toxic.
+
+    Columns stay as they are, repeated rows stay or go together, and an empty table gives none.
+    """
     model = learn(docs, labels)
     return docs.where(score(model) < THRESHOLD)

@@ -217,7 +217,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
 
 
 def score(model: Model) -> Column:
-    """The quality of the column text, from 0 to 1; null texts as empty ones."""
+    """The quality of the column text, from 0 to 1.
+
+    Null texts count as empty ones, which have a score too; very long ones are read whole, in one piece. Equal
+    texts have equal scores, so repeated rows do. An empty table gives no rows; other columns aren't read.
+    """
 
     @F.arrow_udf("double")
     def quality(text: pa.Array) -> pa.Array:
@@ -236,6 +240,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier, learned from those of them that have labels, doesn't reject."""
+    """The rows of docs that the classifier, learned from those of them that have labels, doesn't reject.
+
+    Columns stay as they are, repeated rows stay or go together, and an empty table gives none.
+    """
     model = learn(docs, labels)
     return docs.where(score(model) >= THRESHOLD)

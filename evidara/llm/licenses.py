@@ -95,7 +95,9 @@ NONE, OTHER = "none", "unknown"
 CLASSES = (NONE, OTHER, *TEMPLATES)
 BITS = 18
 ORDERS = ((0,), (0, 1), (0, 1, 2))
-DOCUMENTS, LINES = 2_000, 20_000
+#: The sample that the classifier learns other text from: documents, different lines of each, characters of a line, lines in all.
+#: It bounds what is learned from, and nothing of what is scanned.
+DOCUMENTS, LINES_EACH, LINE_CHARS, LINES = 2_000, 200, 2_000, 20_000
 EXAMPLES, STEPS, RATE, L1 = 120, 150, 0.5, 2e-4
 SIMILARITY = 0.8
 SURE = 0.5
@@ -258,13 +260,13 @@ def fit(lines: list[str]) -> Model:
     return Model(known[used], weight[used], base, min(loss)[1])
 
 
-def learn(docs: DataFrame, documents: int = DOCUMENTS, lines: int = LINES) -> Model:
-    """Fit on at most `lines` lines of about `documents` documents, drawn by a hash of their texts."""
+def learn(docs: DataFrame, documents: int = DOCUMENTS, lines: int = LINES, lines_each: int = LINES_EACH, chars: int = LINE_CHARS) -> Model:
+    """Fit on at most `lines` lines of about `documents` documents, drawn by hashes; of a document lines_each lines, of a line the first chars characters."""
     ship(docs.sparkSession)
     n = docs.count()
     drawn = docs.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * min(1, documents / max(n, 1))))
-    some = drawn.select(F.explode(F.slice(F.array_distinct(F.split("text", "\n")), 1, 200)).alias("line")).where("trim(line) <> ''")
-    got = some.select(F.substring("line", 1, 2000).alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(lines).collect()
+    some = drawn.select(F.explode(F.slice(F.array_distinct(F.split("text", "\n")), 1, lines_each)).alias("line")).where("trim(line) <> ''")
+    got = some.select(F.substring("line", 1, chars).alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(lines).collect()
     return fit(sorted(r.line for r in got))
 
 

@@ -25,10 +25,22 @@ VOCABULARY = "byte_bpe_50k.json"
 MANIFEST = "part int, shard int, path string, documents long, tokens long"
 
 
-def file_system(uri: str):
+#: Schemes of Spark's paths and what pyarrow calls the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+
+
+def as_uri(path: str) -> str:
+    """A path as pyarrow's file systems take it."""
+    scheme, mark, rest = path.partition(":")
+    if not mark or "/" in scheme:
+        return f"file://{path}"
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}"
+
+
+def file_system(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(as_uri(path))
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2, tokens_per_shard: int = 1 << 20) -> DataFrame:
@@ -38,8 +50,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     id, and repeated rows, each keep an entry. An empty table has an empty manifest and no files.
     """
     ship(docs.sparkSession)
+    # Rows of one id and one text are told apart by a number, so that they may be dealt to several tasks.
     tie = F.xxhash64("text")
-    docs = docs.select("doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).repartitionByRange("doc_id", tie, "row").sortWithinPartitions("doc_id", tie, "row").drop("row")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from evidara.llm.pretokens import encoder

@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, extra columns and empty tables."""
 
+import re
+
 import pytest
 import public_tokenizers
 from evidara.llm import bpe, embeddings, ftrl, gam, licenses, outliers, packing, quotes, simhash, token_files
@@ -110,3 +112,38 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 200: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     _ = F
+
+
+def test_columns_of_any_name_pass_through(spark, labels):
+    """Names that the operators use themselves, in documents that go through the stages."""
+    names = ["_row", "_ROW_", "node", "none", "same", "id", "rank", "fp", "fp2", "band", "least", "component", "part", "label", "group", "key", "start", "bin", "length", "place"]
+    rows = [(i, f"some words of text number {i} and a few more of them", "en", "s", 0, *range(100 * i, 100 * i + len(names))) for i in (1, 2, 3)]
+    rows += [(4, rows[0][1], "en", "s", 0, *range(400, 400 + len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names))
+    want = {r[0]: tuple(r[5:]) for r in rows if r[0] != 4}
+    got = {r.doc_id: tuple(r)[5:] for r in simhash.one_of_each(df).collect()}
+    assert got == want
+    for module in (gam, ftrl):
+        assert module.kept(df, labels).columns == df.columns
+    assert outliers.judged(df).count() == licenses.scanned(df, licenses.fit(["some line"])).count() == packing.packed(df, BPE).count() == 4
+
+
+def test_repeated_labels_count_once(spark):
+    from evidara.llm.labelled import sample
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
+    got = sorted(tuple(r) for r in sample(docs, known, "quality", F.lit(True), 10).collect())
+    assert got == [("a", 1), ("b", 0)]
+
+
+def test_paths_for_token_files():
+    assert token_files.as_uri("s3a://b/x") == "s3://b/x" and token_files.as_uri("/x/y") == "file:///x/y" and token_files.as_uri("file:///x") == "file:///x"
+
+
+def test_ten_operators_and_the_pipeline_are_registered():
+    import __spark_entry__ as entry
+
+    own = entry.queries()
+    assert sorted(k.split("_")[0] for k in own if re.match(r"op\d+_", k)) == sorted(f"op{n}" for n in range(1, 11)) and "pipeline" in own
+    assert "op1_p_stable_embeddings" in entry.oracle_sql()
