@@ -265,7 +265,7 @@ def concatenated_search(s, d):
 
 
 @query("SELECT c_custkey, c_name FROM customer")
-def optional_filters(s, d):
+def filters_not_given(s, d):
     """Filters of which none is given leave every row."""
     return details.listed(t(s, d, "customer"), ["c_name"], "  ", {"c_nationkey": None, "c_mktsegment": None}).select("c_custkey", "c_name")
 
