@@ -28,7 +28,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 #: The search: nodes, the ways of a node and the walks that look for them, bins whose pieces it goes over; dives before it, and how
 #: values of lengths grow in them (faster than lengths, so that longer pieces go first). None of them drops a piece.
-NODES, WIDTH, TRIES, TAIL, DIVES, GROWTH = 20_000, 6, 48, 200, 4, 1.02
+NODES, WIDTH, TRIES, TAIL, DIVES, GROWTH = 4_000, 6, 48, 200, 3, 1.02
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -140,40 +140,95 @@ def fillings(counts: np.ndarray, largest: int, most_waste: int, width: int | Non
     return kept
 
 
-def worthiest(have: np.ndarray, room: int, value: np.ndarray) -> tuple[int, ...]:
-    """The filling of the greatest value. Where values grow faster than lengths, no other filling dominates it."""
-    best, taken = np.full(room + 1, -np.inf), []
+def worths(have: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, np.ndarray]]]:
+    """The greatest value of a filling of each exact length up to the capacity, and the steps that led to it."""
+    c = len(have) - 1
+    best, steps = np.full(c + 1, -np.inf), []
     best[0] = 0
-    for size in np.flatnonzero(have[: room + 1])[::-1].tolist():
-        left, k = min(int(have[size]), room // size), 1
+    for size in np.flatnonzero(have)[::-1].tolist():
+        left, k = min(int(have[size]), c // size), 1
         while left > 0:  # one, two, four, ... pieces at a time
             n = min(k, left)
             w = size * n
-            now = best[: room + 1 - w] + value[size] * n
-            better = np.zeros(room + 1, dtype=bool)
-            better[w:] = now > best[w:] + 1e-9
-            best[better] = now[better[w:]]
-            taken.append((size, n, w, better))
+            now = best[: c + 1 - w] + value[size] * n
+            better = now > best[w:] + 1e-9
+            best[w:][better] = now[better]
+            steps.append((size, n, w, better))
             left, k = left - n, 2 * k
-    at, out = int(np.argmax(best)), []
-    for size, n, w, better in reversed(taken):
-        if better[at]:
+    return best, steps
+
+
+def worthiest(table: tuple[np.ndarray, list[tuple[int, int, int, np.ndarray]]], room: int) -> tuple[int, ...]:
+    """The filling of at most room of the greatest value. Where values grow faster than lengths, no other filling dominates it."""
+    best, steps = table
+    at, out = int(np.argmax(best[: room + 1])), []
+    for size, n, w, better in reversed(steps):
+        if at >= w and better[at - w]:
             out += [size] * n
             at -= w
-    return tuple(sorted(out, reverse=True))
+    return tuple(out[::-1])
+
+
+def sums(have: np.ndarray) -> tuple[list[int], list[int]]:
+    """Lengths from the longest, and for each the sums of pieces of it and of shorter ones, as bits of a number; and 1 at the end."""
+    c = len(have) - 1
+    sizes, reach, mask = np.flatnonzero(have)[::-1].tolist(), [1], (1 << c + 1) - 1
+    for size in reversed(sizes):
+        now, left, k = reach[-1], min(int(have[size]), c // size), 1
+        while left > 0:
+            n = min(k, left)
+            now |= now << size * n & mask
+            left, k = left - n, 2 * k
+        reach.append(now)
+    return sizes, reach[::-1]
+
+
+def fullest(table: tuple[list[int], list[int]], have: np.ndarray, room: int) -> tuple[int, ...]:
+    """The filling of least waste, of such the one of the longest pieces."""
+    sizes, reach = table
+    left, out = (reach[0] & (1 << room + 1) - 1).bit_length() - 1, []
+    for i, size in enumerate(sizes):
+        if not left:
+            break
+        n = min(int(have[size]), left // size)
+        while n > 0 and not reach[i + 1] >> left - n * size & 1:
+            n -= 1
+        out += [size] * n
+        left -= n * size
+    return tuple(out) if not left else ()
 
 
-def dive(counts: np.ndarray, value: np.ndarray) -> list[Pattern]:
-    """Bins completed around the longest piece left with the worthiest filling, as many at once as the pieces allow."""
+def dive(counts: np.ndarray, value: np.ndarray | None = None) -> list[Pattern]:
+    """Bins completed around the longest piece left with the worthiest filling, or without values the fullest, as many at once as the pieces allow.
+
+    Pieces only become fewer, so a filling that is still there is still the best; tables are made anew when one isn't.
+    """
     left, c, out = counts.copy(), len(counts) - 1, []
+
+    def filled(room: int, table: tuple) -> tuple[int, ...]:
+        return fullest(table, left, room) if value is None else worthiest(table, room)
+
+    def tabled() -> tuple:
+        return sums(left) if value is None else worths(left, value)
+
+    table, fresh = tabled(), True
     while left.any():
         top = int(np.flatnonzero(left)[-1])
-        left[top] -= 1
-        pattern = (top, *worthiest(left, c - top, value))
-        left[top] += 1
+        pattern = (top, *filled(c - top, table))
         n = min(int(left[x]) // pattern.count(x) for x in set(pattern))
+        if not n and fresh:  # the filling takes the only piece that the bin is built around
+            left[top] -= 1
+            pattern = (top, *filled(c - top, tabled()))
+            left[top] += 1
+            n = min(int(left[x]) // pattern.count(x) for x in set(pattern))
+        elif len(pattern) == 1 and top < c and not fresh:
+            n = 0  # nothing fits as the table has it
+        if not n:
+            table, fresh = tabled(), True
+            continue
         for x in pattern:
             left[x] -= n
+        fresh = False
         out.append((pattern, n))
     return out
 
@@ -262,12 +317,14 @@ def solve(counts: np.ndarray, nodes: int | None = NODES, dives: int = DIVES) ->
     sizes = np.arange(len(counts))
     least, best = lower_bound(counts), best_fit(counts)
     value = sizes**GROWTH
-    for _ in range(dives):
+    for k in range(dives + 1 if dives else 0):  # the first without values, which is quick
         if number(best) <= least:
             break
-        found = dive(counts, value)
+        found = dive(counts, value if k else None)
         if number(found) < number(best):
             best = found
+        if not k:
+            continue
         worth, seen = np.zeros(len(counts)), np.zeros(len(counts))
         for pattern, n in found:
             for x in pattern:
