@@ -38,7 +38,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Two stages are trained models and one is a search: SQL can't express them. tests/llm has brute-force versions.
+#: Two stages are trained models and two are searches: SQL can't express them. tests/llm has plain versions of the models' learning and
+#: scoring, exact similarities for the near copies, and the optimum of small packings.
 ORACLE_SQL = None
 
 
