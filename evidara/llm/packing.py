@@ -426,8 +426,20 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = groups.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     # One row a part, with what comes before it of each length.
-    bases = base.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(F.col("length").cast("int"), "base"))).alias("known"))
-    bases, _ = written(bases.select("part", F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda x: F.coalesce(F.try_element_at("known", x), F.lit(0).cast("long"))).alias("bases")), "bases")
+    known = base.groupBy("part").agg(F.collect_list(F.struct("length", "base")).alias("known"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                held = some.column("known")
+                row, flat = np.repeat(np.arange(some.num_rows), held.value_lengths().to_numpy()), held.flatten()
+                all_ = np.zeros((some.num_rows, capacity + 1), dtype=np.int64)
+                all_[row, flat.field("length").to_numpy()] = flat.field("base").to_numpy()
+                ends = pa.array(np.arange(some.num_rows + 1) * (capacity + 1), pa.int32())
+                yield pa.RecordBatch.from_arrays([some.column("part"), pa.ListArray.from_arrays(ends, pa.array(all_.ravel()))], names=["part", "bases"])
+
+    bases, _ = written(known.mapInArrow(spread, "part int, bases array<long>"), "bases")
     ranked = cut.join(bases, "part").withColumn("place", F.col("place") + F.get("bases", F.col("length").cast("int")))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
