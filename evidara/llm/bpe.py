@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.llm import kernels as K
-from evidara.llm.runtime import bucketed, ship, table
+from evidara.llm.runtime import bucketed, remove, ship, table, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A block ends at so many distinct words or pre-tokens, which bounds a task's memory.
@@ -54,13 +54,14 @@ def blocks(docs: DataFrame) -> DataFrame:
         from evidara.llm import pretokens as P
 
         made, part = 0, TaskContext.get().partitionId()
-        store, words, ids, counts, places, held = P.HashStore(), [], [], [], [], 0
+        store: dict[str, int] = {}
+        ids, counts, places, held = [], [], [], 0
 
         def row() -> pa.RecordBatch:
             at = np.concatenate(places)
-            order = np.argsort(-np.bincount(at, minlength=store.n), kind="stable")  # frequent words get small places
-            place = np.empty(store.n, dtype=np.int64)
-            place[order] = np.arange(store.n)
+            order = np.argsort(-np.bincount(at, minlength=len(store)), kind="stable")  # frequent words get small places
+            place, words = np.empty(len(store), dtype=np.int64), list(store)
+            place[order] = np.arange(len(store))
             cols = {
                 "block": pa.array([(part << 24) + made], pa.int64()), "doc_ids": pa.array([[d for x in ids for d in x]], pa.list_(pa.int64())),
                 "counts": pa.array([packed(np.concatenate(counts))], pa.binary()), "places": pa.array([packed(place[at])], pa.binary()),
@@ -70,24 +71,19 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for piece in K.pieces(batch):
-                text, points, at = P.points_of(*K.text_bytes(piece.column("text")))
-                starts = P.split(points, at)
-                keys = K.span_hash(P.CODE[points], starts, np.append(starts[1:], len(points)), tiled=True) if len(starts) else np.zeros(0, np.uint64)
-                new = np.flatnonzero(store.find(keys) < 0)
-                fresh, first = np.unique(keys[new], return_index=True)
-                if ids and (store.n + len(fresh) > BLOCK_WORDS or held + len(keys) > BLOCK_TOKENS):
+                data, offsets = K.text_bytes(piece.column("text"))
+                starts, bounds = P.tokens(data, offsets)
+                which, words = P.distinct(data, starts)
+                fresh = [w for w in words if w not in store]
+                if ids and (len(store) + len(fresh) > BLOCK_WORDS or held + len(starts) > BLOCK_TOKENS):
                     yield row()
-                    made, store, words, ids, counts, places, held = made + 1, P.HashStore(), [], [], [], [], 0
-                    new = np.arange(len(keys))
-                    fresh, first = np.unique(keys, return_index=True)
-                ends = np.append(starts[1:], len(points))
-                order = np.argsort(first)
-                words += [text[starts[i] : ends[i]] for i in new[first[order]]]
-                store.add(fresh[order])
+                    made, store, ids, counts, places, held = made + 1, {}, [], [], [], 0
+                    fresh = words
+                store.update(zip(fresh, range(len(store), len(store) + len(fresh)), strict=True))
                 ids.append(piece.column("doc_id").to_pylist())
-                counts.append(np.diff(np.searchsorted(starts, at)))
-                places.append(store.find(keys))
-                held += len(keys)
+                counts.append(np.diff(bounds))
+                places.append(np.fromiter(map(store.__getitem__, words), np.int64, len(words))[which])
+                held += len(starts)
         if ids:
             yield row()
 
@@ -153,8 +149,9 @@ def roundtrip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     over the bytes that the ids decode to. Null texts are empty; rows of one id, or of none, and
     repeated rows keep a row each; an empty table gives none.
     """
-    ship(docs.sparkSession)
-    split = bucketed(blocks(docs), "blocks", "block")
+    spark = docs.sparkSession
+    ship(spark)
+    split, name, path_of_split = bucketed(blocks(docs), "blocks", "block")
     words = encoded_words(split, path)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
 
@@ -190,7 +187,10 @@ def roundtrip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         return pa.Table.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds, strict=False)], names=names)
 
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
-    return split.drop("words").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(joined, fields)
+    out, _ = written(split.drop("words").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(joined, fields), "encoded")
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, path_of_split)
+    return out
 
 
 _tables: dict[str, tuple] = {}

@@ -9,14 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-from evidara.llm import kernels as K
-
 LETTER, NUMBER, MARK, SPACE, UNKNOWN = range(5)
 _classes = np.full(0x110000, UNKNOWN, dtype=np.uint8)
 _kinds = [(regex.compile(p), k) for p, k in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE), (r"(?s).", MARK))]
-CODE = K.mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def classes(points: np.ndarray) -> np.ndarray:
@@ -66,98 +64,63 @@ def points_of(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, n
     return text, np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), heads[offsets]
 
 
-class HashStore:
-    """A growing vectorised map from 64-bit hashes to 0, 1, 2, ... in order of arrival (open addressing)."""
-
-    def __init__(self, slots: int = 1 << 16):
-        self.keys, self.place = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
-        self.n = 0
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key, -1 where it isn't there."""
-        mask = np.uint64(len(self.keys) - 1)
-        slot = (keys & mask).astype(np.int64)
-        out = self.place[slot]
-        at = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
-        while len(at):
-            slot[at] = (slot[at] + 1) & int(mask)
-            s = slot[at]
-            out[at] = self.place[s]
-            at = at[(out[at] >= 0) & (self.keys[s] != keys[at])]
-        return out
-
-    def add(self, keys: np.ndarray) -> None:
-        """Distinct keys that aren't there."""
-        while 2 * (self.n + len(keys)) > len(self.keys):
-            old, order = self.keys, np.flatnonzero(self.place >= 0)
-            place = self.place[order]
-            self.keys, self.place = np.zeros(2 * len(old), np.uint64), np.full(2 * len(old), -1, np.int32)
-            self._put(old[order], place)
-        self._put(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
-        self.n += len(keys)
-
-    def _put(self, keys: np.ndarray, place: np.ndarray) -> None:
-        mask = len(self.keys) - 1
-        slot = (keys & np.uint64(mask)).astype(np.int64)
-        left = np.arange(len(keys))
-        while len(left):
-            s = slot[left]
-            free = left[self.place[s] < 0]
-            self.place[slot[free]] = place[free]  # of several for one slot the last stays
-            won = free[self.place[slot[free]] == place[free]]
-            self.keys[slot[won]] = keys[won]
-            lost = np.ones(len(keys), dtype=bool)
-            lost[won] = False
-            left = left[lost[left]]
-            slot[left] = (slot[left] + 1) & mask
+def tokens(data: np.ndarray, offsets: np.ndarray, cut: Callable[[np.ndarray, np.ndarray], np.ndarray] = split) -> tuple[np.ndarray, np.ndarray]:
+    """Where the spans that cut makes start in UTF-8 bytes, and the index of each document's first span (and of the last's end)."""
+    _, points, at = points_of(data, offsets)
+    starts = cut(points, at)
+    heads = np.flatnonzero((data & 0xC0) != 0x80)
+    return heads[starts], np.searchsorted(starts, at)
+
+
+def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """For each of the spans, which tile data, its place among the different ones, and these. Spans are told apart by their bytes."""
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    ends = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+    held = pa.StringArray.from_buffers(len(starts), ends, pa.py_buffer(data)).dictionary_encode()
+    return held.indices.to_numpy(), held.dictionary.to_pylist()
 
 
 class WordIds:
-    """The ids of pre-tokens: a bounded store in front of encode(list of words) -> (ids one after the other, sizes).
+    """The ids of the spans that cut makes: a bounded store in front of encode(list of words) -> (ids one after the other, sizes).
 
-    A word is encoded the first time that it is seen; beyond limit words the store starts afresh.
+    A word is encoded the first time that it is seen; beyond limit words the store starts afresh. Words are
+    looked up as strings, so that no two share an entry.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[np.ndarray, np.ndarray], np.ndarray] = split, limit: int = 400_000):
+        self.encode, self.cut, self.limit = encode, cut, limit
         self.clear()
 
     def clear(self) -> None:
-        self.store = HashStore()
+        self.place: dict[str, int] = {}
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.flat, self.used = np.zeros(1 << 17, np.uint32), 0
 
-    def add(self, keys: np.ndarray, words: list[str]) -> None:
+    def add(self, words: list[str]) -> None:
         flat, size = self.encode(words)
-        n = self.store.n
+        n = len(self.place)
         self.flat = grown(self.flat, self.used + len(flat))
-        self.start, self.size = grown(self.start, n + len(keys)), grown(self.size, n + len(keys))
+        self.start, self.size = grown(self.start, n + len(words)), grown(self.size, n + len(words))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.start[n : n + len(keys)] = self.used + np.cumsum(size) - size
-        self.size[n : n + len(keys)] = size
-        self.store.add(keys)
+        self.start[n : n + len(words)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(words)] = size
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
         self.used += len(flat)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents one after the other, and where each document's begin (and the last ends)."""
-        text, points, at = points_of(data, offsets)
-        starts = split(points, at)
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        ends = np.append(starts[1:], len(points))
-        keys = K.span_hash(CODE[points], starts, ends, tiled=True)
-        place = self.store.find(keys)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            distinct, first = np.unique(keys[new], return_index=True)
-            if self.store.n + len(distinct) > self.limit:
+        starts, bounds = tokens(data, offsets, self.cut)
+        which, words = distinct(data, starts)
+        new = [w for w in words if w not in self.place]
+        if new:
+            if len(self.place) + len(new) > self.limit:
                 self.clear()
-                distinct, first = np.unique(keys, return_index=True)
-                new = np.arange(len(keys))
-            self.add(distinct, [text[starts[i] : ends[i]] for i in new[first]])
-            place = self.store.find(keys)
-        flat, bounds = gathered(self.flat, self.start, self.size, place)
-        return flat, bounds[np.searchsorted(starts, at)]
+                new = words
+            self.add(new)
+        place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        flat, ends = gathered(self.flat, self.start, self.size, place[which])
+        return flat, ends[bounds]
 
 
 def grown(a: np.ndarray, n: int) -> np.ndarray:

@@ -54,14 +54,17 @@ def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
-    """df written to the shared folder in buckets by key, as many as shuffles have partitions: joins on key don't move it."""
+def bucketed(df: DataFrame, what: str, key: str) -> tuple[DataFrame, str, str]:
+    """df written to the shared folder in buckets by key, as many as shuffles have partitions: joins on key don't move it.
+
+    With it the name of its table, which is to be dropped, and its folder.
+    """
     spark = df.sparkSession
     path = new_path(spark, what)
     name = path.rpartition("/")[2].replace("-", "_")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name, path
 
 
 def remove(spark: SparkSession, path: str) -> None:
