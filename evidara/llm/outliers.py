@@ -219,8 +219,8 @@ def estimates(rows: DataFrame) -> DataFrame:
         for old in (path, taken):
             remove(spark, old)
         params, path = after, new
-        now, n = params.agg(F.sum("logdet"), F.count("*")).head()
-        if step >= FIRST_STEPS and abs(now - total) < SETTLED * n:
+        now, n = params.agg(F.coalesce(F.sum("logdet"), F.lit(0.0)), F.count("*")).head()
+        if not n or step >= FIRST_STEPS and abs(now - total) < SETTLED * n:
             break
         total = now
     return params.drop("start", "logdet")
@@ -232,7 +232,7 @@ def judged(docs: DataFrame) -> DataFrame:
     docs: doc_id, text, lang, source. A null text has no words and fails the base rules; a null language or
     source is a group of its own. Documents that fail the base rules take no part in estimates and
     have no distance. The fewer documents a group has, the more it leans on its language, and that on all.
-    Repeated rows count and stay; an empty table gives none.
+    Repeated rows count and stay; an empty table gives none, and where all documents fail there is nothing to estimate.
     """
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     stats, _ = written(statistics(docs), "statistics")
