@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.llm import bpe, embeddings, ftrl, gam, licenses, outliers, packing, quotes, simhash, token_files
+from evidara.llm import bpe, embeddings, ftrl, gam, licenses, outliers, packing, pieces, quotes, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_additive_model_quality": gam.query,
         "op9_distinct_word_bpe": bpe.query,
         "op10_license_paragraphs": licenses.query,
+        "op11_piece_agenda": pieces.query,
     }
 
 

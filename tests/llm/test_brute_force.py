@@ -314,7 +314,7 @@ def test_licences(spark):
 def test_licences_of_documents(spark):
     docs = table(spark, MORE, "documents")
     got = licenses.scanned(docs).join(docs, "doc_id")
-    want = F.when(F.col("text").contains("MIT License"), "MIT").when(F.col("text").contains("Apache License"), "Apache-2.0").when(F.col("text").contains("GNU General"), "GPL").otherwise("none")
+    want = F.when(F.col("text").contains("MIT License"), "MIT").when(F.col("text").contains("Apache License"), "Apache-2.0").when(F.col("text").contains("GNU General"), "GPL").when(F.col("text").contains("CC BY-NC"), "CC-BY-NC").otherwise("none")
     assert got.where(want != F.col("family")).count() == 0
 
 

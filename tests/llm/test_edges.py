@@ -4,12 +4,13 @@ import re
 
 import pytest
 import public_tokenizers
-from evidara.llm import bpe, embeddings, ftrl, gam, licenses, outliers, packing, quotes, simhash, token_files
+from evidara.llm import bpe, embeddings, ftrl, gam, licenses, outliers, packing, pieces, quotes, simhash, token_files
 from evidara.llm.runtime import new_path
 from pyspark.sql import functions as F
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long, fp string, node string, label string, part string, key string"
 BPE, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @pytest.fixture(scope="module")
@@ -37,9 +38,9 @@ ALL = [1, 1, 2, 3, 4, 5, 6, 7, 8, None]
 
 
 @pytest.mark.parametrize("apply", [
-    simhash.near_duplicates, outliers.judged, lambda d: bpe.roundtrip(d, RANKS), lambda d: licenses.scanned(d, licenses.fit(["some line of text"])),
+    simhash.near_duplicates, outliers.judged, lambda d: bpe.roundtrip(d, RANKS), lambda d: pieces.roundtrip(d, MODEL), lambda d: licenses.scanned(d, licenses.fit(["some line of text"])),
     lambda d: token_files.read_tokens(token_files.with_starts(token_files.write_tokens(d, new_path(d.sparkSession, "tokens"), BPE))),
-], ids=["simhash", "outliers", "bpe", "licenses", "token_files"])
+], ids=["simhash", "outliers", "bpe", "pieces", "licenses", "token_files"])
 def test_a_row_for_each_row(docs, apply):
     assert ids(apply(docs)) == ALL
     assert apply(empty(docs)).count() == 0
@@ -141,9 +142,9 @@ def test_paths_for_token_files():
     assert token_files.as_uri("s3a://b/x") == "s3://b/x" and token_files.as_uri("/x/y") == "file:///x/y" and token_files.as_uri("file:///x") == "file:///x"
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_operators_and_the_pipeline_are_registered():
     import __spark_entry__ as entry
 
     own = entry.queries()
-    assert sorted(k.split("_")[0] for k in own if re.match(r"op\d+_", k)) == sorted(f"op{n}" for n in range(1, 11)) and "pipeline" in own
+    assert sorted(k.split("_")[0] for k in own if re.match(r"op\d+_", k)) == sorted(f"op{n}" for n in range(1, 12)) and "pipeline" in own
     assert "op1_p_stable_embeddings" in entry.oracle_sql()
