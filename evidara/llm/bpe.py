@@ -26,7 +26,7 @@ from evidara.llm.runtime import bucketed, remove, ship, table, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A block ends at so many distinct words or pre-tokens, which bounds a task's memory.
-BLOCK_WORDS, BLOCK_TOKENS = 1 << 18, 3 << 20
+BLOCK_WORDS, BLOCK_TOKENS = 1 << 19, 6 << 20
 #: Encoded words that are sent back together.
 SENT = 1 << 18
 
@@ -54,7 +54,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         from evidara.llm import pretokens as P
 
         made, part = 0, TaskContext.get().partitionId()
-        store: dict[str, int] = {}
+        store: dict[bytes, int] = {}
         ids, counts, places, held = [], [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -74,15 +74,17 @@ def blocks(docs: DataFrame) -> DataFrame:
                 data, offsets = K.text_bytes(piece.column("text"))
                 starts, bounds = P.tokens(data, offsets)
                 which, words = P.distinct(data, starts)
-                fresh = [w for w in words if w not in store]
-                if ids and (len(store) + len(fresh) > BLOCK_WORDS or held + len(starts) > BLOCK_TOKENS):
+                place = P.places(store, words)
+                new = np.flatnonzero(place < 0)
+                if ids and (len(store) + len(new) > BLOCK_WORDS or held + len(starts) > BLOCK_TOKENS):
                     yield row()
                     made, store, ids, counts, places, held = made + 1, {}, [], [], [], 0
-                    fresh = words
-                store.update(zip(fresh, range(len(store), len(store) + len(fresh)), strict=True))
+                    new = np.arange(len(words))
+                place[new] = np.arange(len(store), len(store) + len(new))
+                store.update((words[i], n) for i, n in zip(new.tolist(), place[new].tolist(), strict=True))
                 ids.append(piece.column("doc_id").to_pylist())
                 counts.append(np.diff(bounds))
-                places.append(np.fromiter(map(store.__getitem__, words), np.int64, len(words))[which])
+                places.append(place[which])
                 held += len(starts)
         if ids:
             yield row()

@@ -7,6 +7,7 @@ with one leading space, white space up to the last one before a word.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -72,33 +73,41 @@ def tokens(data: np.ndarray, offsets: np.ndarray, cut: Callable[[np.ndarray, np.
     return heads[starts], np.searchsorted(starts, at)
 
 
-def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[str]]:
+def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """For each of the spans, which tile data, its place among the different ones, and these. Spans are told apart by their bytes."""
     if not len(starts):
         return np.zeros(0, np.int64), []
     ends = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
-    held = pa.StringArray.from_buffers(len(starts), ends, pa.py_buffer(data)).dictionary_encode()
-    return held.indices.to_numpy(), held.dictionary.to_pylist()
+    held = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(data)]).dictionary_encode()
+    _, at, raw = held.dictionary.buffers()
+    at, raw = np.frombuffer(at, np.int32)[: len(held.dictionary) + 1].tolist(), raw.to_pybytes()
+    return held.indices.to_numpy(), [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def places(of: dict[bytes, int], words: list[bytes]) -> np.ndarray:
+    """The number of each word, -1 where it has none."""
+    return np.fromiter(map(of.get, words, repeat(-1)), np.int64, len(words))
 
 
 class WordIds:
     """The ids of the spans that cut makes: a bounded store in front of encode(list of words) -> (ids one after the other, sizes).
 
     A word is encoded the first time that it is seen; beyond limit words the store starts afresh. Words are
-    looked up as strings, so that no two share an entry.
+    looked up by their bytes, so that no two share an entry.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[np.ndarray, np.ndarray], np.ndarray] = split, limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[np.ndarray, np.ndarray], np.ndarray] = split, limit: int = 1_000_000):
         self.encode, self.cut, self.limit = encode, cut, limit
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[bytes, int] = {}
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.flat, self.used = np.zeros(1 << 17, np.uint32), 0
 
-    def add(self, words: list[str]) -> None:
-        flat, size = self.encode(words)
+    def add(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of words that the store hasn't, in order."""
+        flat, size = self.encode([w.decode() for w in words])
         n = len(self.place)
         self.flat = grown(self.flat, self.used + len(flat))
         self.start, self.size = grown(self.start, n + len(words)), grown(self.size, n + len(words))
@@ -107,18 +116,19 @@ class WordIds:
         self.size[n : n + len(words)] = size
         self.place.update(zip(words, range(n, n + len(words)), strict=True))
         self.used += len(flat)
+        return np.arange(n, n + len(words))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents one after the other, and where each document's begin (and the last ends)."""
         starts, bounds = tokens(data, offsets, self.cut)
         which, words = distinct(data, starts)
-        new = [w for w in words if w not in self.place]
-        if new:
+        place = places(self.place, words)
+        new = np.flatnonzero(place < 0)
+        if len(new):
             if len(self.place) + len(new) > self.limit:
                 self.clear()
-                new = words
-            self.add(new)
-        place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+                new = np.arange(len(words))
+            place[new] = self.add([words[i] for i in new.tolist()])
         flat, ends = gathered(self.flat, self.start, self.size, place[which])
         return flat, ends[bounds]
 
