@@ -1,6 +1,6 @@
-"""Toxicity: FTRL-proximal logistic regression over hashed words, word pairs, triples and skip-grams.
+"""Toxicity: FTRL-proximal logistic regression over hashed words, word pairs, triples and skip-grams, and words' beginnings.
 
-A document's features are the grams that it has, however often. Each coordinate has its own learning
+A document's features are the grams that it has, however often. Beginnings are there for words of one stem and many endings. Each coordinate has its own learning
 rate; the L1 term leaves most weights at zero, so the model that goes to the tasks is small.
 """
 
@@ -20,6 +20,8 @@ from evidara.llm.runtime import ship, table
 SAMPLE = 12_000
 BITS = 22
 ORDERS = ((0,), (0, 1), (0, 2), (0, 1, 2))
+#: Bytes of the beginnings of longer words that are features too.
+BEGINNINGS = (4, 5, 6)
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 7.0, 0.01, 8
 #: Grams of fewer learned documents than this are left out.
 LEAST = 5
@@ -48,6 +50,12 @@ class Model:
         return _dense[1]
 
 
+def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hashed feature) of all grams of lower-cased texts, repeats included."""
+    parts = ngrams.grams(data, offsets, bits, ORDERS), ngrams.beginnings(data, offsets, bits, BEGINNINGS)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Model:
     """Weights from documents' distinct features, document by document; without both labels, the share of label 1 alone."""
     p = (y.sum() + 1) / (len(y) + 2)
@@ -92,7 +100,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
             at, label = 0, b.column("label")
             for data, offsets in ngrams.lowered(b.column("text")):
                 n = len(offsets) - 1
-                doc, found = ngrams.distinct(*ngrams.grams(data, offsets, BITS, ORDERS), BITS)
+                doc, found = ngrams.distinct(*features(data, offsets), BITS)
                 bounds = np.searchsorted(doc, np.arange(n + 1))
                 raw = [found[x:y].astype("<i4").tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), label.slice(at, n)], names=["x", "label"])
@@ -122,7 +130,7 @@ def score(model: Model) -> Column:
         weight = model.dense()
         out = [np.zeros(0)]
         for data, offsets in ngrams.lowered(text):
-            doc, found = ngrams.grams(data, offsets, model.bits, ORDERS)
+            doc, found = features(data, offsets, model.bits)
             heavy = np.flatnonzero(weight[found])
             doc, found = ngrams.distinct(doc[heavy], found[heavy], model.bits)
             odds = model.base + np.bincount(doc, weight[found], len(offsets) - 1)

@@ -42,6 +42,19 @@ def grams(data: np.ndarray, offsets: np.ndarray, bits: int, orders: tuple[tuple[
     return np.concatenate(docs), np.concatenate(found)
 
 
+def beginnings(data: np.ndarray, offsets: np.ndarray, bits: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hashed feature) of the first bytes of each word that is longer: one stem's words share them, whatever their endings."""
+    starts, ends = K.spans(WORD[data], offsets)
+    doc = K.owner(np.searchsorted(starts, offsets))
+    docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in sizes:
+        longer = ends - starts > size
+        own = K.span_hash(K.BYTE_CODE[data], starts[longer], starts[longer] + size)
+        docs.append(doc[longer])
+        found.append((K.mix(own + np.uint64(1000 + size)) >> np.uint64(64 - bits)).astype(np.int64))
+    return np.concatenate(docs), np.concatenate(found)
+
+
 def lowered(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bytes and offsets of the lower-cased texts, in pieces of bounded size."""
     for p in K.pieces(pa.RecordBatch.from_arrays([col], names=["text"])):

@@ -41,7 +41,7 @@ def test_ftrl_against_plain_steps():
 def test_toxicity_scores_against_a_plain_sum(spark):
     """Scores by looking every gram of every text up by itself."""
     texts = ["you are a fool and a liar", "", "a quiet day in the park", "fool fool fool"]
-    data = [ngrams.distinct(*ngrams.grams(*next(ngrams.lowered(pa.array([t]))), ftrl.BITS, ftrl.ORDERS), ftrl.BITS)[1] for t in texts]
+    data = [ngrams.distinct(*ftrl.features(*next(ngrams.lowered(pa.array([t])))), ftrl.BITS)[1] for t in texts]
     model = ftrl.fit([data[0], data[2]] * 20, np.array([1.0, 0.0] * 20))
     weight = dict(zip(model.feature.tolist(), model.weight.tolist(), strict=True))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
