@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidara.llm import ngrams
@@ -95,9 +95,9 @@ NONE, OTHER = "none", "unknown"
 CLASSES = (NONE, OTHER, *TEMPLATES)
 BITS = 18
 ORDERS = ((0,), (0, 1), (0, 1, 2))
-#: The sample that the classifier learns other text from: documents, different lines of each, characters of a line, lines in all.
-#: It bounds what is learned from, and nothing of what is scanned.
-DOCUMENTS, LINES_EACH, LINE_CHARS, LINES = 2_000, 200, 2_000, 20_000
+#: The sample that the classifier learns other text from: documents, lines in all, and bytes of those; lines are whole ones, drawn by a
+#: hash wherever they stand. It bounds what is learned from, and nothing of what is scanned.
+DOCUMENTS, LINES, LINE_BYTES = 2_000, 20_000, 32 << 20
 EXAMPLES, STEPS, RATE, L1 = 120, 150, 0.5, 2e-4
 SIMILARITY = 0.8
 SURE = 0.5
@@ -260,13 +260,19 @@ def fit(lines: list[str]) -> Model:
     return Model(known[used], weight[used], base, min(loss)[1])
 
 
-def learn(docs: DataFrame, documents: int = DOCUMENTS, lines: int = LINES, lines_each: int = LINES_EACH, chars: int = LINE_CHARS) -> Model:
-    """Fit on at most `lines` lines of about `documents` documents, drawn by hashes; of a document lines_each lines, of a line the first chars characters."""
+def learn(docs: DataFrame, documents: int = DOCUMENTS, lines: int = LINES, most: int = LINE_BYTES) -> Model:
+    """Fit on at most `lines` different lines of about `documents` documents, both drawn by hashes; on as many of them, in the order of their hash, as have `most` bytes.
+
+    Lines are learned whole. An empty table, or one of null and empty texts, leaves the templates to learn from.
+    """
     ship(docs.sparkSession)
     n = docs.count()
     drawn = docs.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * min(1, documents / max(n, 1))))
-    some = drawn.select(F.explode(F.slice(F.array_distinct(F.split("text", "\n")), 1, lines_each)).alias("line")).where("trim(line) <> ''")
-    got = some.select(F.substring("line", 1, chars).alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(lines).collect()
+    some = drawn.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("trim(line) <> ''").distinct()
+    first = some.withColumn("h", F.xxhash64("line")).orderBy("h", "line").limit(lines)
+    # The bytes of the lines before each: at most `lines` rows.
+    before = F.coalesce(F.sum(F.octet_length("line")).over(Window.orderBy("h", "line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    got = first.withColumn("before", before).where((F.col("before") + F.octet_length("line")) <= most).select("line").collect()
     return fit(sorted(r.line for r in got))
 
 
