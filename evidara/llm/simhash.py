@@ -18,11 +18,15 @@ from pyspark.sql import functions as F
 
 from evidara.llm import kernels as K
 from evidara.llm.graph import connected_components
+from evidara.llm.pretokens import distinct
+from evidara.llm.pretokens import gathered as spread
 from evidara.llm.runtime import ship, table, unused, written
 from evidara.llm.tiles import MOST_SENT, dealt, gathered, meetings
 
 WIDTH = 4
 RADIUS = 4
+#: Rows of a fingerprint from which it is common.
+HOT = 1_000
 SEED = 42
 #: The pipeline's stage: shingles of five words, fingerprints of 256 bits. Texts of Jaccard similarity 0.8 differ in DIFFER of
 #: the bits or fewer (39 with a deviation of 6; the smallest texts in up to 48), texts of 0.6 in 59, texts with nothing in
@@ -72,11 +76,15 @@ _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 def hashed_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of lower-cased words of texts that begin at offsets, and each text's first.
 
-    As shingle_hashes has them, but for the hash: the words' hashes times odd numbers, summed and mixed.
+    As shingle_hashes has them, but for the hash: XXH64 of each different word, times odd numbers, summed and mixed.
     """
+    from xxhash import xxh64_intdigest
+
     data = K.LOWER[data]
     starts, ends, bounds = K.words(data, offsets)
-    own = K.span_hash(K.BYTE_CODE[data], starts, ends)
+    flat, at = spread(data, starts, ends - starts, np.arange(len(starts)))
+    which, found = distinct(flat, at[:-1])
+    own = np.fromiter((xxh64_intdigest(w, SEED) for w in found), np.uint64, len(found))[which]
     words = np.diff(bounds)
     count = np.where(words >= width, words - width + 1, words > 0)
     first = np.concatenate([[0], np.cumsum(count)])
@@ -223,12 +231,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = WIDTH, ra
     table gives no rows.
     """
     prints, _ = written(fingerprints(docs, key, width), "fingerprints")
-    classes, _ = written(prints.groupBy("fp").agg(F.min(key).alias("least")), "classes")
+    classes, _ = written(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")), "classes")
     component = connected_components(links(classes, "fp", ["fp"], radius)).withColumnRenamed("node", "fp")
     named, _ = written(classes.join(component, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print, _ = written(named.join(least, "component").select("fp", "component_id"), "components")
-    return prints.join(by_print, "fp").select(key, "fp", "component_id")
+    by_print, _ = written(named.join(least, "component").select("fp", "component_id", "copies"), "components")
+    # Rows of a very common fingerprint aren't moved: what is joined to them is sent, for at most MOST_SENT fingerprints.
+    common = F.col("copies") > max(HOT, prints.count() // MOST_SENT)
+    sent = by_print.where(common).select("fp", "component_id", F.lit(True).alias("common"))
+    told = prints.join(F.broadcast(sent), "fp", "left")
+    rest = told.where("common is null").select(key, "fp").join(by_print.where(~common).select("fp", "component_id"), "fp")
+    return told.where("common").select(key, "fp", "component_id").union(rest.select(key, "fp", "component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
