@@ -205,9 +205,9 @@ def overall_synthesis(s, d):
     return t(s, d, "part").select("p_partkey", ordinal.overall(F.expr(_SEVERITY), a).alias("overall"))
 
 
-@query("SELECT p_brand, count(DISTINCT p_type) AS n, CASE count(DISTINCT p_type) WHEN 0 THEN 'UNRESOLVED' WHEN 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS resolution FROM part WHERE p_size < 3 GROUP BY ALL")
+@query("SELECT p_brand, p_size, count(DISTINCT p_type) AS n, CASE count(DISTINCT p_type) WHEN 0 THEN 'UNRESOLVED' WHEN 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS resolution FROM part GROUP BY ALL")
 def distinct_identity_gate(s, d):
-    g = t(s, d, "part").where("p_size < 3").groupBy("p_brand").agg(F.count_distinct("p_type").alias("n"))
+    g = t(s, d, "part").groupBy("p_brand", "p_size").agg(F.count_distinct("p_type").alias("n"))
     return g.withColumn("resolution", F.when(F.col("n") == 0, "UNRESOLVED").when(F.col("n") == 1, "RESOLVED").otherwise("AMBIGUOUS"))
 
 

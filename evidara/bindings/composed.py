@@ -13,6 +13,7 @@ from evidara.bindings.basics import QUERIES, query, t
 from evidara.functions import text, validation
 from evidara.operators import dedup, joins, merge, search
 from evidara.plans import ranking, reports, safety
+from evidara.sources import files
 
 _ = QUERIES
 
@@ -31,23 +32,35 @@ def brands(s: SparkSession, d: str) -> DataFrame:
 
 
 def pair_knowledge(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of brands by a rule; another source, which assessments leave out, says MAJOR of every pair."""
     x, y = brands(s, d), brands(s, d)
     # A few dozen brands stand for the drugs: all their pairs are made.
     met = joins.paired(x.select(F.col("brand").alias("x"), F.col("n").alias("nx")), y.select(F.col("brand").alias("y"), F.col("n").alias("ny")), F.col("x") < F.col("y"))
     r = (7 * F.col("nx") + 13 * F.col("ny")) % 5
     level = F.when(r == 0, "MAJOR").when(r == 1, "MODERATE").when(r == 2, "MINOR")
-    rows = met.select(text.term("x").alias("a"), text.term("y").alias("b"), level.alias("severity"), F.lit(None).cast("timestamp").alias("imported_at"), F.concat("x", "y").alias("id"), F.col("x").alias("drug_a"), F.col("y").alias("drug_b"), F.initcap(F.lower(level)).alias("raw_severity"), F.lit(safety.PAIRS_SOURCE).alias("source"))
+    met = met.withColumn("said", F.explode(F.array(F.struct(F.lit(safety.PAIRS_SOURCE).alias("source"), level.alias("severity")), F.struct(F.lit("Other").alias("source"), F.lit("MAJOR").alias("severity"))))).select("x", "y", "said.*")
+    rows = met.select(
+        text.term("x").alias("a"), text.term("y").alias("b"), "severity", F.lit(None).cast("timestamp").alias("imported_at"), F.concat("x", "y", "source").alias("id"), F.col("x").alias("drug_a"), F.col("y").alias("drug_b"),
+        F.initcap(F.lower("severity")).alias("raw_severity"), "source", F.lit("v1").alias("version"), F.concat(F.lit("D"), F.substring("x", 7, 9)).alias("id_a"), F.concat(F.lit("D"), F.substring("y", 7, 9)).alias("id_b"),
+    )
     return rows.where("severity is not null")
 
 
 def disease_knowledge(s: SparkSession, d: str) -> DataFrame:
+    """Segments as diseases of brands by a rule; besides them newer rows without an identity, and another source's, none of which count."""
     term = t(s, d, "customer").select(F.col("c_mktsegment").alias("term")).distinct().where("term <> 'HOUSEHOLD'")
     ids = term.select("term", F.concat(F.lit("ID:"), "term").alias("identity")).union(s.createDataFrame([("FURNITURE", "ID:FURNITURE:2")], "term string, identity string"))
     r = (11 * F.col("n") + 3 * F.length("identity")) % 7
     level = F.when(r == 0, "HIGH").when(r == 1, "MODERATE").when(r == 2, "LOW")
     rows = joins.paired(brands(s, d), ids, None).withColumn("assessment", level).where("assessment is not null")
+    one = lambda identity, source, day: F.struct(identity.cast("string").alias("identity"), F.lit(source).alias("source"), F.lit(day).cast("timestamp").alias("imported_at"))
+    kinds = F.array(one(F.col("identity"), safety.DISEASES_SOURCE, "2024-01-01"), one(F.lit(None), safety.DISEASES_SOURCE, "2025-01-01"), one(F.lit(""), safety.DISEASES_SOURCE, "2025-06-01"), one(F.lit("OTHER"), "Other", "2026-01-01"))
+    rows = rows.select("brand", "term", "assessment", F.posexplode(kinds).alias("kind", "x")).select("*", "x.*")
     none = F.lit(None).cast("string")
-    return rows.select(F.concat_ws("/", "brand", "identity").alias("id"), text.term("brand").alias("drug"), "identity", text.term("term").alias("disease"), F.lit("").alias("concept"), F.lit("").alias("snomed"), none.alias("cui"), F.lit(None).cast("timestamp").alias("imported_at"), "assessment", F.col("term").alias("shown"), F.concat(F.lit("rel "), F.lower("assessment")).alias("relationship"), F.lit(safety.DISEASES_SOURCE).alias("source"), F.lit("v1").alias("version"))
+    return rows.select(
+        F.concat_ws("/", "brand", "identity", "kind").alias("id"), text.term("brand").alias("drug"), "identity", text.term("term").alias("disease"), F.lit("").alias("concept"), F.lit("").alias("snomed"), none.alias("cui"), "imported_at", "assessment",
+        F.col("term").alias("shown"), F.concat(F.lit("rel "), F.lower("assessment")).alias("relationship"), F.concat_ws(" | ", F.lit("rel"), "term").alias("evidence"), "source", F.lit("v1").alias("version"), none.alias("snomed_shown"), F.col("brand").alias("generic"),
+    )
 
 
 def lines(s: SparkSession, d: str) -> DataFrame:
@@ -56,7 +69,7 @@ def lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def case(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    own = lines(s, d)
+    own, _ = files.written(lines(s, d), "lines")  # read for the proposals and for the medicines
     proposed = own.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("p_brand").alias("proposed"))
     orders = t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     consultations = orders.join(proposed, "o_orderkey", "left").select(F.col("o_orderkey").alias("consultation"), "proposed", F.col("o_orderpriority").alias("indication"))
@@ -71,7 +84,7 @@ def indications(s: SparkSession, d: str) -> DataFrame:
     priority = t(s, d, "orders").select("o_orderpriority").distinct()
     fits = (F.col("n") + F.substring("o_orderpriority", 1, 1).cast("int")) % 2 == 0
     ind = joins.paired(brands(s, d), priority, fits)
-    return ind.select(text.term("o_orderpriority").alias("indication"), F.col("brand").alias("drug"), text.term("brand").alias("normalised"), F.lit("indication").alias("relationship"), F.concat_ws(" | ", F.lit("indication"), "brand").alias("evidence"))
+    return ind.select(text.term("o_orderpriority").alias("indication"), F.col("brand").alias("drug"), text.term("brand").alias("normalised"), F.lit("indication").alias("relationship"), F.concat_ws(" | ", F.lit("indication"), "brand").alias("evidence"), F.lit(safety.DISEASES_SOURCE).alias("source"))
 
 
 @query(f"""WITH {DDI}, {ORDERS}
@@ -115,11 +128,13 @@ SELECT o_orderkey AS consultation, cap.name AS drug FROM orders JOIN proposed p
 def candidates_cut_then_exclude(s, d):
     """64 names of parts stand for the drugs of every priority, 25 of them stay; the proposal leaves after the cut."""
     names = joins.paired(t(s, d, "part").select("p_name").distinct(), t(s, d, "orders").select("o_orderpriority").distinct(), None)
-    ind = names.select(text.term("o_orderpriority").alias("indication"), F.col("p_name").alias("drug"), text.term("p_name").alias("normalised"))
+    ind = names.select(text.term("o_orderpriority").alias("indication"), F.col("p_name").alias("drug"), text.term("p_name").alias("normalised"), F.lit(safety.DISEASES_SOURCE).alias("source"))
+    other = ind.withColumns({"drug": F.lit("a drug of another source"), "normalised": F.lit("a drug of another source"), "source": F.lit("Other")})
+    ind = ind.union(other.distinct())
     lines = t(s, d, "lineitem").join(t(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     proposed = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("p_name").alias("proposed"))
     asked = t(s, d, "orders").join(proposed, "o_orderkey").select(F.col("o_orderkey").alias("consultation"), "proposed", F.col("o_orderpriority").alias("indication"))
-    return ranking.candidates(asked, ind)
+    return ranking.candidates(asked, ind).select("consultation", "drug")
 
 
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'")
@@ -231,12 +246,12 @@ def union_reconcile(s, d):
 
 
 _OLD = "SELECT o_custkey % 500 AS k, max(o_orderkey) AS v FROM orders WHERE o_custkey % 3 = 0 GROUP BY ALL"
-_NEW = "SELECT o_custkey % 500 AS k, o_orderkey AS v FROM orders WHERE o_custkey % 2 = 0"
+_NEW = "SELECT o_custkey % 500 AS k, o_orderkey AS v FROM orders WHERE o_custkey % 3 <> 0"
 
 
 def _old_new(s, d):
     orders = t(s, d, "orders").select((F.col("o_custkey") % 500).alias("k"), F.col("o_orderkey").alias("v"), "o_custkey")
-    return orders.where("o_custkey % 3 = 0").groupBy("k").agg(F.max("v").alias("v")), orders.where("o_custkey % 2 = 0").select("k", "v")
+    return orders.where("o_custkey % 3 = 0").groupBy("k").agg(F.max("v").alias("v")), orders.where("o_custkey % 3 <> 0").select("k", "v")
 
 
 @query(f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT * FROM o UNION ALL SELECT k, min(v) AS v FROM n WHERE k NOT IN (SELECT k FROM o) GROUP BY ALL")
@@ -256,34 +271,65 @@ def replace_collection(s, d):
     return merge.replace_collection(*_old_new(s, d), "k")
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN TIMESTAMP '2024-01-01' WHEN c_custkey % 10 = 0 THEN TIMESTAMP '2023-01-01' END AS deleted_at, CASE WHEN c_acctbal < 0 AND c_custkey % 10 <> 0 THEN 2 ELSE 1 END AS version FROM customer WHERE NOT (c_acctbal < 0 AND c_custkey % 10 = 0)")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN TIMESTAMP '2023-01-01' WHEN c_acctbal < 0 THEN TIMESTAMP '2024-01-01' END AS deleted_at, CASE WHEN c_acctbal < 0 AND c_custkey % 10 <> 0 THEN 2 ELSE 1 END AS version FROM customer")
 def soft_delete(s, d):
-    rows = t(s, d, "customer").where("NOT (c_acctbal < 0 AND c_custkey % 10 = 0)")
-    rows = rows.select("c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 10 == 0, F.lit("2023-01-01").cast("timestamp_ntz")).alias("deleted_at"), F.lit(1).alias("version"))
+    rows = t(s, d, "customer").select("c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 10 == 0, F.lit("2023-01-01").cast("timestamp_ntz")).alias("deleted_at"), F.lit(1).alias("version"))
     return merge.soft_delete(rows, F.col("c_acctbal") < 0, F.lit("2024-01-01").cast("timestamp_ntz")).drop("c_acctbal")
 
 
-@query("""SELECT o_orderkey, o_orderkey % 3 = 1 AS accepted FROM orders WHERE o_orderkey % 3 > 0""")
-def version_conflicts(s, d):
-    old = t(s, d, "orders").select("o_orderkey", F.lit(1).alias("version"))
-    changes = t(s, d, "orders").where("o_orderkey % 3 > 0").select("o_orderkey", (F.col("o_orderkey") % 3).cast("int").alias("expected"))
-    good, bad = merge.versioned(old, changes, "o_orderkey")
-    return good.select("o_orderkey", F.lit(True).alias("accepted")).union(bad.select("o_orderkey", F.lit(False)))
-
-
-@query(f"""WITH {ORDERS}, m AS (SELECT l_orderkey, string_agg('"' || p_brand || '"', ',' ORDER BY p_brand) AS held FROM meds GROUP BY ALL)
-SELECT o_orderkey AS consultation, sha256('{{"proposed":' || coalesce('"' || p.brand || '"', 'null') || ',"indication":"' || o_orderpriority || '","medicines":[' || coalesce(held, '') || ']}}') AS input_hash
-FROM orders LEFT JOIN proposed p ON p.l_orderkey = o_orderkey LEFT JOIN m ON m.l_orderkey = o_orderkey""")
+@query(f"""WITH {DDI}, {ORDERS}, {DISEASES},
+m AS (SELECT l_orderkey, string_agg('"' || p_brand || '"', ',' ORDER BY p_brand) AS held FROM meds GROUP BY ALL),
+i AS (SELECT p.l_orderkey, max(sev) AS sev, string_agg('{{"generic":"' || m.p_brand || '","medicine":"' || p.l_orderkey || '/' || m.p_brand || '","severity":"' || (['MINOR', 'MODERATE', 'MAJOR'])[sev] || '","drug_a":"' || a || '","drug_b":"' || b || '","raw_severity":"' || (['Minor', 'Moderate', 'Major'])[sev] || '","source":"DDInter 2.0","version":"v1"}}', ',' ORDER BY m.p_brand) AS held
+  FROM proposed p JOIN meds m ON m.l_orderkey = p.l_orderkey AND m.p_brand <> p.brand JOIN ddi ON a = least(p.brand, m.p_brand) AND b = greatest(p.brand, m.p_brand) GROUP BY ALL),
+f AS (SELECT o_orderkey, sev, '{{"entered":"' || term || '","condition":' || o_orderkey || ',"match_type":"CANONICAL_TERM","identity":"' || dd.identity || '","assessment":"' || (['LOW', 'MODERATE', 'HIGH'])[sev] || '","relationship":"rel ' || (['low', 'moderate', 'high'])[sev] || '","evidence":"rel | ' || term || '","source":"DrugCentral","version":"v1"}}' AS held
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN proposed p ON p.l_orderkey = o_orderkey JOIN resolved ON term = c_mktsegment JOIN dd ON dd.brand = p.brand AND dd.identity = resolved.identity)
+SELECT o.o_orderkey AS consultation, sha256('{{"consultation":' || o.o_orderkey || ',"indication":"' || o_orderpriority || '","proposed":' || coalesce('"' || p.brand || '"', 'null') || ',"medicines":[' || coalesce(m.held, '') || '],"conditions":["' || c_mktsegment || '"],"engine":"evidence-1","severity":"'
+  || (['NOT_EVALUATED', 'MINOR', 'MODERATE', 'MAJOR'])[coalesce(i.sev, 0) + 1] || '","interactions":[' || coalesce(i.held, '') || '],"assessment":"' || (['NOT_EVALUATED', 'LOW', 'MODERATE', 'HIGH'])[coalesce(f.sev, 0) + 1] || '","diseases":[' || coalesce(f.held, '') || '],"overall":"'
+  || (['NOT_EVALUATED', 'LOW', 'MODERATE', 'HIGH'])[greatest(coalesce(i.sev, 0), coalesce(f.sev, 0)) + 1] || '"}}') AS input_hash
+FROM orders o JOIN customer ON o_custkey = c_custkey LEFT JOIN proposed p ON p.l_orderkey = o.o_orderkey LEFT JOIN m ON m.l_orderkey = o.o_orderkey LEFT JOIN i ON i.l_orderkey = o.o_orderkey LEFT JOIN f ON f.o_orderkey = o.o_orderkey""")
 def recommendation_input_hash(s, d):
-    c = case(s, d)
-    return ranking.input_hash(c["consultations"], c["medicines"])
-
-
-@query("""WITH {0} SELECT c_custkey, CASE WHEN n = 1 THEN 'RESOLVED' WHEN n IS NULL THEN 'UNRESOLVED' ELSE 'AMBIGUOUS' END AS resolution, CASE WHEN n = 1 THEN i END AS identity, CASE WHEN n = 1 THEN 'CANONICAL_TERM' END AS match_type
-FROM customer LEFT JOIN (SELECT term, count(DISTINCT identity) AS n, min(identity) AS i FROM ids GROUP BY ALL) ON term = c_mktsegment""".format(DISEASES.partition(",\nresolved")[0]))
+    return ranking.input_hash(**case(s, d), pair_knowledge=pair_knowledge(s, d), disease_knowledge=disease_knowledge(s, d))
+
+
+#: Knowledge of diseases whose rows are met by name, by either alias and by either code; newer rows without an identity, older
+#: ones of the same, a second identity of one name, and another source's rows.
+RESOLVING = """s AS (SELECT DISTINCT c_mktsegment AS s, 'C' || lpad(ascii(c_mktsegment)::VARCHAR, 7, '0') AS cui FROM customer),
+one AS (SELECT s, cui, CASE WHEN s = 'MACHINERY' THEN 'DRUGCENTRAL:v1:machinery' ELSE 'UMLS:' || cui END AS identity, lower(s) AS name FROM s),
+k AS (SELECT s || '/1' AS id, identity, name AS disease, 'concept ' || name AS concept, 'alias ' || name AS snomed, CASE WHEN s <> 'MACHINERY' THEN cui END AS cui, DATE '2024-01-01' AS told FROM one WHERE s <> 'HOUSEHOLD'
+UNION ALL SELECT s || '/5', identity, 'old ' || name, 'concept ' || name, '', NULL, DATE '2020-01-01' FROM one WHERE s <> 'HOUSEHOLD' UNION ALL SELECT 'FURNITURE/3', 'UMLS:C9999999', 'furniture', '', '', 'C9999999', DATE '2023-01-01')"""
+
+
+def resolving_knowledge(s: SparkSession, d: str) -> DataFrame:
+    seg = t(s, d, "customer").select(F.col("c_mktsegment").alias("s")).distinct()
+    cui = F.concat(F.lit("C"), F.lpad(F.ascii("s").cast("string"), 7, "0"))
+    local, named, none = F.col("s") == "MACHINERY", F.col("s") != "HOUSEHOLD", F.lit(None).cast("string")
+    identity = F.when(local, "DRUGCENTRAL:v1:machinery").otherwise(F.concat(F.lit("UMLS:"), cui))
+    name = F.lower("s")
+    concept, alias = F.concat(F.lit("concept "), name), F.concat(F.lit("alias "), name)
+    row = lambda n, ident, disease, con, sno, code, at, source=safety.DISEASES_SOURCE: F.struct(
+        F.concat("s", F.lit(f"/{n}")).alias("id"), ident.alias("identity"), disease.alias("disease"), con.alias("concept"), sno.alias("snomed"), code.alias("cui"), F.lit(at).cast("timestamp").alias("imported_at"), F.lit(source).alias("source"))
+    rows = F.array(
+        F.when(named, row(1, identity, name, concept, alias, F.when(~local, cui), "2024-01-01")), row(2, F.when(F.ascii("s") % 2 == 0, ""), name, concept, alias, none, "2025-01-01"),
+        F.when(F.col("s") == "FURNITURE", row(3, F.lit("UMLS:C9999999"), name, F.lit(""), F.lit(""), F.lit("C9999999"), "2023-01-01")), row(4, F.concat(F.lit("OTHER:"), "s"), name, concept, alias, cui, "2026-01-01", "Other"),
+        F.when(named, row(5, identity, F.concat(F.lit("old "), name), concept, F.lit(""), none, "2020-01-01")),
+    )
+    return seg.select(F.explode(rows).alias("r")).where("r is not null").select("r.*")
+
+
+@query(f"""WITH {RESOLVING},
+c AS (SELECT c_custkey, CASE c_nationkey % 5 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN 'concept ' || lower(c_mktsegment) WHEN 2 THEN 'alias ' || lower(c_mktsegment) ELSE 'nothing' END AS entered,
+  CASE WHEN c_nationkey % 5 = 3 THEN 'C' || lpad(ascii(c_mktsegment)::VARCHAR, 7, '0') END AS code_cui, CASE WHEN c_nationkey % 5 = 4 THEN 'DRUGCENTRAL:v1:' || lower(c_mktsegment) END AS code_identity FROM customer),
+m AS (SELECT c.*, k.* FROM c JOIN k ON disease = entered OR concept = entered OR snomed = entered OR k.cui = code_cui OR identity = code_identity),
+g AS (SELECT c_custkey, count(DISTINCT identity) AS n, arg_max(identity, (told, id)) AS identity, arg_max(id, (told, id)) AS id,
+  arg_max(CASE WHEN cui = code_cui THEN 'UMLS_IDENTIFIER' WHEN identity = code_identity THEN 'DRUGCENTRAL_IDENTIFIER' WHEN disease = entered THEN 'CANONICAL_TERM' WHEN snomed = entered THEN 'SNOMED_SOURCE_ALIAS' ELSE 'CONCEPT_SOURCE_ALIAS' END, (told, id)) AS match_type FROM m GROUP BY ALL)
+SELECT c.c_custkey, CASE WHEN n = 1 THEN 'RESOLVED' WHEN n IS NULL THEN 'UNRESOLVED' ELSE 'AMBIGUOUS' END AS resolution, CASE WHEN n = 1 THEN identity END AS identity, CASE WHEN n = 1 THEN match_type END AS match_type, CASE WHEN n = 1 THEN id END AS knowledge_id FROM c LEFT JOIN g USING (c_custkey)""")
 def condition_resolutions(s, d):
-    conditions = t(s, d, "customer").select(F.col("c_custkey").alias("condition"), F.col("c_mktsegment").alias("display"), F.lit(None).cast("string").alias("code"))
-    return safety.resolutions(conditions, disease_knowledge(s, d)).drop("knowledge_id").withColumnRenamed("condition", "c_custkey")
+    """All five ways to match, an ambiguous name, and names that only rows without an identity have."""
+    k, seg = F.col("c_nationkey") % 5, F.col("c_mktsegment")
+    display = F.when(k == 0, F.initcap(F.lower(seg))).when(k == 1, F.concat(F.lit("Concept  "), seg)).when(k == 2, F.concat(F.lit("alias-"), seg)).otherwise("nothing")
+    code = F.when(k == 3, F.concat(F.lit("umls:C"), F.lpad(F.ascii(seg).cast("string"), 7, "0"))).when(k == 4, F.concat(F.lit(" DRUGCENTRAL:v1:"), F.lower(seg)))
+    conditions = t(s, d, "customer").select(F.col("c_custkey").alias("condition"), display.alias("display"), code.alias("code"))
+    return safety.resolutions(conditions, resolving_knowledge(s, d)).withColumnRenamed("condition", "c_custkey")
 
 
 @query("""SELECT p_partkey, p_name AS brand, p_type || ', "x"' AS salt FROM part""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidara.bindings.basics import QUERIES, query, t
+from evidara.bindings.changes import source_files
 from evidara.bindings.composed import DDI, DISEASES, ORDERS, case, disease_knowledge, indications, pair_knowledge
 from evidara.functions import text, validation
 from evidara.operators import dedup, joins, merge, search
@@ -37,14 +38,40 @@ def assessment_explanations(s, d):
     return safety.explanations(**case(s, d), pair_knowledge=pair_knowledge(s, d), disease_knowledge=disease_knowledge(s, d))
 
 
+@query(f"""WITH {CASES} SELECT k AS consultation, k || '/' || med AS medicine, own AS proposed, med AS generic, {_S}[sev + 1] AS severity, a AS drug_a, b AS drug_b, (['Minor', 'Moderate', 'Major'])[sev] AS raw_severity, 'DDInter 2.0' AS source, 'v1' AS version,
+'D' || substr(a, 7) AS id_a, 'D' || substr(b, 7) AS id_b, lower(replace(own, '#', ' ')) AS matched_proposed, lower(replace(med, '#', ' ')) AS matched_existing FROM i""")
+def interaction_evidence(s, d):
+    """Whole interaction findings, with the evidence as its source has it."""
+    c = case(s, d)
+    out = safety.pair_findings(c["consultations"], c["medicines"], pair_knowledge(s, d))
+    return out.withColumns({k: F.array_join(k, ",") for k in ("matched_proposed", "matched_existing")})
+
+
+@query(f"""WITH {CASES} SELECT k AS consultation, k AS condition, term AS entered, NULL::VARCHAR AS code, 'CANONICAL_TERM' AS match_type, term AS resolved, identity, p.brand AS proposed, {_A}[sev + 1] AS assessment, 'rel ' || lower({_A}[sev + 1]) AS relationship,
+'rel | ' || term AS evidence, 'DrugCentral' AS source, 'v1' AS version, NULL::VARCHAR AS cui, NULL::VARCHAR AS snomed_shown, term AS shown, p.brand AS generic FROM f JOIN proposed p ON p.l_orderkey = k""")
+def disease_evidence(s, d):
+    """Whole disease findings, with how their condition was resolved."""
+    c = case(s, d)
+    out = safety.illness_findings(c["consultations"], c["conditions"], disease_knowledge(s, d))
+    return out.select("consultation", "condition", "entered", "code", "match_type", "resolved", "identity", "proposed", *safety.DISEASE_DETAILS)
+
+
+@query(f"""WITH {DDI}, {ORDERS}, t AS (SELECT o_orderkey, p.brand FROM orders LEFT JOIN proposed p ON p.l_orderkey = o_orderkey)
+SELECT o_orderkey AS consultation, o_orderkey || '/' || p_brand AS medicine, brand AS proposed, p_brand AS generic, coalesce(lower(replace(brand, '#', ' ')), '') AS proposed_terms, lower(replace(p_brand, '#', ' ')) AS existing_terms FROM t JOIN meds ON l_orderkey = o_orderkey""")
+def evaluated_pairs(s, d):
+    """What an assessment has looked up, found or not."""
+    c = case(s, d)
+    return safety.evaluated_pairs(c["consultations"], c["medicines"]).withColumns({k: F.array_join(k, ",") for k in ("proposed_terms", "existing_terms")})
+
+
 RANKED = f"""{DDI}, {ORDERS}, {DISEASES},
 cap AS (SELECT DISTINCT o_orderpriority AS priority, brand FROM (SELECT DISTINCT o_orderpriority FROM orders) JOIN brands ON (n + substr(o_orderpriority, 1, 1)::INT) % 2 = 0),
-c AS (SELECT o_orderkey, cap.brand, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey JOIN proposed p ON p.l_orderkey = o_orderkey JOIN cap ON priority = o_orderpriority WHERE cap.brand <> p.brand),
-i AS (SELECT c.o_orderkey, c.brand, c.o_orderkey || '/' || m.p_brand AS subject, sev FROM c JOIN meds m ON m.l_orderkey = c.o_orderkey AND m.p_brand <> c.brand JOIN ddi ON a = least(c.brand, m.p_brand) AND b = greatest(c.brand, m.p_brand)),
-f AS (SELECT c.o_orderkey, c.brand, c.o_orderkey::VARCHAR AS subject, sev FROM c JOIN resolved ON term = c_mktsegment JOIN dd ON dd.brand = c.brand AND dd.identity = resolved.identity),
+c AS MATERIALIZED (SELECT o_orderkey, cap.brand, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey JOIN proposed p ON p.l_orderkey = o_orderkey JOIN cap ON priority = o_orderpriority WHERE cap.brand <> p.brand),
+i AS MATERIALIZED (SELECT c.o_orderkey, c.brand, c.o_orderkey || '/' || m.p_brand AS subject, sev FROM c JOIN meds m ON m.l_orderkey = c.o_orderkey AND m.p_brand <> c.brand JOIN ddi ON a = least(c.brand, m.p_brand) AND b = greatest(c.brand, m.p_brand)),
+f AS MATERIALIZED (SELECT c.o_orderkey, c.brand, c.o_orderkey::VARCHAR AS subject, sev FROM c JOIN resolved ON term = c_mktsegment JOIN dd ON dd.brand = c.brand AND dd.identity = resolved.identity),
 i1 AS (SELECT o_orderkey, brand, max(sev) AS s, count(*) AS n FROM i GROUP BY ALL), f1 AS (SELECT o_orderkey, brand, max(sev) AS s, count(*) AS n FROM f GROUP BY ALL),
 r AS (SELECT c.o_orderkey, c.brand, coalesce(i1.s, 0) AS s, coalesce(f1.s, 0) AS a, coalesce(i1.n, 0) AS ni, coalesce(f1.n, 0) AS nf, greatest(coalesce(i1.s, 0), coalesce(f1.s, 0)) AS o FROM c LEFT JOIN i1 USING (o_orderkey, brand) LEFT JOIN f1 USING (o_orderkey, brand)),
-top AS (SELECT *, (row_number() OVER (PARTITION BY o_orderkey ORDER BY (CASE o WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE o END), brand))::INT AS rank FROM r QUALIFY rank <= 3)"""
+top AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY o_orderkey ORDER BY (CASE o WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE o END), brand))::INT AS rank FROM r QUALIFY rank <= 3)"""
 
 
 @query(f"""WITH {RANKED} SELECT o_orderkey AS consultation, brand AS drug, rank, {_A}[o + 1] AS assessment, {_S}[s + 1] AS severity, {_A}[a + 1] AS disease_assessment, ni AS n_interactions, nf AS n_diseases,
@@ -139,56 +166,48 @@ def locale_order(s, d):
     return rows.select("n_nationkey", F.row_number().over(Window.orderBy(*text.by_locale("x"), "n_nationkey")).cast("bigint").alias("place"))
 
 
-def _lines(s, d, header: str, line, key: str):
-    """A text file of a header and a line for each row of part, in the shared folder."""
-    path = files.new_path(s, "source") + "/knowledge_20240131.csv"
-    rows = t(s, d, "part").select(F.lit(1).alias("o"), F.col(key).alias("k"), line.alias("value"))
-    head = s.createDataFrame([(0, -1, header)], "o int, k long, value string")
-    head.union(rows).repartitionByRange(1, "o", "k").sortWithinPartitions("o", "k").select("value").write.text(path)
-    return path
-
-
 _LEVEL = "CASE p_size % 4 WHEN 0 THEN ' major ' WHEN 1 THEN 'Minor' WHEN 2 THEN 'Moderate' ELSE 'Unknown' END"
 
 
 @query(f"""WITH r AS (SELECT p_partkey AS k, p_name AS x, lower(p_type) AS y, upper(trim({_LEVEL})) AS level FROM part), c AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b FROM r WHERE level <> 'UNKNOWN' AND x <> ''),
 one AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY a, b, level ORDER BY k) = 1) SELECT a, b, arg_min(level, k) AS severity FROM one GROUP BY ALL""")
 def csv_etl(s, d):
-    """A CSV file of interactions, read, cleaned, and loaded: of a pair's levels the first one counts."""
+    """A folder of CSV files of interactions, read, cleaned, and loaded: of a pair's levels the first one counts, in the first of the files."""
     line = F.concat_ws(",", F.lit("X1"), F.concat(F.lit('"'), "p_name", F.lit('"')), F.lit("X2"), F.lower("p_type"), F.expr(_LEVEL))
-    raw = files.csv(s, _lines(s, d, "id_a,drug_a,id_b,drug_b,level", line, "p_partkey"), files.INTERACTIONS, "*")
+    path = source_files(s, t(s, d, "part").select(F.col("p_partkey").alias("key"), line.alias("value")), ["id_a,drug_a,id_b,drug_b,level"])
+    raw = files.csv(s, path, files.INTERACTIONS, "*")
     return knowledge.loaded_interactions(knowledge.interactions(raw, "pairs", "v1")).select("a", "b", "severity")
 
 
 @query("""SELECT arg_min(p_name, p_partkey) AS brand, p_name AS normalised_brand, arg_min(p_type || ' + salt', p_partkey) AS generic, lower(p_type) || ' salt' AS normalised_generic FROM part GROUP BY p_name, p_type""")
 def terminology_etl(s, d):
     line = F.concat_ws(",", F.concat("p_name", F.lit(" ")), F.concat(F.lit('"'), "p_type", F.lit(' (x, y)+salt"')))
-    raw = files.csv(s, _lines(s, d, "brand,salt", line, "p_partkey"), "brand string, salt string", "*")
+    path = source_files(s, t(s, d, "part").select(F.col("p_partkey").alias("key"), line.alias("value")), ["brand,salt"])
+    raw = files.csv(s, path, "brand string, salt string", "*")
     return knowledge.terminology(raw, "brand", "salt", "terms", "v1").select("brand", "normalised_brand", "generic", "normalised_generic")
 
 
 @query("""SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_brand END AS brand FROM part""")
 def copy_dump_sections(s, d):
     r"""A dump with two sections, of which one is picked; \N is null."""
-    path = files.new_path(s, "dump")
-    rows = t(s, d, "part").select(F.lit(1).alias("o"), F.col("p_partkey").alias("k"), F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("\\N")).alias("value"))
-    marks = s.createDataFrame([(0, 0, "COPY public.parts (id, name, brand) FROM stdin;"), (2, 0, "\\."), (2, 1, ""), (2, 2, "COPY public.others (id) FROM stdin;"), (2, 3, "7\tx"), (2, 4, "\\.")], "o int, k long, value string")
-    marks.union(rows).repartitionByRange(1, "o", "k").sortWithinPartitions("o", "k").select("value").write.text(path)
+    row = F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("\\N"))
+    after = ["\\.", "", "COPY public.others (id) FROM stdin;", "7\tx", "\\."]
+    path = source_files(s, t(s, d, "part").select(F.col("p_partkey").alias("key"), row.alias("value")), ["COPY public.parts (id, name, brand) FROM stdin;"], after)
     found = files.picked(files.dump_sections(s, path), "parts", {"id": 0, "name": 1, "brand": 2})
     return found.select(F.col("id").cast("bigint").alias("id"), "name", "brand")
 
 
 @query("""SELECT 'terms' AS relation, count(*) AS processed, count(DISTINCT p_name) FILTER (p_name NOT IN (SELECT p_name FROM part WHERE p_size < 5)) AS inserted FROM part WHERE p_size >= 5
-UNION ALL SELECT 'levels', count(*), count(DISTINCT p_brand) FILTER (p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 3)) FROM part WHERE p_size >= 5""")
+UNION ALL SELECT 'levels', count(*), count(*) FROM part WHERE p_size >= 5""")
 def knowledge_load(s, d):
     """Counts of two loads, one that ignores keys it has, one that replaces their rows; the new rows pass through NDJSON."""
     part = t(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     path = files.new_path(s, "terms.ndjson")
     files.write_ndjson(part.where("p_size >= 5"), path)
     new = files.ndjson(s, files.required(s, path), "p_partkey long, p_name string, p_brand string, p_size int")
-    order = [F.col("p_partkey").asc()]
-    _, terms = knowledge.loaded(dedup.first_wins(part.where("p_size < 5"), ["p_name"], order), new, ["p_name"], order, "terms")
-    _, levels = knowledge.loaded(dedup.first_wins(part.where("p_size = 3"), ["p_brand"], order), new, ["p_brand"], order, "levels", replace=True)
+    order, old = [F.col("p_partkey").asc()], part.where("p_size < 5")
+    _, terms = merge.loaded(dedup.first_wins(old, ["p_name"], order), new, ["p_name"], order, "terms")
+    _, levels = merge.loaded(dedup.first_wins(old, ["p_brand"], order), new, ["p_brand"], order, "levels", replace=True)
     return terms.union(levels)
 
 
@@ -198,14 +217,6 @@ def purge_marked(s, d):
     return knowledge.purged(rows, "x", "y").select("p_partkey")
 
 
-@query("SELECT '20240131' AS named, TRUE AS dated, count(*) AS n_lines FROM (SELECT p_partkey FROM part UNION ALL SELECT -1)")
-def file_versions(s, d):
-    """The version in a source's name and its date of change."""
-    path = _lines(s, d, "id", F.col("p_partkey").cast("string"), "p_partkey")
-    known = files.version(s, path + "/part-*").select(F.regexp_extract("path", r"(\d{8})", 1).alias("named"), F.col("changed").isNotNull().alias("dated"))
-    return known.crossJoin(s.read.text(path).agg(F.count("*").alias("n_lines")))  # a row a file, and one row
-
-
 @query("SELECT c_custkey, lower(c_name) AS q, CASE WHEN c_nationkey % 2 = 0 THEN 'DRUGCENTRAL:' || c_nationkey END AS code, c_nationkey % 3 > 0 AS named FROM customer")
 def canonical_input(s, d):
     """Queries without outer and repeated white space of any kind, local codes, and the rule that one of two fields is filled."""
@@ -306,8 +317,8 @@ def audit_log(s, d):
 @query(f"""WITH {DDI}, {ORDERS} SELECT o_orderkey AS consultation, CASE WHEN o_orderkey % 3 = 0 THEN 'e2' ELSE 'e1' END AS engine, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS result FROM orders""")
 def snapshots(s, d):
     """Results kept by consultation, engine and hash of their input; a newer engine's are shown first."""
-    c = case(s, d)
-    hashes = ranking.input_hash(c["consultations"], c["medicines"])
+    hashes = ranking.input_hash(**case(s, d), pair_knowledge=pair_knowledge(s, d), disease_knowledge=disease_knowledge(s, d))
+    hashes, _ = files.written(hashes, "hashes")
     old = hashes.select("consultation", F.lit("e1").alias("engine"), "input_hash", F.lit("old").alias("result"), F.lit(1).alias("stored_at"))
     new = hashes.where("consultation % 3 = 0").select("consultation", F.lit("e2").alias("engine"), "input_hash", F.lit("new").alias("result"), F.lit(2).alias("stored_at"))
     kept = details.stored(old, new)

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidara.operators.containment import containing
 from evidara.operators.dedup import first_wins
+from evidara.sources.files import written
 
 
 def union_equi_join(left: DataFrame, right: DataFrame, arms: list[tuple[str, str]], left_id: str, right_id: str) -> DataFrame:
@@ -20,39 +22,38 @@ def union_equi_join(left: DataFrame, right: DataFrame, arms: list[tuple[str, str
     return found.distinct().join(left, left_id).join(right, right_id)
 
 
-def pairs_evidence(proposed: DataFrame, existing: DataFrame, evidence: DataFrame, owner: str, order: list[Column], self_pairs: bool = False) -> DataFrame:
-    """For each row of existing (owner, existing_id, terms) the best evidence row with the owner's proposed terms.
-
-    proposed: (owner, proposed_terms). evidence: (a, b, ...) with a < b, looked up by canonical pair. An owner's two
-    small lists meet in that owner's rows only.
-    """
-    met = existing.join(proposed, owner).select(owner, "existing_id", F.explode("terms").alias("x"), "proposed_terms")
-    met = met.select(owner, "existing_id", "x", F.explode("proposed_terms").alias("y"))
-    met = met if self_pairs else met.where("x <> y")
-    met = met.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")})
-    return first_wins(met.join(evidence, ["a", "b"]), [owner, "existing_id"], order)
-
-
 def tiered_lookup(rows: DataFrame, terms: DataFrame, row_id: str, exact: list[tuple[str, str]], part_of: list[tuple[str, str]], order: list[Column]) -> DataFrame:
     """Each row with its best term: by equality on any of exact; only rows without one by containment on part_of; else none.
 
-    order decides among terms. Every different text is looked up once, however many rows ask it, and each equality
-    has one best term for a key, so no arm gives more rows than there are texts. Containment has no key: the
-    texts left over meet the terms, of which Spark sends the smaller side.
+    order decides among terms and is total. Every different text is looked up once, however many rows ask it, and each equality
+    has one best term for a key, so no arm gives more rows than there are texts. Containment goes through an index of
+    character grams: no arm is without an equality.
     """
     asks = list(dict.fromkeys(a for a, _ in [*exact, *part_of]))
-    asked = rows.select(*asks).distinct().withColumn("_ask", F.to_json(F.struct(*asks), {"ignoreNullFields": "false"}))
-    arms = [asked.select("_ask", F.col(a).alias("_key")).join(first_wins(terms.withColumn("_key", F.col(b)), ["_key"], order), "_key").drop("_key") for a, b in exact]
-    tier1 = first_wins(reduce(DataFrame.union, arms), ["_ask"], order).withColumn("tier", F.lit(1))
-    rest = asked.join(tier1.select("_ask"), "_ask", "left_anti")
-    held = reduce(lambda x, y: x | y, [(F.col(a) != "") & F.col(b).contains(F.col(a)) for a, b in part_of])
-    tier2 = first_wins(rest.join(terms, held).drop(*asks), ["_ask"], order).withColumn("tier", F.lit(2))
-    found = tier1.unionByName(tier2)
-    return rows.withColumn("_ask", F.to_json(F.struct(*asks), {"ignoreNullFields": "false"})).join(found, "_ask", "left").drop("_ask")
+    asked = rows.select(*asks).distinct().withColumn("_asked", F.to_json(F.struct(*asks), {"ignoreNullFields": "false"}))
+    arms = [asked.select("_asked", F.col(a).alias("_key")).join(first_wins(terms.withColumn("_key", F.col(b)), ["_key"], order), "_key").drop("_key") for a, b in exact]
+    tier1 = first_wins(reduce(DataFrame.union, arms), ["_asked"], order).withColumn("tier", F.lit(1))
+    rest, _ = written(asked.join(tier1.select("_asked"), "_asked", "left_anti"), "asked")
+    inside = []
+    for a in dict.fromkeys(a for a, _ in part_of):
+        texts = rest.select(F.col(a).alias("_ask")).where("_ask <> ''").distinct()
+        held = containing(texts, terms, [b for x, b in part_of if x == a], order, 1, terms.columns)
+        inside.append(rest.select("_asked", F.col(a).alias("_ask")).join(held, "_ask").drop("_ask"))
+    found = tier1
+    if inside:
+        found = tier1.unionByName(first_wins(reduce(DataFrame.unionByName, inside), ["_asked"], order).withColumn("tier", F.lit(2)))
+    return rows.withColumn("_asked", F.to_json(F.struct(*asks), {"ignoreNullFields": "false"})).join(found, "_asked", "left").drop("_asked")
+
+
+#: Rows of the shorter side of a product.
+MOST_PAIRED = 10_000
 
 
 def paired(left: DataFrame, right: DataFrame, on) -> DataFrame:
-    """Every pair of rows that `on` allows, where no equality helps. For short reference lists only: the sides are multiplied."""
+    """Every pair of rows that `on` allows, where no equality helps: right is a short reference list, which is counted and sent."""
+    if right.limit(MOST_PAIRED + 1).count() > MOST_PAIRED:
+        raise ValueError(f"the right side of a product has more than {MOST_PAIRED} rows")
+    right = F.broadcast(right)
     return left.crossJoin(right).where(on) if on is not None else left.crossJoin(right)
 
 

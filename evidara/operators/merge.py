@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evidara.operators.dedup import first_wins
+from evidara.sources.files import written
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -33,22 +34,35 @@ def soft_delete(df: DataFrame, gone: Column, at: Column, deleted: str = "deleted
     return df.withColumns({deleted: F.when(now, at).otherwise(F.col(deleted)), version: F.col(version) + now.cast("int")})
 
 
-def versioned(old: DataFrame, changes: DataFrame, key: str, version: str = "version", expected: str = "expected") -> tuple[DataFrame, DataFrame]:
-    """(accepted, conflicting) changes: a change that expects a version is accepted if the old row has it."""
-    met = changes.join(old.select(key, version), key)
-    ok = F.col(expected).isNull() | (F.col(expected) == F.col(version))
-    return met.where(ok), met.where(~ok)
-
-
 def without(df: DataFrame, gone: Column) -> DataFrame:
     """df without the rows that are gone; a condition that is null keeps its row."""
     return df.where(~F.coalesce(gone, F.lit(False)))
 
 
-def load_counts(old: DataFrame, new: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """One row (relation, processed, inserted): rows that came, and keys among them that old hadn't."""
-    fresh = new.select(*keys).distinct().join(old.select(*keys).distinct(), keys, "left_anti").agg(F.count("*").alias("inserted"))
-    return new.agg(F.count("*").alias("processed")).crossJoin(fresh).select(F.lit(name).alias("relation"), "processed", "inserted")  # two single rows
+def observed(seen: Observation) -> int:
+    """The one number of an observation; 0 where the plan has left its rows out, as it could tell that there are none."""
+    row = seen._jo.getRow()
+    return row.getLong(0) if row.length() else 0
+
+
+def loaded(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column], name: str, replace: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the relation after a load, written to the shared folder; its counts): rows of keys that old has are ignored, or replaced.
+
+    Counts are a row (relation, processed, inserted) that the writing job observes, without another look at old or new:
+    processed are the rows that came; inserted those of them that were put in, which an upsert does with every row.
+    """
+    spark = new.sparkSession
+    came, put = Observation(), Observation()
+    new = new.observe(came, F.count(F.lit(1)).alias("n"))
+    if replace:
+        after = upsert(old, new, keys, order)
+    else:
+        fresh = first_wins(new, keys, order).join(old.select(keys).distinct(), keys, "left_anti").select(old.columns)
+        after = old.unionByName(fresh.observe(put, F.count(F.lit(1)).alias("n")))
+    after, _ = written(after, name)
+    processed = observed(came)
+    counts = spark.createDataFrame([(name, processed, processed if replace else observed(put))], "relation string, processed long, inserted long")
+    return after, counts
 
 
 def edited(items: Column, remove: Column, add: Column) -> Column:

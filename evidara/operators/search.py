@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions.text import by_locale
-from evidara.operators.dedup import first_wins
+from evidara.operators.containment import containing
+from evidara.operators.dedup import first_wins, top_k
+from evidara.sources.files import written
 
 CANDIDATES, DEFAULT, MOST = 400, 30, 50
 
@@ -77,3 +79,36 @@ def conditions(known: DataFrame, query: str, limit: int | None = None) -> DataFr
     fields = ["disease", "concept", "snomed"]
     key = F.coalesce(F.nullif("identity", F.lit("")), "disease")
     return one_each(prefix_first(known, fields, query, ["id"], CANDIDATES), fields, query, ["id"], key, clamped(limit))
+
+
+#: The longest query that is accepted; lengths of queries are prefixes' lengths in the index.
+MOST_CHARS = 120
+
+
+def many(queries: DataFrame, rows: DataFrame, fields: list[str], tie: list[str], limit: int, fall_back: bool = True) -> DataFrame:
+    """prefix_first for each of queries (query, ...) in one plan: its columns beside those of rows and rank, from 1.
+
+    Each different query is answered once. Rows are keyed by those prefixes of their fields that are as long as some query, and
+    of a prefix the first CANDIDATES rows are kept before queries join it; queries without any go to the index of
+    grams. An empty query has the first rows; a null one none. tie names rows.
+    """
+    asked = queries.select(F.col("query").alias("_ask")).where("_ask is not null").distinct()
+    # A number for each length that occurs.
+    lengths = sorted(r[0] for r in asked.select(F.length("_ask")).distinct().collect())
+    if lengths and lengths[-1] > MOST_CHARS:
+        raise ValueError(f"a query has more than {MOST_CHARS} characters")
+    order = [F.concat_ws(" ", *fields).asc(), *[F.col(t).asc() for t in tie]]
+    found = []
+    for f in fields:
+        keys = F.array(*[F.when(F.length(f) >= n, F.substring(f, 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
+        found.append(top_k(rows.select("*", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("_ask")), ["_ask"], order, CANDIDATES))
+    index = reduce(DataFrame.unionByName, found)
+    index = top_k(index.dropDuplicates(["_ask", *tie]), ["_ask"], order, CANDIDATES) if len(fields) > 1 else index
+    begins, _ = written(asked.join(index, "_ask"), "begins")
+    both = begins
+    if fall_back:
+        rest, _ = written(asked.where("_ask <> ''").join(begins.select("_ask").distinct(), "_ask", "left_anti"), "rest")
+        both = begins.unionByName(containing(rest, rows, fields, order, CANDIDATES, tie))
+    # All rows of a query begin with it, or none does: the order is that of their text.
+    best = top_k(both, ["_ask"], [*by_locale(F.concat_ws(" ", *fields)), *[F.col(t).asc() for t in tie]], limit, "rank")
+    return queries.join(best.withColumnRenamed("_ask", "query"), "query")

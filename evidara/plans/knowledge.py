@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidara.functions import ordinal, text
 from evidara.operators.dedup import first_wins
-from evidara.operators.merge import insert_ignore, load_counts, upsert, without
+from evidara.operators.merge import loaded, without
+from evidara.sources import files
 from evidara.sources.files import picked
 
 
@@ -23,16 +24,10 @@ def interactions(raw: DataFrame, source: str, version: str) -> DataFrame:
     return rows.select("drug_a", "drug_b", "a", "b", F.col("level").alias("severity"), F.lit(source).alias("source"), F.lit(version).alias("version"), "file", "line")
 
 
-def loaded(old: DataFrame, new: DataFrame, keys: list[str], order: list, name: str, replace: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(the relation after a load, its counts): rows of keys that are there already are ignored, or replaced."""
-    after = upsert(old, new, keys, order) if replace else insert_ignore(old, new, keys, order)
-    return after, load_counts(old, new, keys, name)
-
-
-def purged(rows: DataFrame, *columns: str) -> DataFrame:
-    """Rows without the dump's mark of null in any of the columns."""
-    marked = reduce(lambda x, y: x | y, [F.col(c) == "\\N" for c in columns])
-    return without(rows, marked)
+def purged(rows: DataFrame, *columns: str, source: str | None = None) -> DataFrame:
+    """Rows without the dump's mark of null in any of the columns; of one source only, if it is named: others' rows stay as they are."""
+    marked = reduce(lambda x, y: x | y, [F.coalesce(F.col(c) == "\\N", F.lit(False)) for c in columns])
+    return without(rows, marked if source is None else marked & (F.col("source") == source))
 
 
 def loaded_interactions(clean: DataFrame) -> DataFrame:
@@ -68,3 +63,32 @@ def indications(rows: DataFrame, strict: bool = False) -> DataFrame:
     """Indications; without strict, contraindications are among them, as their wording contains the other."""
     out = rows.where(ordinal.is_indication("relationship", strict))
     return out.select(text.term("disease").alias("indication"), F.col("generic").alias("drug"), F.col("drug").alias("normalised"), "relationship", "evidence", "version")
+
+
+#: The relations of knowledge: the NDJSON file that each is loaded from, its columns, its key, and whether a load replaces rows.
+RELATIONS = {
+    "terminology": ("terminology.ndjson", "brand string, normalised_brand string, generic string, normalised_generic string, source string, version string", ["brand", "generic"], False),
+    "interactions": ("interactions.ndjson", "drug_a string, drug_b string, a string, b string, severity string, source string, version string", ["a", "b", "source", "version"], False),
+    "diseases": ("drug-disease.ndjson", "generic string, drug string, identity string, disease string, concept string, snomed string, cui string, relationship string, assessment string, evidence string, source string, version string", ["drug", "disease", "relationship", "source", "version"], True),
+    "indications": ("drug-indications.ndjson", "indication string, drug string, normalised string, relationship string, evidence string, source string, version string", ["normalised", "indication", "source", "version"], False),
+}
+#: Relations whose files a load can't do without.
+NEEDED = ("terminology", "interactions")
+
+
+def import_all(spark: SparkSession, folder: str, old: dict[str, DataFrame], source: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the four relations after a load of a folder of NDJSON files, rows (relation, processed, inserted)).
+
+    Files of NEEDED must be there, others may be missing and load nothing. Rows of diseases of `source` that still have the dump's mark
+    of null are purged before the load. Of rows of one key the first in the order of all columns counts.
+    """
+    for name in NEEDED:
+        files.required(spark, f"{folder}/{RELATIONS[name][0]}")
+    after, counts = {}, []
+    for name, (file, schema, keys, replace) in RELATIONS.items():
+        before = purged(old[name], "disease", "cui", "snomed", source=source) if name == "diseases" else old[name]
+        new = files.optional(spark, f"{folder}/{file}", schema)
+        order = [F.col(c).asc_nulls_last() for c in new.columns]
+        after[name], n = loaded(before, new, keys, order, name, replace)
+        counts.append(n)
+    return after, reduce(DataFrame.union, counts)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from evidara.functions import ordinal, text
 from evidara.functions.hashing import stable_hash
 from evidara.operators.dedup import first_wins, top_k
-from evidara.plans.safety import interactions, resolutions, rolled_up
+from evidara.plans.safety import DISEASES_SOURCE, active_of, drug_findings, illness_findings, of_source, pair_evidence, pair_findings, resolutions, rolled_up
+from evidara.sources.files import written
 
 CANDIDATES, RANKED = 25, 3
 
@@ -31,34 +32,48 @@ class Config:
     reasons: tuple[str, ...] = REASONS
 
 
-def candidates(consultations: DataFrame, indications: DataFrame, most: int = CANDIDATES) -> DataFrame:
+def candidates(consultations: DataFrame, indications: DataFrame, most: int = CANDIDATES, source: str | None = DISEASES_SOURCE) -> DataFrame:
     """Rows (consultation, drug) and what else indications says of the drug: the first drugs by name for the indication, without the proposed one.
 
-    consultations: consultation, proposed, indication. indications: indication (normalised), drug, normalised. The
+    consultations: consultation, proposed, indication. indications: indication (normalised), drug, normalised, source. The
     cut comes before any ranking, and the proposed drug leaves after the cut.
     """
+    return candidate_rows(consultations, indications, most, source).drop("normalised")
+
+
+def candidate_rows(consultations: DataFrame, indications: DataFrame, most: int, source: str | None = DISEASES_SOURCE) -> DataFrame:
     asked = consultations.select("consultation", text.term("indication").alias("indication"), text.term("proposed").alias("current"))
     more = [c for c in indications.columns if c not in ("indication", "drug", "normalised")]
-    drugs = first_wins(indications, ["indication", "normalised"], [F.col("drug").asc()])
+    drugs = first_wins(of_source(indications, source), ["indication", "normalised"], [F.col("drug").asc()])
     # The cut is the same for all consultations of an indication: it is made once for each.
     first = top_k(drugs, ["indication"], [F.col("drug").asc(), F.col("normalised").asc()], most)
-    return asked.join(first, "indication").where("normalised <> current").select("consultation", "drug", *more)
+    return asked.join(first, "indication").where("normalised <> current").select("consultation", "drug", "normalised", *more)
+
+
+CASE = ("consultation", "drug")
 
 
 def evaluated(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, indications: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame, most: int = CANDIDATES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(candidates, their interactions, their disease findings, their roll-up); a case is a consultation and a drug."""
-    found = candidates(consultations, indications, most).withColumn("case", F.struct("consultation", "drug"))
-    cases = found.select(F.col("case").alias("consultation"), F.col("drug").alias("proposed"))
-    meds = medicines.join(found.select("consultation", "case"), "consultation").drop("consultation").withColumnRenamed("case", "consultation")
+    """(candidates, their interactions, their disease findings, their roll-up); a case is a consultation and a drug.
+
+    Evidence is looked up once for each two names, before consultations meet it: what a candidate and a medicine
+    cost is a row of numbers and names. Candidates, read three times, are written to the shared folder.
+    """
+    found, _ = written(candidate_rows(consultations, indications, most), "candidates")
+    active = active_of(medicines)
+    # All drugs that an indication has, before any consultation asks.
+    best = pair_evidence(indications.select(F.col("drug").alias("proposed")), active, pair_knowledge)
+    met = found.select(*CASE).join(active, "consultation").join(best.withColumnRenamed("proposed", "drug"), ["drug", "generic"]).select(*CASE, "medicine", "severity")
     # Conditions are resolved once for a consultation, whatever its number of candidates.
-    ill = disease_findings_of(cases, found, conditions, disease_knowledge)
-    met = interactions(cases, meds, pair_knowledge)
-    return found, met, ill, rolled_up(cases, met, ill)
+    resolved = resolutions(conditions, disease_knowledge).where("resolution = 'RESOLVED'").join(conditions.select("condition", "consultation"), "condition")
+    asked = found.select("consultation", F.col("drug").alias("name"), F.col("normalised").alias("drug"))
+    ill = drug_findings(asked, resolved.select("consultation", "condition", "identity", "match_type"), disease_knowledge).withColumnRenamed("name", "drug").select(*CASE, "condition", "identity", "assessment")
+    return found, met, ill, rolled_up(found, met, ill, CASE)
 
 
 def best(rolled: DataFrame, k: int) -> DataFrame:
     """LOW before NOT_EVALUATED, MODERATE and HIGH, then by name in the order of a dictionary."""
-    out = rolled.select("consultation.consultation", "consultation.drug", F.col("overall").alias("assessment"), *[c for c in rolled.columns if c not in ("consultation", "overall", "assessment")], F.col("assessment").alias("disease_assessment"))
+    out = rolled.withColumnsRenamed({"assessment": "disease_assessment", "overall": "assessment"})
     return top_k(out, ["consultation"], [ordinal.rank("assessment", ordinal.RANKING).asc(), *text.by_locale("drug")], k, "rank")
 
 
@@ -72,28 +87,40 @@ def explained(consultations: DataFrame, medicines: DataFrame, conditions: DataFr
     """ranked with what each alternative rests on: levels, numbers of findings, data status, its indication's relationship and evidence, reasons."""
     found, _, _, rolled = evaluated(consultations, medicines, conditions, indications, pair_knowledge, disease_knowledge, config.candidates)
     top = best(rolled, config.ranked)
-    return top.join(found.drop("case"), ["consultation", "drug"]).withColumn("reasons", F.array(*[F.lit(r) for r in config.reasons]))
+    return top.join(found.drop("normalised"), list(CASE)).withColumn("reasons", F.array(*[F.lit(r) for r in config.reasons]))
 
 
 def findings(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, indications: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame, config: Config = Config()) -> DataFrame:
-    """Rows (consultation, drug, rank, kind, subject, level): the findings of the alternatives that are ranked."""
+    """Rows (consultation, drug, kind, subject, level, rank): the findings of the alternatives that are ranked."""
     _, met, ill, rolled = evaluated(consultations, medicines, conditions, indications, pair_knowledge, disease_knowledge, config.candidates)
-    rows = met.select("consultation", F.lit("interaction").alias("kind"), F.col("medicine").cast("string").alias("subject"), F.col("severity").alias("level"))
-    rows = rows.union(ill.select("consultation", F.lit("disease"), F.col("condition").cast("string"), "assessment"))
-    rows = rows.select("consultation.consultation", "consultation.drug", "kind", "subject", "level")
-    return rows.join(best(rolled, config.ranked).select("consultation", "drug", "rank"), ["consultation", "drug"])
+    rows = met.select(*CASE, F.lit("interaction").alias("kind"), F.col("medicine").cast("string").alias("subject"), F.col("severity").alias("level"))
+    rows = rows.union(ill.select(*CASE, F.lit("disease"), F.col("condition").cast("string"), "assessment"))
+    return rows.join(best(rolled, config.ranked).select(*CASE, "rank"), list(CASE))
 
 
-def disease_findings_of(cases: DataFrame, found: DataFrame, conditions: DataFrame, knowledge: DataFrame) -> DataFrame:
-    resolved = resolutions(conditions, knowledge).where("resolution = 'RESOLVED'").join(conditions.select("condition", "consultation"), "condition")
-    asked = found.select("consultation", "case", text.term("drug").alias("drug")).join(resolved, "consultation")
-    return asked.join(knowledge.select("drug", "identity", "assessment"), ["drug", "identity"]).select(F.col("case").alias("consultation"), "condition", "identity", "assessment")
+#: What results are stored under: another engine's results have other hashes.
+ENGINE = "evidence-1"
 
 
-def input_hash(cases: DataFrame, medicines: DataFrame) -> DataFrame:
-    """A hash of what a ranking depends on: proposal, indication and the sorted active medicines."""
+def input_hash(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame, engine: str = ENGINE) -> DataFrame:
+    """Rows (consultation, input_hash): a hash of all that a ranking depends on.
 
-
-    held = medicines.where("status = 'ACTIVE'").groupBy("consultation").agg(F.array_sort(F.collect_list("generic")).alias("medicines"))
-    joined = cases.join(held, "consultation", "left").withColumn("medicines", F.coalesce("medicines", F.array().cast("array<string>")))
-    return joined.select("consultation", stable_hash("proposed", "indication", "medicines").alias("input_hash"))
+    That is the consultation, its proposal and indication, the sorted active medicines and conditions, the engine, all
+    findings of the assessment as their sources have them, and the levels they make. Nothing else of a record
+    counts, allergies among it. A record's own lists are collected; input bounds them.
+    """
+    own = consultations.select("consultation", "proposed", "indication")
+    met, ill = pair_findings(own, medicines, pair_knowledge), illness_findings(own, conditions, disease_knowledge)
+    met, _ = written(met, "interactions")
+    ill, _ = written(ill, "diseases")
+    sorted_list = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    lists = {
+        "medicines": active_of(medicines).groupBy("consultation").agg(F.array_sort(F.collect_list("generic")).alias("medicines")),
+        "conditions": conditions.groupBy("consultation").agg(F.array_sort(F.collect_list("display")).alias("conditions")),
+        "interactions": met.groupBy("consultation").agg(sorted_list("generic", "medicine", "severity", "drug_a", "drug_b", "raw_severity", "source", "version").alias("interactions")),
+        "diseases": ill.groupBy("consultation").agg(sorted_list("entered", "condition", "match_type", "identity", "assessment", "relationship", "evidence", "source", "version").alias("diseases")),
+    }
+    out = own.join(rolled_up(own, met, ill).select("consultation", "severity", "assessment", "overall"), "consultation")
+    for name, held in lists.items():
+        out = out.join(held, "consultation", "left").withColumn(name, F.coalesce(name, F.array().cast(held.schema[name].dataType)))
+    return out.select("consultation", stable_hash("consultation", "indication", "proposed", "medicines", "conditions", F.lit(engine).alias("engine"), "severity", "interactions", "assessment", "diseases", "overall").alias("input_hash"))

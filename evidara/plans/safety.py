@@ -6,69 +6,110 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions import ordinal, text
-from evidara.operators.dedup import latest
-from evidara.operators.joins import pairs_evidence, union_equi_join
+from evidara.operators.dedup import first_wins
+from evidara.operators.joins import union_equi_join
+from evidara.sources.files import written
 
 
-def interactions(consultations: DataFrame, medicines: DataFrame, knowledge: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+# The sources of knowledge that assessments are made of.
+PAIRS_SOURCE, DISEASES_SOURCE = "DDInter 2.0", "DrugCentral"
+
+
+def of_source(knowledge: DataFrame, source: str | None) -> DataFrame:
+    """The rows of one source, or all of them if none is named."""
+    return knowledge if source is None else knowledge.where(F.col("source") == source)
+
+
+def pair_evidence(proposals: DataFrame, generics: DataFrame, knowledge: DataFrame, more: tuple[str, ...] = (), source: str | None = PAIRS_SOURCE) -> DataFrame:
+    """Rows (proposed, generic, a, b, severity) and more columns of knowledge: the best evidence for each two names that have some.
+
+    proposals: proposed; generics: generic; both are names as entered, which may repeat. Combinations are taken ingredient by
+    ingredient; of evidence the highest severity wins, then the newest. Names meet through the knowledge of
+    their terms, so there are at most as many rows as it has for them, however many records have the names.
+    """
+    p = proposals.select("proposed").distinct().select("proposed", F.explode(text.ingredient_terms("proposed")).alias("x"))
+    g = generics.select("generic").distinct().select("generic", F.explode(text.ingredient_terms("generic")).alias("y"))
+    known = of_source(knowledge, source).where("a <> b").select("a", "b", "severity", "imported_at", "id", *more)
+    ways = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("way")
+    met = p.join(known.select("*", ways).select("*", "way.x", "way.y").drop("way"), "x").join(g, "y")
+    order = [ordinal.rank("severity", ordinal.SEVERITY).desc(), F.col("imported_at").desc_nulls_last(), F.col("id").asc()]
+    return first_wins(met, ["proposed", "generic"], order).select("proposed", "generic", "a", "b", "severity", *more)
+
+
+def active_of(medicines: DataFrame) -> DataFrame:
+    return medicines.where("status = 'ACTIVE'").select("consultation", "medicine", "generic")
+
+
+def interactions(consultations: DataFrame, medicines: DataFrame, knowledge: DataFrame, more: tuple[str, ...] = (), source: str | None = PAIRS_SOURCE) -> DataFrame:
     """The best evidence for each active medicine: rows (consultation, medicine, a, b, severity) and more columns of knowledge.
 
     consultations: consultation, proposed. medicines: consultation, medicine, generic, status. knowledge: a, b (normalised,
-    a < b), severity, imported_at, id. Combinations are taken ingredient by ingredient; of evidence the
-    highest severity wins, then the newest. A medicine that is entered twice has two findings.
+    a < b), severity, imported_at, id, source. A medicine that is entered twice has two findings.
     """
-    active = medicines.where("status = 'ACTIVE'").select("consultation", F.col("medicine").alias("existing_id"), text.ingredient_terms("generic").alias("terms"))
-    proposed = consultations.select("consultation", text.ingredient_terms("proposed").alias("proposed_terms"))
-    order = [ordinal.rank("severity", ordinal.SEVERITY).desc(), F.col("imported_at").desc_nulls_last(), F.col("id").asc()]
-    found = pairs_evidence(proposed, active, knowledge.select("a", "b", "severity", "imported_at", "id", *more), "consultation", order)
-    return found.select("consultation", F.col("existing_id").alias("medicine"), "a", "b", "severity", *more)
+    active = active_of(medicines)
+    best = pair_evidence(consultations, active, knowledge, more, source)
+    met = consultations.select("consultation", "proposed").join(active, "consultation").join(best, ["proposed", "generic"])
+    return met.select("consultation", "medicine", "a", "b", "severity", *more)
+
 
+# How a condition matched its knowledge, by the first that holds.
+MATCHES = ("UMLS_IDENTIFIER", "DRUGCENTRAL_IDENTIFIER", "CANONICAL_TERM", "SNOMED_SOURCE_ALIAS", "CONCEPT_SOURCE_ALIAS")
 
-def resolutions(conditions: DataFrame, knowledge: DataFrame) -> DataFrame:
+
+def resolutions(conditions: DataFrame, knowledge: DataFrame, source: str | None = DISEASES_SOURCE) -> DataFrame:
     """Each active condition with identity, resolution, match_type and the id of the knowledge that says so.
 
-    conditions: condition, display, code. knowledge: id, identity, disease, concept, snomed (normalised), cui, imported_at. A condition
-    is RESOLVED if exactly one identity matches by name, alias or code, AMBIGUOUS with more,
-    UNRESOLVED with none; the match is named by the identity's newest row.
+    conditions: condition, display, code. knowledge: id, identity, disease, concept, snomed (normalised), cui, imported_at, source. A condition
+    is RESOLVED if exactly one identity matches by name, alias or code, AMBIGUOUS with more, UNRESOLVED with none; rows
+    of knowledge without an identity say nothing. The match is named by the newest row of the identity.
     """
     texts = {"entered": text.term("display"), "code_cui": text.concept_code("code"), "code_identity": text.local_code("code")}
     asked = conditions.select("condition", F.to_json(F.struct(*[v.alias(k) for k, v in texts.items()])).alias("ask"), *[v.alias(k) for k, v in texts.items()])
     # Each different text is resolved once, however many records have it.
     distinct = asked.drop("condition").distinct()
-    known = knowledge.select("id", "identity", "disease", "concept", "snomed", "cui", "imported_at")
+    known = of_source(knowledge, source).where(text.first_filled("identity").isNotNull()).select("id", "identity", "disease", "concept", "snomed", "cui", "imported_at")
     met = union_equi_join(distinct, known, [("entered", "disease"), ("entered", "concept"), ("entered", "snomed"), ("code_cui", "cui"), ("code_identity", "identity")], "ask", "id")
-    gate = met.groupBy("ask").agg(F.count_distinct(F.nullif("identity", F.lit(""))).alias("n_identities"))
-    newest = latest(met, ["ask"], "imported_at", "id")
-    match = (
-        F.when(F.col("code_cui") == F.col("cui"), "UMLS_IDENTIFIER").when(F.col("code_identity") == F.col("identity"), "LOCAL_IDENTIFIER")
-        .when(F.col("disease") == F.col("entered"), "CANONICAL_TERM").when(F.col("snomed") == F.col("entered"), "SNOMED_SOURCE_ALIAS").otherwise("CONCEPT_SOURCE_ALIAS")
-    )
-    one = newest.join(gate, "ask").select("ask", "n_identities", "identity", match.alias("match_type"), F.col("id").alias("knowledge_id"))
-    n = F.coalesce("n_identities", F.lit(0))
+    tests = (F.col("code_cui") == F.col("cui"), F.col("code_identity") == F.col("identity"), F.col("disease") == F.col("entered"), F.col("snomed") == F.col("entered"))
+    match = F.coalesce(*[F.when(t, name) for t, name in zip(tests, MATCHES, strict=False)], F.lit(MATCHES[-1]))
+    # One aggregate: the identities' number, and of their rows the newest, the one of the largest id among equals.
+    newest = F.max(F.struct("imported_at", "id", "identity", match.alias("match_type"))).alias("newest")
+    one = met.groupBy("ask").agg(F.count_distinct("identity").alias("n"), newest).where("n > 0")
     out = asked.select("condition", "ask").join(one, "ask", "left")
+    n = F.coalesce("n", F.lit(0))
     status = F.when(n == 1, "RESOLVED").when(n == 0, "UNRESOLVED").otherwise("AMBIGUOUS")
-    return out.select("condition", status.alias("resolution"), F.when(n == 1, F.col("identity")).alias("identity"), *[F.when(n == 1, F.col(c)).alias(c) for c in ("match_type", "knowledge_id")])
+    held = {"identity": "newest.identity", "match_type": "newest.match_type", "knowledge_id": "newest.id"}
+    return out.select("condition", status.alias("resolution"), *[F.when(n == 1, F.col(v)).alias(k) for k, v in held.items()])
+
 
+DISEASE_DETAILS = ("assessment", "relationship", "evidence", "source", "version", "cui", "snomed_shown", "shown", "generic")
 
-def disease_findings(consultations: DataFrame, conditions: DataFrame, knowledge: DataFrame) -> DataFrame:
-    """Rows (consultation, condition, identity, assessment): knowledge of the proposed drug on each resolved condition.
+
+def disease_findings(consultations: DataFrame, conditions: DataFrame, knowledge: DataFrame, more: tuple[str, ...] = (), source: str | None = DISEASES_SOURCE) -> DataFrame:
+    """Rows (consultation, condition, identity, match_type, assessment) and more columns of knowledge: what is known of the proposed drug on each resolved condition.
 
     conditions: condition, consultation, display, code. The whole proposed name is normalised; it is
     neither split nor replaced by synonyms here.
     """
-    resolved = resolutions(conditions, knowledge).where("resolution = 'RESOLVED'").join(conditions.select("condition", "consultation"), "condition")
-    asked = consultations.select("consultation", text.term("proposed").alias("drug")).join(resolved, "consultation")
-    return asked.join(knowledge.select("drug", "identity", "assessment"), ["drug", "identity"]).select("consultation", "condition", "identity", "assessment")
+    resolved = resolutions(conditions, knowledge, source).where("resolution = 'RESOLVED'").join(conditions.select("condition", "consultation"), "condition")
+    return drug_findings(consultations.select("consultation", text.term("proposed").alias("drug")), resolved, knowledge, more, source)
+
 
+def drug_findings(drugs: DataFrame, resolved: DataFrame, knowledge: DataFrame, more: tuple[str, ...] = (), source: str | None = DISEASES_SOURCE) -> DataFrame:
+    """What is known of each of drugs (consultation, drug: normalised, ...) on the resolved conditions of its consultation."""
+    known = of_source(knowledge, source).select("drug", "identity", "assessment", *[c for c in more if c != "assessment"])
+    kept = [c for c in drugs.columns if c not in ("consultation", "drug")]
+    return drugs.join(resolved, "consultation").join(known, ["drug", "identity"]).select("consultation", *kept, "condition", "identity", "match_type", "assessment", *[c for c in more if c != "assessment"])
 
-def rolled_up(consultations: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
-    """One row a consultation: severity, assessment, overall, numbers of findings and data status."""
-    s = met.groupBy("consultation").agg(ordinal.highest("severity", ordinal.SEVERITY).alias("s"), F.count("*").alias("n_s"))
-    a = found.groupBy("consultation").agg(ordinal.highest("assessment", ordinal.ASSESSMENT).alias("a"), F.count("*").alias("n_a"))
-    out = consultations.select("consultation").join(s, "consultation", "left").join(a, "consultation", "left")
+
+def rolled_up(consultations: DataFrame, met: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("consultation",)) -> DataFrame:
+    """One row for each of keys: severity, assessment, overall, numbers of findings and data status."""
+    keys = list(keys)
+    s = met.groupBy(*keys).agg(ordinal.highest("severity", ordinal.SEVERITY).alias("s"), F.count("*").alias("n_s"))
+    a = found.groupBy(*keys).agg(ordinal.highest("assessment", ordinal.ASSESSMENT).alias("a"), F.count("*").alias("n_a"))
+    out = consultations.select(*keys).join(s, keys, "left").join(a, keys, "left")
     out = out.withColumns({"s": F.coalesce("s", F.lit("NOT_EVALUATED")), "a": F.coalesce("a", F.lit("NOT_EVALUATED")), "n_s": F.coalesce("n_s", F.lit(0)), "n_a": F.coalesce("n_a", F.lit(0))})
     matched = F.when(F.col("n_s") + F.col("n_a") > 0, "DATASET_MATCHED").otherwise("NO_DATASET_MATCH")
-    return out.select("consultation", F.col("s").alias("severity"), F.col("a").alias("assessment"), ordinal.overall("s", "a").alias("overall"), F.col("n_s").alias("n_interactions"), F.col("n_a").alias("n_diseases"), matched.alias("data_status"))
+    return out.select(*keys, F.col("s").alias("severity"), F.col("a").alias("assessment"), ordinal.overall("s", "a").alias("overall"), F.col("n_s").alias("n_interactions"), F.col("n_a").alias("n_diseases"), matched.alias("data_status"))
 
 
 def assess(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame) -> DataFrame:
@@ -76,8 +117,7 @@ def assess(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame
     return rolled_up(consultations, interactions(consultations, medicines, pair_knowledge), disease_findings(consultations, conditions, disease_knowledge))
 
 
-# The sources of knowledge and the sentences of an assessment.
-PAIRS_SOURCE, DISEASES_SOURCE = "DDInter 2.0", "DrugCentral"
+# The sentences of an assessment.
 NO_MEDICINES = "No active medicines were available for a DDInter 2.0 check."
 NO_CONDITIONS = "No active patient conditions were available for a DrugCentral drug-disease check."
 NO_RELATIONSHIP = ", but no DrugCentral relationship was found for the proposed drug."
@@ -85,41 +125,79 @@ NOT_RESOLVED = " could not be deterministically resolved to a DrugCentral diseas
 
 
 def evaluated_pairs(consultations: DataFrame, medicines: DataFrame) -> DataFrame:
-    """Rows (consultation, medicine, proposed_terms, existing_terms): what is looked up for each active medicine."""
-    active = medicines.where("status = 'ACTIVE'").select("consultation", "medicine", text.ingredient_terms("generic").alias("existing_terms"))
-    return active.join(consultations.select("consultation", text.ingredient_terms("proposed").alias("proposed_terms")), "consultation")
+    """Rows (consultation, medicine, proposed, generic, proposed_terms, existing_terms): what is looked up for each active medicine."""
+    met = consultations.select("consultation", "proposed").join(active_of(medicines), "consultation")
+    return met.withColumns({"proposed_terms": text.ingredient_terms("proposed"), "existing_terms": text.ingredient_terms("generic")})
 
 
 def explanations(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame) -> DataFrame:
     """Rows (consultation, part, subject, explanation): a sentence a finding; without findings one for all that was looked up; else that nothing was.
 
     pair_knowledge has drug_a, drug_b, raw_severity and source besides; disease_knowledge has shown (the disease as its
-    source names it), relationship, source and version. subject is the medicine or the condition.
+    source names it), relationship, source and version. subject is the medicine or the condition. What is looked up
+    once for both the sentences of findings and those without any is written to the shared folder and read again.
     """
-    met = interactions(consultations, medicines, pair_knowledge, ("drug_a", "drug_b", "raw_severity", "source"))
-    pairs = evaluated_pairs(consultations, medicines)
-    join = lambda c: F.array_join(c, " / ")
-    drugs = met.select("consultation", F.col("medicine").alias("subject"), F.concat("drug_a", F.lit(" + "), "drug_b", F.lit(": "), "raw_severity", F.lit(" ("), "source", F.lit(").")).alias("explanation"))
-    silent = pairs.join(met.select("consultation").distinct(), "consultation", "left_anti")
-    drugs = drugs.union(silent.select("consultation", "medicine", F.concat(F.lit(f"No {PAIRS_SOURCE} record for "), join("proposed_terms"), F.lit(" + "), join("existing_terms"), F.lit("."))))
-    none = consultations.select("consultation").join(pairs.select("consultation").distinct(), "consultation", "left_anti")
-    drugs = drugs.union(none.select("consultation", F.lit(None).cast(pairs.schema["medicine"].dataType), F.lit(NO_MEDICINES)))
+    own, _ = written(consultations.select("consultation", "proposed"), "consultations")
+    active = active_of(medicines)
+    best = pair_evidence(own, active, pair_knowledge, ("drug_a", "drug_b", "raw_severity", "source"))
+    terms = lambda df, name, to: df.select(name).distinct().select(name, F.array_join(text.ingredient_terms(name), " / ").alias(to))
+    # Each pair that is looked up, with its evidence, if any, and whether the consultation has evidence at all.
+    looked = own.join(active, "consultation").join(best, ["proposed", "generic"], "left")
+    looked, _ = written(looked.select("consultation", "medicine", "proposed", "generic", "drug_a", "drug_b", "raw_severity", "source"), "pairs")
+    state = looked.groupBy("consultation").agg(F.bool_or(F.col("drug_a").isNotNull()).alias("any"))
+    said = F.concat("drug_a", F.lit(" + "), "drug_b", F.lit(": "), "raw_severity", F.lit(" ("), "source", F.lit(")."))
+    found_pairs = looked.where("drug_a is not null").select("consultation", "medicine", said.alias("explanation"))
+    silent = looked.join(state.where("not any"), "consultation", "left_semi").join(terms(own, "proposed", "p"), "proposed", "left").join(terms(active, "generic", "g"), "generic", "left")
+    unfound = F.concat(F.lit(f"No {PAIRS_SOURCE} record for "), F.coalesce("p", F.lit("")), F.lit(" + "), F.coalesce("g", F.lit("")), F.lit("."))
+    none = own.join(state, "consultation", "left_anti").select("consultation", F.lit(None).cast(looked.schema["medicine"].dataType), F.lit(NO_MEDICINES))
+    drugs = found_pairs.union(silent.select("consultation", "medicine", unfound)).union(none)
     names = disease_knowledge.select(F.col("id").alias("knowledge_id"), F.col("shown").alias("resolved"))
     told = resolutions(conditions, disease_knowledge).join(names, "knowledge_id", "left").join(conditions.select("condition", "consultation", "display"), "condition")
-    known = disease_knowledge.select("drug", "identity", "assessment", "relationship", "source", "version")
-    found = consultations.select("consultation", text.term("proposed").alias("drug")).join(told.where("resolution = 'RESOLVED'"), "consultation").join(known, ["drug", "identity"])
+    told, _ = written(told.select("consultation", "condition", "display", "resolution", "identity", "match_type", "resolved"), "resolutions")
+    asked = own.select("consultation", text.term("proposed").alias("drug"))
+    found = drug_findings(asked, told.where("resolution = 'RESOLVED'").drop("resolution"), disease_knowledge, ("relationship", "source", "version"))
+    found, _ = written(found.join(told.select("condition", "consultation", "display", "resolved"), ["consultation", "condition"]), "findings")
     entered = F.concat(F.lit("Entered condition: "), "display")
     resolved = F.concat(entered, F.lit(" → resolved DrugCentral term: "), "resolved", F.lit(" ("), "identity", F.lit(")"))
-    ill = found.select("consultation", F.col("condition").alias("subject"), F.concat(resolved, F.lit(" → DrugCentral relationship: "), "relationship", F.lit(" → assessment: "), "assessment", F.lit(". Source: "), "source", F.lit(" "), "version", F.lit(".")).alias("explanation"))
+    ill = found.select("consultation", "condition", F.concat(resolved, F.lit(" → DrugCentral relationship: "), "relationship", F.lit(" → assessment: "), "assessment", F.lit(". Source: "), "source", F.lit(" "), "version", F.lit(".")).alias("explanation"))
     silent = told.join(found.select("consultation").distinct(), "consultation", "left_anti")
     said = F.when(F.col("resolution") == "RESOLVED", F.concat(resolved, F.lit(NO_RELATIONSHIP))).otherwise(F.concat(entered, F.lit(NOT_RESOLVED)))
-    ill = ill.union(silent.select("consultation", "condition", said))
-    none = consultations.select("consultation").join(conditions.select("consultation").distinct(), "consultation", "left_anti")
-    ill = ill.union(none.select("consultation", F.lit(None).cast(conditions.schema["condition"].dataType), F.lit(NO_CONDITIONS)))
-    part = lambda df, name: df.select("consultation", F.lit(name).alias("part"), F.col("subject").cast("string").alias("subject"), "explanation")
+    none = own.join(told.select("consultation").distinct(), "consultation", "left_anti").select("consultation", F.lit(None).cast(told.schema["condition"].dataType), F.lit(NO_CONDITIONS))
+    ill = ill.union(silent.select("consultation", "condition", said)).union(none)
+    part = lambda df, name: df.toDF("consultation", "subject", "explanation").select("consultation", F.lit(name).alias("part"), F.col("subject").cast("string").alias("subject"), "explanation")
     return part(drugs, "drugs").union(part(ill, "diseases"))
 
 
+PAIR_DETAILS = ("drug_a", "drug_b", "raw_severity", "source", "version", "id_a", "id_b")
+
+
+def pair_findings(consultations: DataFrame, medicines: DataFrame, pair_knowledge: DataFrame) -> DataFrame:
+    """Whole interaction findings: rows (consultation, medicine, proposed, generic, severity, PAIR_DETAILS, matched_proposed, matched_existing).
+
+    The evidence as its source has it, and the ingredients that were looked up of both drugs.
+    """
+    active = active_of(medicines)
+    best = pair_evidence(consultations, active, pair_knowledge, PAIR_DETAILS)
+    best = best.withColumns({"matched_proposed": text.ingredient_terms("proposed"), "matched_existing": text.ingredient_terms("generic")})
+    met = consultations.select("consultation", "proposed").join(active, "consultation").join(best, ["proposed", "generic"])
+    return met.select("consultation", "medicine", "proposed", "generic", "severity", *PAIR_DETAILS, "matched_proposed", "matched_existing")
+
+
+def illness_findings(consultations: DataFrame, conditions: DataFrame, disease_knowledge: DataFrame) -> DataFrame:
+    """Whole disease findings: rows (consultation, condition, entered, code, match_type, resolved, identity, proposed, DISEASE_DETAILS).
+
+    disease_knowledge has, besides what is matched on, generic (the drug as its source names it), shown and snomed_shown
+    (the disease's names), relationship, evidence, source and version. resolved is the name in the row that the
+    condition was resolved by, shown the one in the row of the finding.
+    """
+    names = disease_knowledge.select(F.col("id").alias("knowledge_id"), F.col("shown").alias("resolved"))
+    told = resolutions(conditions, disease_knowledge).where("resolution = 'RESOLVED'").join(names, "knowledge_id").join(conditions, "condition")
+    resolved = told.select("consultation", "condition", F.col("display").alias("entered"), "code", "match_type", "resolved", "identity")
+    known = of_source(disease_knowledge, DISEASES_SOURCE).select("drug", "identity", *DISEASE_DETAILS)
+    asked = consultations.select("consultation", "proposed", text.term("proposed").alias("drug"))
+    return asked.join(resolved, "consultation").join(known, ["drug", "identity"]).drop("drug")
+
+
 def findings(consultations: DataFrame, medicines: DataFrame, conditions: DataFrame, pair_knowledge: DataFrame, disease_knowledge: DataFrame) -> DataFrame:
     """Rows (consultation, kind, subject, detail, level): all findings that an assessment rests on."""
     met = interactions(consultations, medicines, pair_knowledge)

@@ -13,6 +13,9 @@ from evidara.functions.text import dump_value
 # The first and the last line of a section of a dump.
 COPY_LINE, COPY_END = r"(?i)^COPY\s+(?:public\.)?([a-z_]+)\s+\(", "\\."
 
+#: More sections than this are joined to their lines by a shuffle.
+MOST_SPANS = 50_000
+
 INTERACTIONS = "id_a string, drug_a string, id_b string, drug_b string, level string"
 
 
@@ -28,12 +31,12 @@ def csv_line(c, schema: str):
 
 
 def version(spark: SparkSession, path: str) -> DataFrame:
-    """The files' dates of change and the eight digits in their names, if any."""
+    """The files' dates of change and the eight digits that stand alone in their own names, if any; folders' names don't count."""
     df = spark.read.format("binaryFile").load(path)
-    return df.select("path", F.to_date("modificationTime").alias("changed"), F.nullif(F.regexp_extract("path", r"(\d{8})[^/]*$", 1), F.lit("")).alias("named"))
+    return df.select("path", F.to_date("modificationTime").alias("changed"), F.nullif(F.regexp_extract("path", r"(?:^|/)[^/]*?(?<!\d)(\d{8})(?!\d)[^/]*$", 1), F.lit("")).alias("named"))
 
 
-def dump_sections(spark: SparkSession, path: str) -> DataFrame:
+def dump_sections(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows (file, line, table, fields) of the COPY sections of a PostgreSQL dump, gzip or plain.
 
     A row belongs to the last COPY line before it, up to a line of \\. alone. Only those marks are put in order: a file's few
@@ -46,11 +49,21 @@ def dump_sections(spark: SparkSession, path: str) -> DataFrame:
     marks = lines.select("file", "line", mark.alias("table")).where("table is not null")
     stop = F.lead("line").over(Window.partitionBy("file").orderBy("line"))
     spans = marks.select("file", F.col("line").alias("first"), "table", F.coalesce(stop, F.lit((1 << 63) - 1)).alias("stop")).where("table <> ''")
-    # A row for each table of a dump.
-    held = lines.join(F.broadcast(spans), "file").where("line > first and line < stop")
+    # A row for each table of a dump: sent if there are few, which they are counted for.
+    spans, _ = written(spans, "spans")
+    spans = F.broadcast(spans) if spans.count() <= MOST_SPANS else spans
+    held = lines.join(spans, "file").where("line > first and line < stop")
     return held.select("file", "line", "table", F.split("value", "\t").alias("fields"))
 
 
+def parsed_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """dump_sections written to the shared folder, a folder a table: every relation that is picked from it afterwards reads its own table's rows, and nothing is parsed again."""
+    out = new_path(spark, "dump")
+    rows = dump_sections(spark, path)
+    rows.write.partitionBy("table").option("compression", "zstd").parquet(out)
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 def picked(rows: DataFrame, table: str, fields: dict[str, int]) -> DataFrame:
     """Columns of one table of a dump by position; \\N and empty are null."""
     return rows.where(F.col("table") == table).select("file", "line", *[dump_value(F.get("fields", F.lit(i))).alias(n) for n, i in fields.items()])
@@ -97,3 +110,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read again, and its path: it is computed once, and lost executors lose nothing."""
+    spark = df.sparkSession
+    path = new_path(spark, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path

@@ -6,15 +6,16 @@ from evidara.streaming.rates import rates
 from pyspark.sql import functions as F
 
 DISEASE = "id string, drug string, identity string, disease string, concept string, snomed string, cui string, imported_at timestamp, assessment string"
+SOURCE = safety.DISEASES_SOURCE
 
 
 def known(spark):
     row = ("1", "ibuprofen", "UMLS:C1234567", "chronic kidney disease", "renal insufficiency", "chronic kidney disease", "C1234567", None, "HIGH")
-    return spark.createDataFrame([row, ("2", "x", "UMLS:C0000001", "pain", "pain", "", "C0000001", None, "LOW"), ("3", "x", "UMLS:C0000002", "pain", "", "", "C0000002", None, "LOW")], DISEASE)
+    return spark.createDataFrame([row, ("2", "x", "UMLS:C0000001", "pain", "pain", "", "C0000001", None, "LOW"), ("3", "x", "UMLS:C0000002", "pain", "", "", "C0000002", None, "LOW")], DISEASE).withColumn("source", F.lit(SOURCE))
 
 
 def pairs(spark, *rows):
-    return spark.createDataFrame(list(rows), "a string, b string, severity string, imported_at timestamp, id string")
+    return spark.createDataFrame(list(rows), "a string, b string, severity string, imported_at timestamp, id string").withColumn("source", F.lit(safety.PAIRS_SOURCE))
 
 
 def tables(spark, generic="Warfarin", display="Chronic kidney disease", code=None, proposed="Ibuprofen"):
@@ -48,14 +49,14 @@ def test_synonyms_are_for_pairs_only(spark):
 
 def test_ranking_leaves_the_proposal_out(spark):
     c, m, k = tables(spark)
-    ind = spark.createDataFrame([("pain", "Paracetamol", "paracetamol"), ("pain", "Ibuprofen", "ibuprofen")], "indication string, drug string, normalised string")
+    ind = spark.createDataFrame([("pain", "Paracetamol", "paracetamol"), ("pain", "Ibuprofen", "ibuprofen")], "indication string, drug string, normalised string").withColumn("source", F.lit(SOURCE))
     got = ranking.ranked(c, m, k, ind, pairs(spark), known(spark)).collect()
     assert [(r.drug, r.rank) for r in got] == [("Paracetamol", 1)]
 
 
 def test_cut_comes_before_rank(spark):
     c, m, k = tables(spark)
-    ind = spark.createDataFrame([("pain", f"d{i:02}", f"d{i:02}") for i in range(30)], "indication string, drug string, normalised string")
+    ind = spark.createDataFrame([("pain", f"d{i:02}", f"d{i:02}") for i in range(30)], "indication string, drug string, normalised string").withColumn("source", F.lit(SOURCE))
     assert ranking.candidates(c, ind).count() == 25
 
 
@@ -93,10 +94,10 @@ def test_rates_as_a_stream(spark, tmp_path):
 
 def test_explanations_fall_back(spark):
     more = "a string, b string, severity string, imported_at timestamp, id string, drug_a string, drug_b string, raw_severity string, source string"
-    pair = spark.createDataFrame([("ibuprofen", "warfarin", "MAJOR", None, "1", "Ibuprofen", "Warfarin", "Major", "S")], more)
-    ill = known(spark).withColumns({"shown": F.col("disease"), "relationship": F.lit("contraindication"), "source": F.lit("S"), "version": F.lit("v")})
+    pair = spark.createDataFrame([("ibuprofen", "warfarin", "MAJOR", None, "1", "Ibuprofen", "Warfarin", "Major", safety.PAIRS_SOURCE)], more)
+    ill = known(spark).withColumns({"shown": F.col("disease"), "relationship": F.lit("contraindication"), "version": F.lit("v")})
     texts = lambda *a: sorted(r.explanation for r in safety.explanations(*a, pair, ill).collect())
-    assert texts(*tables(spark))[1].startswith("Ibuprofen + Warfarin: Major (S).")
+    assert texts(*tables(spark))[1].startswith("Ibuprofen + Warfarin: Major (DDInter 2.0).")
     assert "No DDInter 2.0 record for ibuprofen + nothing." in texts(*tables(spark, "Nothing", "unrelated"))
     assert any("could not be deterministically resolved" in x for x in texts(*tables(spark, "Nothing", "unrelated")))
     c, m, k = tables(spark)
@@ -105,7 +106,7 @@ def test_explanations_fall_back(spark):
 
 def test_names_are_ranked_as_in_a_dictionary(spark):
     c, m, k = tables(spark, "Nothing", "unrelated")
-    ind = spark.createDataFrame([("pain", x, x.lower()) for x in ("Zinc", "amoxicillin", "Éclair", "dapsone")], "indication string, drug string, normalised string")
+    ind = spark.createDataFrame([("pain", x, x.lower()) for x in ("Zinc", "amoxicillin", "Éclair", "dapsone")], "indication string, drug string, normalised string").withColumn("source", F.lit(SOURCE))
     got = ranking.ranked(c, m, k, ind, pairs(spark), known(spark)).orderBy("rank").collect()
     assert [r.drug for r in got] == ["amoxicillin", "dapsone", "Éclair"]
 
@@ -133,3 +134,44 @@ def test_required_sources(spark, tmp_path):
 
     with pytest.raises(FileNotFoundError):
         files.required(spark, f"file://{tmp_path}/none")
+
+
+def test_knowledge_without_an_identity_says_nothing(spark):
+    """Newer rows without an identity, and another source's, leave a condition as it was resolved."""
+    newer = known(spark).where("id = '1'").withColumns({"id": F.lit("9"), "imported_at": F.lit("2030-01-01").cast("timestamp")})
+    rows = known(spark).unionByName(newer.withColumn("identity", F.lit(None).cast("string"))).unionByName(newer.withColumn("identity", F.lit(""))).unionByName(newer.withColumns({"identity": F.lit("OTHER:1"), "source": F.lit("Other")}))
+    conditions = spark.createDataFrame([("a", "Chronic kidney disease", None), ("b", "local", "DRUGCENTRAL:x")], "condition string, display string, code string")
+    local = newer.withColumns({"identity": F.lit("DRUGCENTRAL:x"), "disease": F.lit("other"), "concept": F.lit(""), "snomed": F.lit(""), "cui": F.lit(None).cast("string")})
+    got = {r.condition: (r.resolution, r.identity, r.match_type) for r in safety.resolutions(conditions, rows.unionByName(local)).collect()}
+    assert got == {"a": ("RESOLVED", "UMLS:C1234567", "CANONICAL_TERM"), "b": ("RESOLVED", "DRUGCENTRAL:x", "DRUGCENTRAL_IDENTIFIER")}
+    c, m, k = tables(spark)
+    assert safety.assess(c, m, k, pairs(spark), rows).head().assessment == "HIGH"
+
+
+def test_other_sources_take_no_part(spark):
+    c, m, k = tables(spark)
+    other = pairs(spark, ("ibuprofen", "warfarin", "MAJOR", None, "2")).withColumn("source", F.lit("Other"))
+    both = pairs(spark, ("ibuprofen", "warfarin", "MINOR", None, "1")).unionByName(other)
+    assert [r.severity for r in safety.interactions(c, m, both).collect()] == ["MINOR"]
+    assert [r.severity for r in safety.interactions(c, m, both, source=None).collect()] == ["MAJOR"]
+
+
+def test_input_hash_is_of_all_that_a_ranking_rests_on(spark):
+    full = known(spark).withColumns({"shown": F.col("disease"), "snomed_shown": F.col("snomed"), "generic": F.col("drug"), "relationship": F.lit("r"), "evidence": F.lit("e"), "version": F.lit("v")})
+    pair = pairs(spark, ("ibuprofen", "warfarin", "MAJOR", None, "1")).withColumns({"drug_a": F.lit("I"), "drug_b": F.lit("W"), "raw_severity": F.lit("Major"), "version": F.lit("v"), "id_a": F.lit("1"), "id_b": F.lit("2")})
+
+    def hashed(pair=pair, full=full, engine=ranking.ENGINE, **more):
+        return ranking.input_hash(*tables(spark, **more), pair, full, engine).head().input_hash
+
+    base = hashed()
+    assert base == hashed()
+    others = [hashed(display="Pain"), hashed(generic="Nothing"), hashed(proposed="Aspirin"), hashed(engine="x"), hashed(pair=pair.withColumn("severity", F.lit("MINOR"))), hashed(pair=pair.withColumn("version", F.lit("w"))), hashed(full=full.withColumn("evidence", F.lit("other")))]
+    assert base not in others and len(set(others)) == len(others)
+
+
+def test_evidence_is_looked_up_once_for_each_two_names(spark):
+    """A hundred consultations of the same two names meet one row of evidence."""
+    c = spark.range(100).select("id", F.col("id").alias("consultation"), F.lit("Ibuprofen").alias("proposed"))
+    m = c.select("consultation", F.lit("Warfarin + Ibuprofen").alias("generic"))
+    best = safety.pair_evidence(c, m, pairs(spark, ("ibuprofen", "warfarin", "MAJOR", None, "1"), ("ibuprofen", "ibuprofen", "MAJOR", None, "2")))
+    assert [(r.proposed, r.generic, r.a, r.b) for r in best.collect()] == [("Ibuprofen", "Warfarin + Ibuprofen", "ibuprofen", "warfarin")]
