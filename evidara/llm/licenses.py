@@ -9,6 +9,7 @@ has a part in one together with the lines around it up to a blank one.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -196,9 +197,13 @@ def examples(lines: list[str], seed: int = 5) -> tuple[list[str], np.ndarray]:
     return texts, np.array(classes)
 
 
-def shingles(text: str) -> set[tuple[str, ...]]:
+def triples(text: str) -> list[tuple[str, ...]]:
     words = "".join(c.lower() if c.isalnum() else " " for c in text).split()
-    return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+    return [tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+
+
+def shingles(text: str) -> set[tuple[str, ...]]:
+    return set(triples(text))
 
 
 #: The words of the longest template.
@@ -221,6 +226,19 @@ def surest(text: str) -> tuple[float, str]:
     return share, family
 
 
+def families_in(text: str) -> list[str]:
+    """Every family of which the text holds a template, the surest first: word triples that one template has taken aren't another's, as often as they stand there."""
+    own, out = Counter(triples(text)), []
+    while +own:
+        held = (+own).keys()
+        share, _, family, k = max((len(held & t) / len(t), len(t), f, i) for f, n in _shingles.items() for i, t in enumerate(n))
+        if share < SIMILARITY:
+            break
+        out.append(family)
+        own -= Counter(_shingles[family][k])
+    return list(dict.fromkeys(out))
+
+
 def fit(lines: list[str]) -> Model:
     """The classifier, from the templates and lines of the corpus (which may be none)."""
     texts, y = examples(lines)
@@ -279,7 +297,7 @@ def learn(docs: DataFrame, documents: int = DOCUMENTS, lines: int = LINES, most:
 def scan(model: Model) -> Column:
     """For the column text: struct of family, probability, confirmed, line (from 0), lines that look like notices, and families.
 
-    families: each confirmed family with its first line and its probability there, by line.
+    families: each confirmed family with its first line and its probability there, by line; a line may hold several.
     """
 
     @F.arrow_udf("struct<family: string, probability: double, confirmed: boolean, line: int, notices: int, families: array<struct<family: string, line: int, probability: double>>>")
@@ -337,8 +355,8 @@ def scan(model: Model) -> Column:
                     k = CLASSES.index(family if sure else OTHER)
                 family = CLASSES[k]
                 number = s - int(np.searchsorted(starts, offsets[d]))
-                if sure:
-                    sure_lines.setdefault(d, {}).setdefault(family, (number, float(odds[i, k])))
+                for f in dict.fromkeys([family, *families_in(own)]) if sure else ():
+                    sure_lines.setdefault(d, {}).setdefault(f, (number, float(odds[i, CLASSES.index(f)])))
                 held = best.get(d)
                 n = held[1] + 1 if held else 1
                 now = (sure, float(odds[i, k]), -number, family)

@@ -148,3 +148,34 @@ def test_operators_and_the_pipeline_are_registered():
     own = entry.queries()
     assert sorted(k.split("_")[0] for k in own if re.match(r"op\d+_", k)) == sorted(f"op{n}" for n in range(1, 14)) and "pipeline" in own
     assert {"op1_p_stable_embeddings", "op12_block_max_wand", "op13_anagram_variants"} <= set(entry.oracle_sql())
+
+
+def test_pipeline_on_tables_of_any_content(spark, tmp_path):
+    """The whole chain: empty tables, null texts and ids, repeated rows, no labels, and columns that stages use themselves."""
+    import corpus_pipeline
+
+    fields = "doc_id long, text string, lang string, source string, n_chars long, sequence_id long, piece long, label string, fp long, score double, kept boolean"
+    words = " ".join(f"word{i % 977}" for i in range(3_000))
+    texts = [(1, "One two three four five six."), (1, "One two three four five six."), (2, None), (3, ""), (None, "No id here at all, none."), (4, words), (5, words + " end")]
+    full = spark.createDataFrame([(i, x, "en", None, 0, 7, 8, "x", 9, 0.5, True) for i, x in texts], fields)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, docs, want in (("none", full.limit(0), set()), ("some", full, {1, 2, 4, None})):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").select("doc_id").collect()} == want
+
+
+def test_classifiers_without_labels(spark, tmp_path, docs):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for module in (gam, ftrl):
+        rows = module.query(spark, str(tmp_path)).collect()
+        assert len(rows) == len(ALL) and all(0 <= r.score <= 1 and r.predicted == (r.score >= module.THRESHOLD) for r in rows)
+
+
+def test_a_common_fingerprint_is_sent(spark, monkeypatch):
+    texts = [(i, "the same few words again and again") for i in range(40)] + [(100 + i, f"text number {i} of its own {i * 7} kind {i * 31}") for i in range(20)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(tuple(r) for r in simhash.near_duplicates(df).collect())
+    monkeypatch.setattr(simhash, "HOT", 5)
+    assert sorted(tuple(r) for r in simhash.near_duplicates(df).collect()) == want and sum(r[2] == 0 for r in want) == 40

@@ -44,3 +44,30 @@ def test_wrapped_and_dual_notices(spark, model):
     assert [(f.family, f.line) for f in got[2].families] == [("MIT", 1), ("Apache-2.0", 4)]
     assert {f.family for f in got[3].families} == {"GPL", "MIT"}
     assert [(f.family, f.line) for f in got[4].families] == [("MIT", 1)]
+
+
+def test_two_notices_in_one_line(spark):
+    both = " ".join([licenses.TEMPLATES["MIT"][-1], "and", licenses.TEMPLATES["Apache-2.0"][-1]])
+    df = spark.createDataFrame([(1, both), (2, licenses.TEMPLATES["MIT"][-1])], "doc_id long, text string")
+    got = {r.doc_id: [f.family for f in r.families] for r in licenses.scanned(df, licenses.fit(["some line of text"])).collect()}
+    assert sorted(got[1]) == ["Apache-2.0", "MIT"] and got[2] == ["MIT"]
+
+
+def test_learning_from_nothing(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert licenses.scanned(empty).count() == 0
+    nulls = spark.createDataFrame([(1, None), (2, ""), (3, " \n ")], "doc_id long, text string")
+    assert [(r.doc_id, r.family, r.notices) for r in licenses.scanned(nulls).orderBy("doc_id").collect()] == [(1, "none", 0), (2, "none", 0), (3, "none", 0)]
+
+
+def test_lines_to_learn_from_are_whole_and_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(licenses, "fit", lambda lines: seen.append(lines) or "model")
+    long = "word " * 5_000
+    df = spark.createDataFrame([(1, "\n".join([long, "a line", "a line", "another"])), (2, None)], "doc_id long, text string")
+    licenses.learn(df)
+    assert seen[-1] == sorted([long, "a line", "another"])
+    licenses.learn(df, lines=2)
+    assert len(seen[-1]) == 2
+    licenses.learn(df, most=20)
+    assert sum(map(len, seen[-1])) <= 20
