@@ -70,6 +70,30 @@ def search_many(s, d):
     return search.many(asked, rows, ["p_name", "kind"], ["id"], 5).select("query_id", "query", "id", "rank")
 
 
+_FEW = "q AS (SELECT DISTINCT substr(p_name, 1 + p_partkey % 4, 1 + p_partkey % 3) AS query FROM part), v AS (SELECT p_partkey AS id, p_name AS indication, lower(p_type) AS generic FROM part)"
+
+
+def _few(s: SparkSession, d: str) -> DataFrame:
+    return t(s, d, "part").select(F.substring("p_name", (1 + F.col("p_partkey") % 4).cast("int"), (1 + F.col("p_partkey") % 3).cast("int")).alias("query")).distinct()
+
+
+@query(f"""WITH {_FEW}, b AS (SELECT query, id, indication FROM q JOIN v ON starts_with(indication, query)), i AS (SELECT query, id, indication FROM q JOIN v ON contains(indication, query) WHERE query NOT IN (SELECT query FROM b)),
+c AS (SELECT * FROM (SELECT * FROM b UNION ALL SELECT * FROM i) QUALIFY row_number() OVER (PARTITION BY query ORDER BY indication, id) <= 400),
+o AS (SELECT query, indication, min(id) AS id FROM c GROUP BY ALL) SELECT query, id, (row_number() OVER (PARTITION BY query ORDER BY indication, id))::INT AS rank FROM o QUALIFY rank <= 6""")
+def search_many_indications(s, d):
+    """Different names for each of many queries: repeats leave before the cut."""
+    known = t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("indication"))
+    return search.many_indications(_few(s, d), known, 6).select("query", "id", "rank")
+
+
+@query(f"""WITH {_FEW}, c AS (SELECT query, id, generic, NOT starts_with(generic, query) AS later FROM q JOIN v ON contains(generic, query) QUALIFY row_number() OVER (PARTITION BY query ORDER BY generic, id) <= 400),
+k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY later, generic, id) <= 40) SELECT query, generic, min(id) AS id FROM k GROUP BY ALL""")
+def search_many_generics(s, d):
+    """Generic names that contain each of many queries: repeats leave after the cut."""
+    terms = t(s, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_type").alias("generic"))
+    return search.many_generics(_few(s, d), terms, 40).select("query", "generic", "id")
+
+
 @query("""WITH a AS (SELECT DISTINCT substr(c_name, 1 + c_custkey % 9, 1 + c_custkey % 8) AS ask FROM customer WHERE substr(c_name, 1 + c_custkey % 9, 1 + c_custkey % 8) <> '')
 SELECT ask, c_custkey, c_name FROM a JOIN customer ON contains(c_name, ask) QUALIFY row_number() OVER (PARTITION BY ask ORDER BY c_custkey) <= 3""")
 def containment_index(s, d):

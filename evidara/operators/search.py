@@ -85,18 +85,20 @@ def conditions(known: DataFrame, query: str, limit: int | None = None) -> DataFr
 MOST_CHARS = 120
 
 
-def many(queries: DataFrame, rows: DataFrame, fields: list[str], tie: list[str], limit: int, fall_back: bool = True) -> DataFrame:
-    """prefix_first for each of queries (query, ...) in one plan: its columns beside those of rows and rank, from 1.
+def candidates(queries: DataFrame, rows: DataFrame, fields: list[str], tie: list[str], prefixes: bool = True) -> DataFrame:
+    """The first CANDIDATES rows for each different query of queries (query): rows with _ask, the query, besides.
 
-    Each different query is answered once. Rows are keyed by those prefixes of their fields that are as long as some query, and
-    of a prefix the first CANDIDATES rows are kept before queries join it; queries without any go to the index of
-    grams. An empty query has the first rows; a null one none. tie names rows.
+    With prefixes, rows of which a field begins with the query, and for queries without any those that contain it; else those
+    that contain it. Rows are keyed by those prefixes of their fields that are as long as some query, and of a prefix the first
+    CANDIDATES are kept before queries join it; containment goes to the index of grams. An empty query has the first rows; a null one
+    none. tie names rows. No join is without an equality, whatever the number of queries.
     """
     asked = queries.select(F.col("query").alias("_ask")).where("_ask is not null").distinct()
     # A number for each length that occurs.
     lengths = sorted(r[0] for r in asked.select(F.length("_ask")).distinct().collect())
     if lengths and lengths[-1] > MOST_CHARS:
         raise ValueError(f"a query has more than {MOST_CHARS} characters")
+    lengths = lengths if prefixes else [n for n in lengths if not n]
     order = [F.concat_ws(" ", *fields).asc(), *[F.col(t).asc() for t in tie]]
     found = []
     for f in fields:
@@ -105,10 +107,43 @@ def many(queries: DataFrame, rows: DataFrame, fields: list[str], tie: list[str],
     index = reduce(DataFrame.unionByName, found)
     index = top_k(index.dropDuplicates(["_ask", *tie]), ["_ask"], order, CANDIDATES) if len(fields) > 1 else index
     begins, _ = written(asked.join(index, "_ask"), "begins")
-    both = begins
-    if fall_back:
-        rest, _ = written(asked.where("_ask <> ''").join(begins.select("_ask").distinct(), "_ask", "left_anti"), "rest")
-        both = begins.unionByName(containing(rest, rows, fields, order, CANDIDATES, tie))
-    # All rows of a query begin with it, or none does: the order is that of their text.
-    best = top_k(both, ["_ask"], [*by_locale(F.concat_ws(" ", *fields)), *[F.col(t).asc() for t in tie]], limit, "rank")
+    rest, _ = written(asked.where("_ask <> ''").join(begins.select("_ask").distinct(), "_ask", "left_anti"), "rest")
+    return begins.unionByName(containing(rest, rows, fields, order, CANDIDATES, tie))
+
+
+def many(queries: DataFrame, rows: DataFrame, fields: list[str], tie: list[str], limit: int, prefixes: bool = True, key: Column | None = None, key_first: bool = True) -> DataFrame:
+    """A search for each of queries (query, ...) in one plan: its columns beside those of rows and rank, from 1.
+
+    Without a key that is prefix_first, or contains if prefixes is false, for each query. With one, the first row of each key counts: keys
+    are made single before the cut to limit, or after it if key_first is false, as in the single searches. Each
+    different query is answered once.
+    """
+    begins = F.when(any_of(fields, lambda c: c.startswith(F.col("_ask"))), 0).otherwise(1)
+    order = [begins.asc(), *by_locale(F.concat_ws(" ", *fields)), *[F.col(t).asc() for t in tie]]
+    found = candidates(queries, rows, fields, tie, prefixes)
+    if key is not None and not key_first:
+        found = top_k(found, ["_ask"], order, limit)
+    if key is not None:
+        found = first_wins(found.withColumn("_key", key), ["_ask", "_key"], order).drop("_key")
+    best = top_k(found, ["_ask"], order, limit, "rank")
     return queries.join(best.withColumnRenamed("_ask", "query"), "query")
+
+
+def many_medications(queries: DataFrame, terms: DataFrame, limit: int | None = None) -> DataFrame:
+    return many(queries, terms, ["brand", "generic"], ["id"], clamped(limit))
+
+
+def many_brands(queries: DataFrame, terms: DataFrame, limit: int | None = None) -> DataFrame:
+    return many(queries, terms, ["brand"], ["id"], clamped(limit), prefixes=False)
+
+
+def many_generics(queries: DataFrame, terms: DataFrame, limit: int | None = None) -> DataFrame:
+    return many(queries, terms, ["generic"], ["id"], clamped(limit), prefixes=False, key=F.col("generic"), key_first=False)
+
+
+def many_indications(queries: DataFrame, known: DataFrame, limit: int | None = None) -> DataFrame:
+    return many(queries, known, ["indication"], ["id"], clamped(limit), key=F.col("indication"))
+
+
+def many_conditions(queries: DataFrame, known: DataFrame, limit: int | None = None) -> DataFrame:
+    return many(queries, known, ["disease", "concept", "snomed"], ["id"], clamped(limit), key=F.coalesce(F.nullif("identity", F.lit("")), "disease"))

@@ -125,6 +125,24 @@ def test_many_searches_are_single_ones(spark):
         search.many(spark.createDataFrame([("x" * 200,)], "query string"), table, ["n"], ["i"], 4)
 
 
+def test_each_of_the_five_searches_of_many(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5)))
+    terms = spark.createDataFrame([(i, word(), word()) for i in range(80)], "id int, brand string, generic string")
+    known = spark.createDataFrame([(i, word() + " x") for i in range(80)], "id int, indication string")
+    ill = spark.createDataFrame([(i, rng.choice(["", None, "I1", "I2"]), word(), word(), rng.choice(["", "c " + word()])) for i in range(80)], "id int, identity string, disease string, concept string, snomed string")
+    asks = ["a", "bc", "ca", "cab", " x", "b x", "c ", "zz", "aaaa", ""]
+    queries = spark.createDataFrame([(x,) for x in asks], "query string")
+    for all_of, one_of, table in (("many_medications", "medications", terms), ("many_brands", "brands", terms), ("many_generics", "generics", terms), ("many_indications", "indications", known), ("many_conditions", "conditions", ill)):
+        found = {}
+        for r in getattr(search, all_of)(queries, table, 5).collect():
+            found.setdefault(r.query, []).append((r["rank"], r.id))
+        for x in asks:
+            one = [r.id for r in getattr(search, one_of)(table, x, 5).collect()]
+            have = [i for _, i in sorted(found.get(x, []))]
+            assert (sorted(have) == sorted(one)) if one_of == "generics" else (have == one), (all_of, x)
+
+
 def test_numbers_of_a_large_owner(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 10 > 0, "big").when(F.col("id") % 20 == 0, "small").alias("owner"), (5000 - F.col("id")).alias("at"))
     got = dedup.sequence(df, ["owner"], [F.col("at").asc()], given=spark.createDataFrame([("big", 7)], "owner string, last long"))
