@@ -21,7 +21,7 @@ SAMPLE = 12_000
 BITS = 22
 ORDERS = ((0,), (0, 1), (0, 2), (0, 1, 2))
 #: Bytes of the beginnings of longer words that are features too.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (5, 6, 7)
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 7.0, 0.01, 8
 #: Grams of fewer learned documents than this are left out.
 LEAST = 5
