@@ -90,5 +90,5 @@ def test_toxic_recall_and_precision(spark):
     d = "/root/testdata/sf0.1"
     got = registry.queries()["op2_ftrl_toxicity"](spark, d).where("held_out").join(table(spark, d, "labels"), "doc_id").select("predicted", "toxic").collect()
     hit = sum(r.predicted and r.toxic for r in got)
-    # 305 toxic documents to learn from: 100 of 144 are found. Twice as many give 0.92, four times as many 0.96 (README).
-    assert hit >= 0.65 * sum(r.toxic for r in got) and hit >= 0.95 * sum(r.predicted for r in got)
+    # 305 toxic documents to learn from, 144 to find. The production sample finds 0.985 of check_s's (README).
+    assert hit >= 0.75 * sum(r.toxic for r in got) and hit >= 0.95 * sum(r.predicted for r in got)
