@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.operators.dedup import top_k
+from evidara.sources.files import written
 
 GRAM = 3
 
@@ -37,11 +38,13 @@ def containing(asks: DataFrame, rows: DataFrame, fields: list[str], order: list[
 
     asks are different and not empty. ids name rows. Of rows that share a text the first k stand for it. Asks of up to GRAM
     characters are grams themselves: of each gram the first k rows are kept before any ask is joined to it, so a gram that very
-    many texts have costs what k rows do.
+    many texts have costs what k rows do. Without any ask, which is looked at first, nothing is indexed.
     """
+    if asks.isEmpty():
+        return rows.withColumn("_ask", F.lit(None).cast("string")).where("false")
     found = []
     for field in fields:
-        best = top_k(rows.where(F.col(field) != "").withColumn("_text", F.col(field)), ["_text"], order, k)
+        best, _ = written(top_k(rows.where(F.col(field) != "").withColumn("_text", F.col(field)), ["_text"], order, k), "texts")
         short = F.explode(F.concat(*[grams(F.col("_text"), n) for n in range(1, GRAM + 1)])).alias("_ask")
         of_gram = top_k(best.select("*", short), ["_ask"], order, k)
         found.append(asks.where(F.length("_ask") <= GRAM).join(of_gram, "_ask").drop("_text"))
