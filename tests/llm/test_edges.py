@@ -115,6 +115,33 @@ def test_components(spark):
     _ = F
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    """Stars, a chain, a link between hubs and random links, with many hubs and with none."""
+    import random
+
+    from evidara.llm import graph
+
+    rng = random.Random(2)
+    edges = [(i, 0) for i in range(1, 60)] + [(i, 1000) for i in range(1001, 1080)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(300)]
+    edges += [(59, 1050)] + [(3000 + i, 3001 + i) for i in range(40)]
+    lead = {}
+
+    def find(x):
+        lead.setdefault(x, x)
+        while lead[x] != x:
+            x = lead[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            lead[max(x, y)] = min(x, y)
+    for hub in (5, 1_000):
+        monkeypatch.setattr(graph, "HUB", hub)
+        got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: find(x) for x in lead}
+
+
 def test_columns_of_any_name_pass_through(spark, labels):
     """Names that the operators use themselves, in documents that go through the stages."""
     names = ["_row", "_ROW_", "node", "none", "same", "id", "rank", "fp", "fp2", "band", "least", "component", "part", "label", "group", "key", "start", "bin", "length", "place"]
