@@ -34,11 +34,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # Edges are (larger, smaller). A node's larger neighbours go to its smallest one, or to itself.
         least = now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
         if found[0] > HUB:
-            hubs = now.groupBy("v").count().where(F.col("count") > max(HUB, found[0] // MOST_HUBS)).select("v", F.lit(True).alias("hub"))
-            marked = now.join(F.broadcast(hubs), "v", "left")
-            of_hubs = hubs.join(least, "v")
-            met = marked.where("hub").drop("hub").join(F.broadcast(of_hubs.drop("hub")), "v", "left").select("u", "v", "m")
-            met = met.union(marked.where("hub is null").drop("hub").join(least, "v", "left").select("u", "v", "m"))
+            hubs = now.groupBy("v").count().where(F.col("count") > max(HUB, found[0] // MOST_HUBS)).select("v")
+            # One look at the edges tells those of hubs and joins them to what they need; only the others are joined again.
+            of_hubs = hubs.join(least, "v", "left").select("v", F.coalesce("m", "v").alias("m"))
+            told = now.join(F.broadcast(of_hubs), "v", "left")
+            met = told.where("m is not null").select("u", "v", "m")
+            met = met.union(told.where("m is null").select("u", "v").join(least, "v", "left").select("u", "v", "m"))
         else:
             met = now.join(least, "v", "left")
         large = met.select("u", F.coalesce("m", "v").alias("v")).distinct()
