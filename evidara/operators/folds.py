@@ -37,7 +37,9 @@ def folded(rows: DataFrame, keys: list[str], order: list[Column], reads: list[st
             more = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
-    dealt = rows.repartition(n, *keys).sortWithinPartitions(*[F.col(k) for k in keys], *order)
+    # By a hash of the keys: Spark drops a deal by the same columns as a join's before it, and may read that join's shuffle by its
+    # writers, once it has turned to a broadcast; a key would be in several tasks.
+    dealt = rows.repartition(n, F.xxhash64(*keys)).sortWithinPartitions(*[F.col(k) for k in keys], *order)
     return dealt.mapInArrow(run, StructType([*rows.schema.fields, *added.fields]))
 
 

@@ -40,6 +40,38 @@ def test_a_key_of_many_changes(spark):
     assert {r[0]: (r[1], r[2]) for r in got}["accepted"] == (accepted, version)
 
 
+@pytest.fixture
+def broadcast_at_run_time(spark):
+    """Joins are planned as merges of shuffled rows, and broadcast once a side is seen to be small."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def many_changes(spark):
+    """Five keys of 4,000 changes each, in seven files' worth of partitions; two of the keys are in the table."""
+    old = spark.range(2).select(F.col("id").alias("k"), F.lit(1).alias("version"), F.lit(None).cast("long").alias("value")).repartition(2)
+    changes = spark.range(20_000).select((F.col("id") % 5).alias("k"), "id", F.col("id").alias("value"), F.when(F.col("id") % 3 > 0, 1 + F.col("id") % 5).alias("expected"))
+    want, accepted = {0: 1, 1: 1}, {0: 0, 1: 0}
+    last = dict(want)
+    for i in range(20_000):
+        k, expected = i % 5, 1 + i % 5 if i % 3 else None
+        if k in want and (not expected or expected == want[k]):
+            want[k], accepted[k], last[k] = want[k] + 1, accepted[k] + 1, i
+    return old, changes.repartition(7), want, accepted, last
+
+
+def test_a_key_stays_together_when_a_join_turns_to_a_broadcast(spark, broadcast_at_run_time):
+    old, changes, want, accepted, _ = many_changes(spark)
+    judged = folds.ordered_changes(old, changes, "k", [F.col("id").asc()])
+    got = judged.groupBy("k").agg(F.max("new_version").alias("v"), F.count_if(F.col("outcome") == "accepted").alias("n")).collect()
+    assert {r.k: (r.v, r.n) for r in got} == {k: (want[k], accepted[k]) if k in want else (None, 0) for k in range(5)}
+
+
 def plain_windows(times, width):
     out, begin = {}, None
     for t in sorted(times):
