@@ -72,6 +72,13 @@ def test_a_key_stays_together_when_a_join_turns_to_a_broadcast(spark, broadcast_
     assert {r.k: (r.v, r.n) for r in got} == {k: (want[k], accepted[k]) if k in want else (None, 0) for k in range(5)}
 
 
+def test_the_table_after_changes_of_keys_that_stay_together(spark, broadcast_at_run_time):
+    old, changes, want, _, last = many_changes(spark)
+    judged = folds.ordered_changes(old, changes, "k", [F.col("id").asc()])
+    after = folds.after_changes(old, judged, "k", F.col("id"), ["value"]).select("k", "version", "value")
+    assert rows(after) == [(k, want[k], last[k]) for k in (0, 1)]
+
+
 def plain_windows(times, width):
     out, begin = {}, None
     for t in sorted(times):
