@@ -5,7 +5,7 @@ import re
 import pytest
 
 
-@pytest.mark.parametrize("name", ["ranking_findings"])
+@pytest.mark.parametrize("name", ["ranking_findings", "ranking_reasons"])
 def test_records_are_not_broadcast(spark, name):
     from __spark_entry__ import queries
 
