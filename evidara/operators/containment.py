@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.operators.dedup import top_k
-from evidara.sources.files import written
+from evidara.sources.files import shuffled, written
 
 GRAM = 3
 
@@ -28,9 +28,9 @@ def containing_texts(asks: DataFrame, texts: DataFrame) -> DataFrame:
     posting = texts.where(F.length("_text") > GRAM).select("_text", F.explode(grams(F.col("_text"), GRAM)).alias("_gram"))
     held = posting.groupBy("_gram").agg(F.count("*").alias("_n"))
     wanted = asks.where(F.length("_ask") > GRAM).select("_ask", F.explode(grams(F.col("_ask"), GRAM)).alias("_gram"))
-    counted = wanted.join(held, "_gram", "left").groupBy("_ask").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("rarest"))
+    counted = shuffled(wanted).join(held, "_gram", "left").groupBy("_ask").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("rarest"))
     rarest = counted.where("rarest.n > 0").select("_ask", F.col("rarest.gram").alias("_gram"))
-    return rarest.join(posting, "_gram").where(F.col("_text").contains(F.col("_ask"))).select("_ask", "_text")
+    return rarest.join(shuffled(posting), "_gram").where(F.col("_text").contains(F.col("_ask"))).select("_ask", "_text")
 
 
 def containing(asks: DataFrame, rows: DataFrame, fields: list[str], order: list[Column], k: int, ids: list[str]) -> DataFrame:
@@ -47,9 +47,9 @@ def containing(asks: DataFrame, rows: DataFrame, fields: list[str], order: list[
         best, _ = written(top_k(rows.where(F.col(field) != "").withColumn("_text", F.col(field)), ["_text"], order, k), "texts")
         short = F.explode(F.concat(*[grams(F.col("_text"), n) for n in range(1, GRAM + 1)])).alias("_ask")
         of_gram = top_k(best.select("*", short), ["_ask"], order, k)
-        found.append(asks.where(F.length("_ask") <= GRAM).join(of_gram, "_ask").drop("_text"))
+        found.append(asks.where(F.length("_ask") <= GRAM).join(shuffled(of_gram), "_ask").drop("_text"))
         pairs = containing_texts(asks, best.select("_text").distinct())
-        found.append(pairs.join(best, "_text").drop("_text"))
+        found.append(pairs.join(shuffled(best), "_text").drop("_text"))
     both = reduce(DataFrame.unionByName, found)
     both = both.dropDuplicates(["_ask", *ids]) if len(fields) > 1 else both
     return top_k(both, ["_ask"], order, k)

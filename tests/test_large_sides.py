@@ -5,9 +5,16 @@ import re
 import pytest
 
 
-@pytest.mark.parametrize("name", ["ranking_findings", "ranking_reasons"])
+@pytest.mark.parametrize("name", ["ranking_findings", "ranking_reasons", "recommendations"])
 def test_records_are_not_broadcast(spark, name):
     from __spark_entry__ import queries
 
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [consultation" in plan and not re.search(r"Broadcast(HashJoin|NestedLoopJoin) \[(consultation|o_orderkey)", plan)
+
+
+def test_grams_and_texts_are_not_broadcast(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["containment_index"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_text" in plan and not re.search(r"Broadcast(HashJoin|NestedLoopJoin)", plan)
