@@ -18,3 +18,11 @@ def test_grams_and_texts_are_not_broadcast(spark):
 
     plan = queries()["containment_index"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [_text" in plan and not re.search(r"Broadcast(HashJoin|NestedLoopJoin)", plan)
+
+
+@pytest.mark.parametrize("name", ["recommendation_input_hash", "assessment_explanations", "snapshots"])
+def test_names_are_looked_up_in_place(spark, name):
+    from __spark_entry__ import queries
+
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"SortMergeJoin \[(ask|proposed|generic|drug|knowledge_id)#", plan)
