@@ -26,3 +26,29 @@ def test_names_are_looked_up_in_place(spark, name):
 
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"SortMergeJoin \[(ask|proposed|generic|drug|knowledge_id)#", plan)
+
+
+def test_consultations_meet_their_indications_drugs_in_place(spark):
+    """However few bytes their file has against the drugs' plan, consultations aren't the side that is sent."""
+    from evidara.bindings import composed
+    from evidara.plans import ranking
+
+    d = "/root/testdata/sf0.001"
+    found = ranking.candidates(composed.case(spark, d)["consultations"], composed.indications(spark, d))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[indication#\d+\], \[indication#\d+\], Inner, BuildRight", plan) and "BuildLeft" not in plan
+
+
+def test_parts_and_customers_are_sent_if_they_are_few(spark, monkeypatch):
+    from evidara.bindings import composed
+    from evidara.sources import files
+
+    held = {}
+    monkeypatch.setattr(files, "written", lambda df, what: (held.setdefault(what, df), what))
+    for most, join in ((10, "SortMergeJoin"), (50_000, "BroadcastHashJoin")):
+        held.clear()
+        monkeypatch.setattr(files, "MOST_SENT", most)
+        composed.case(spark, "/root/testdata/sf0.001")
+        lines, conditions = (held[k]._jdf.queryExecution().executedPlan().toString() for k in ("lines", "conditions"))
+        assert f"{join} [l_partkey" in lines and f"{join} [o_custkey" in conditions
+        assert ("Broadcast" in lines + conditions) == (most > 10)
