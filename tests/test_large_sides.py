@@ -52,3 +52,13 @@ def test_parts_and_customers_are_sent_if_they_are_few(spark, monkeypatch):
         lines, conditions = (held[k]._jdf.queryExecution().executedPlan().toString() for k in ("lines", "conditions"))
         assert f"{join} [l_partkey" in lines and f"{join} [o_custkey" in conditions
         assert ("Broadcast" in lines + conditions) == (most > 10)
+
+
+@pytest.mark.parametrize("name", ["ranking_findings", "ranking_reasons", "recommendations"])
+def test_candidates_are_not_dealt(spark, name):
+    """A consultation's candidates are many times its records: only these are dealt, once, and nothing by consultation and drug."""
+    from __spark_entry__ import queries
+
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan) if "consultation" in x]
+    assert len(dealt) == 2 and not any("drug" in x for x in dealt)
