@@ -62,3 +62,14 @@ def test_candidates_are_not_dealt(spark, name):
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     dealt = [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan) if "consultation" in x]
     assert len(dealt) == 2 and not any("drug" in x for x in dealt)
+
+
+def test_lines_are_dealt_before_their_sets_are_made(spark, monkeypatch):
+    from evidara.bindings import composed
+    from evidara.sources import files
+
+    held = {}
+    monkeypatch.setattr(files, "written", lambda df, what: (held.setdefault(what, df), what))
+    composed.case(spark, "/root/testdata/sf0.001")
+    made, _, dealt = held["lines"]._jdf.queryExecution().executedPlan().toString().partition("Exchange hashpartitioning(o_orderkey")
+    assert "collect_set" in made and dealt and "collect_set" not in dealt
